@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import durations
+from legajo.llm import durations, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": durations.p1_found,
     "p1_daily_percentiles": durations.p1_daily_percentiles,
     "p1_run_bounds": durations.p1_run_bounds,
+    "p7_ids": tokens.p7_ids,
 }
 
 _RUNS_OVER = """
