@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import durations, tokens
+from legajo.llm import durations, mixture, same_look, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": durations.p1_found,
     "p1_daily_percentiles": durations.p1_daily_percentiles,
     "p1_run_bounds": durations.p1_run_bounds,
+    "p4_found": same_look.p4_found,
+    "p4_equal_pairs": same_look.p4_equal_pairs,
     "p7_ids": tokens.p7_ids,
+    "p8_mix": mixture.p8_mix,
+    "p8_shares": mixture.p8_shares,
 }
 
 _RUNS_OVER = """
