@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import durations, mixture, same_look, tokens
+from legajo.llm import copies, durations, mixture, same_look, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": durations.p1_found,
     "p1_daily_percentiles": durations.p1_daily_percentiles,
     "p1_run_bounds": durations.p1_run_bounds,
+    "p3_found": copies.p3_found,
+    "p3_collapsed": copies.p3_collapsed,
     "p4_found": same_look.p4_found,
     "p4_equal_pairs": same_look.p4_equal_pairs,
     "p7_ids": tokens.p7_ids,
@@ -26,6 +28,8 @@ GROUP BY run_id HAVING quantile_cont({field}, 0.95) > 4 * quantile_cont({field},
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "p3_found": copies.FOUND_SQL,
+    "p3_collapsed": copies.COLLAPSED_SQL,
     "p1_found": " UNION ALL ".join(
         _RUNS_OVER.format(table=t, field=f)
         for t, f in (("case_results", "duration_ms"), ("matrix_rows", "ocr_duration_ms"), ("pipeline_summaries", "p95_ms"))
