@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import copies, durations, mixture, same_look, tokens
+from legajo.llm import copies, durations, mixture, personal, same_look, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": durations.p1_found,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_collapsed": copies.p3_collapsed,
     "p4_found": same_look.p4_found,
     "p4_equal_pairs": same_look.p4_equal_pairs,
+    "p6_found": personal.p6_found,
+    "p6_redacted": personal.p6_redacted,
     "p7_ids": tokens.p7_ids,
     "p8_mix": mixture.p8_mix,
     "p8_shares": mixture.p8_shares,
