@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import copies, durations, mixture, personal, same_look, tokens
+from legajo.llm import copies, durations, mixture, personal, same_look, text_kind, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": durations.p1_found,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_collapsed": copies.p3_collapsed,
     "p4_found": same_look.p4_found,
     "p4_equal_pairs": same_look.p4_equal_pairs,
+    "p5_found": text_kind.p5_found,
+    "p5_statistics": text_kind.p5_statistics,
     "p6_found": personal.p6_found,
     "p6_redacted": personal.p6_redacted,
     "p7_ids": tokens.p7_ids,
@@ -32,6 +34,7 @@ GROUP BY run_id HAVING quantile_cont({field}, 0.95) > 4 * quantile_cont({field},
 ORACLE_SQL: dict[str, str] = {
     "p3_found": copies.FOUND_SQL,
     "p3_collapsed": copies.COLLAPSED_SQL,
+    "p5_statistics": text_kind.STATISTICS_SQL,
     "p1_found": " UNION ALL ".join(
         _RUNS_OVER.format(table=t, field=f)
         for t, f in (("case_results", "duration_ms"), ("matrix_rows", "ocr_duration_ms"), ("pipeline_summaries", "p95_ms"))
