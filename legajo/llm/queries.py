@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import copies, durations, mixture, personal, same_look, text_kind, tokens
+from legajo.llm import copies, durations, mixture, personal, same_look, subjects, text_kind, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": durations.p1_found,
@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": tokens.p7_ids,
     "p8_mix": mixture.p8_mix,
     "p8_shares": mixture.p8_shares,
+    "p9_found": subjects.p9_found,
+    "p9_composition": subjects.p9_composition,
 }
 
 _RUNS_OVER = """
