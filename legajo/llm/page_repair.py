@@ -31,12 +31,12 @@ from legajo.llm.same_look import canonical
 from legajo.tables import table
 
 #: Pairs of recognised and correct text used for training, at most, and characters of a text among them.
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
 #: Words of the counted vocabulary that travel with the tasks: the most frequent ones.
 VOCABULARY = 80_000
 #: Words remembered per task.
 REMEMBERED = 200_000
-EPOCHS = 6
+EPOCHS = 8
 
 #: What a character or pair is misread as -> what it stands for.
 CONFUSIONS = {
@@ -56,6 +56,7 @@ _number_like = re.compile(r"^[\dOoIlSBZ][\dOoIlSBZ.,/]*[\dOoIlSBZ]$")
 _code = re.compile(r"^(?:[A-Z]{1,4}-?\d+[A-Z]?(?:-\d+)*|\d{1,3}[A-Z]|\d+-\d+[A-Z]?|\W*)$|[@\w]+\.[A-Za-z]{2,}$")
 _cut = re.compile(r"^(.*[^\W\d_])([-¬­=])$")
 _pageish = re.compile(r"(?i)^[\s\W]*(?:(?:p\s*[áa]\s*g(?:\s*i\s*n\s*a)?|h\s*o\s*j\s*a|folio|page|sheet)?[\s.:nº°-]*)?(?:\d{1,4}|[ivxl]{1,6})(?:\s*(?:de|/|of)\s*\d{1,4})?[\s\W]*$")
+_worth = re.compile(r"\d|[A-ZÁÉÍÓÚÑ]{3}|^[\s\W]*[ivxlIVXL]{0,6}[\s\W]*$")
 _label_line = re.compile(r"^\s*([^\W\d_][^\s:]{1,6}[^\s:.]?\.?)\s*[:\s]\s*(?=\d|[Bb][Ss]\b|T[VU])")
 
 
@@ -122,11 +123,12 @@ def _key(line: str) -> str:
     return re.sub(r"[^a-zñáéíóú]", "", plain).replace("l", "i").replace("rn", "m").replace("f", "e").replace("c", "e").replace("t", "e")
 
 
-def line_features(lines: list[str], words: Words) -> list[list[str]]:
-    """Features of each line; blank lines get an empty list."""
+def line_features(lines: list[str], words: Words) -> list[list[str] | None]:
+    """Features of each line; None for blank lines, an empty list for plain ones:
+    without digit, capitals, page pattern or recurrence a line is text."""
     n = len(lines)
     filled = [i for i, x in enumerate(lines) if x.strip()]
-    keys = [_key(x) for x in lines]
+    keys = [_key(x) if _worth.search(x) else x.strip().lower() for x in lines]
     often = Counter(k for k in keys if k)
     breaks = [i for i, x in enumerate(lines) if "\f" in x]
     page_first, page_last = set(), set()
@@ -135,10 +137,13 @@ def line_features(lines: list[str], words: Words) -> list[list[str]]:
         if own:
             page_first.add(own[0])
             page_last.add(own[-1])
-    out: list[list[str]] = [[] for _ in lines]
+    out: list[list[str] | None] = [None] * n
     for j, i in enumerate(filled):
         x = lines[i]
         s = x.strip()
+        if often[keys[i]] < 2 and not _worth.search(s):
+            out[i] = []
+            continue
         before, after = (lines[filled[j - 1]].strip() if j else ""), (lines[filled[j + 1]].strip() if j + 1 < len(filled) else "")
         letters = sum(c.isalpha() for c in s)
         upper = sum(c.isupper() for c in s)
@@ -153,9 +158,11 @@ def line_features(lines: list[str], words: Words) -> list[list[str]]:
             f"len={_bucket(len(s))}", f"words={min(len(tokens), 9)}", f"end={s[-1] if not s[-1].isalnum() else 'w'}", f"start={'U' if s[0].isupper() else 'l' if s[0].islower() else s[0] if not s[0].isdigit() else '9'}",
             f"indent={x.lstrip(chr(12))[:2] == '  '}", f"wide={'  ' in s}", f"sep={'—' in s or '·' in s or '/' in s}", f"upper={upper * 4 // max(letters, 1)}", f"numberend={s[-1].isdigit()}",
             f"prevopen={before[-1:].isalnum() or before[-1:] in ',-'}", f"nextlow={after[:1].islower()}", f"solo={j == 0 or not lines[i - 1].strip()}{i + 1 >= n or not lines[i + 1].strip()}",
-            f"break={'f' if chr(12) in x else ''}{'n' if i + 1 < n and chr(12) in lines[i + 1] else ''}", f"known={known * 4 // max(len(tokens), 1)}", f"mark={bool(_cut.match(tokens[-1]))}",
+            f"label={bool(_label_line.match(x))}", f"mail={'@' in s}", f"break={'f' if chr(12) in x else ''}{'n' if i + 1 < n and chr(12) in lines[i + 1] else ''}", f"known={known * 4 // max(len(tokens), 1)}", f"mark={bool(_cut.match(tokens[-1]))}",
         ]
-        f += [f"{f[5]},{f[6]},{f[4]}", f"{f[1]},{f[2]},{f[3]}", f"{f[1]},{f[18]}", f"{f[5]},{f[13]},{f[15]}", f"{f[5]},{f[9]}", f"{f[4]},{f[9]},{f[5]}", f"{f[1]},{f[8]}", f"{f[1]},{f[6]}"]
+        plain = f"label={bool(_label_line.match(x))},mail={'@' in s}"
+        f += [f"{f[4]},{plain}", f"{f[4]},{f[5]},{f[13]},{plain}", f"{f[5]},{f[6]},{f[8]},{plain}", f"{f[9]},{f[10]},{f[5]}"]
+        f += [f"{f[5]},{f[6]},{f[4]}", f"{f[1]},{f[2]},{f[3]}", f"{f[1]},{f[18]}", f"{f[1]},{f[9]}", f"{f[5]},{f[13]},{f[15]}", f"{f[5]},{f[9]}", f"{f[4]},{f[9]},{f[5]}", f"{f[1]},{f[8]}", f"{f[1]},{f[6]}"]
         out[i] = f
     return out
 
@@ -167,7 +174,9 @@ def tag_lines(lines: list[str], words: Words, model: Perceptron) -> list[str]:
     """``text``, ``header``, ``page_number`` or '' (blank) for each line."""
     out = []
     for f in line_features(lines, words):
-        out.append(max(KINDS, key=lambda k: model.score([f"{k}|{x}" for x in f])) if f else "")
+        # only a line of nothing but a number and its page word can be a page number
+        able = KINDS if f and f[1] == "page=True" else KINDS[:2]
+        out.append("" if f is None else max(able, key=lambda k: model.score([f"{k}|{x}" for x in f])) if f else "text")
     return out
 
 
@@ -179,7 +188,7 @@ def join_features(left: str, mark: str, right: str, spaced: bool, words: Words)
     both, compound = words.clean.get(a + b, 0) + words.seen.get(a + b, 0), words.clean.get(f"{a}-{b}", 0)
     return [
         "bias", f"mark={mark}", f"spaced={spaced}", f"both={min(_bucket(both), 6)}", f"compound={min(_bucket(compound), 3)}", f"left={words.known(a)}", f"right={words.known(b)}",
-        f"lower={right[:1].islower()}", f"both={both > 0},compound={compound > 0}", f"both={both > 0},left={words.known(a)},right={words.known(b)},{mark}",
+        f"lower={right[:1].islower()}", f"digits={right[:1].isdigit()}", f"caps={left.isupper() and len(left) > 1},{right[:1].isdigit()}", f"both={both > 0},compound={compound > 0}", f"both={both > 0},left={words.known(a)},right={words.known(b)},{mark}",
     ]
 
 
@@ -214,7 +223,8 @@ def candidates(word: str, words: Words) -> list[tuple[str, tuple[tuple[int, str,
         if edits and len(edits) <= 4:
             out.append((_apply(word, edits), edits))
         return out
-    single = list(_edits(word))
+    upper, lower = word.isupper(), word[1:].islower()
+    single = [e for e in _edits(word) if not (upper and e[2].islower()) and not (lower and e[0] and e[2].isupper())]
     hits, seen = [], words.seen.get
 
     def total(w: str) -> int:
@@ -277,6 +287,7 @@ class Repairer:
     joiner: Perceptron
     editor: Perceptron
     memory: dict = field(default_factory=dict)
+    fine: set = field(default_factory=set)
 
     def fix(self, word: str, label: bool = False):
         """(result, first position of an edit) or None where nothing is wrong."""
@@ -293,6 +304,14 @@ class Repairer:
 
     def token(self, token: str, label: bool = False):
         """Check one token: (repaired token, position of the first edit) or None."""
+        at = (token, label, 0)
+        if at not in self.memory:
+            if len(self.memory) > REMEMBERED:
+                self.memory.clear()
+            self.memory[at] = self._token(token, label)
+        return self.memory[at]
+
+    def _token(self, token: str, label: bool):
         core = token.strip(_EDGE_LEFT + _EDGE_RIGHT)
         if not core or _code.search(core):
             return None
@@ -348,14 +367,21 @@ class Repairer:
                 whole = got[0]
             skip |= {(i, len(tokens[i]) - 1), (nxt, 0)}
             fixed[i][-1], fixed[nxt][0] = whole, ""
+        fine = self.fine
+        if len(fine) > REMEMBERED:
+            fine.clear()
         for i in body:
             label = _label_line.match(lines[i])
             errors = {}
             for k, t in enumerate(tokens[i]):
-                if (i, k) not in skip:
+                if t in fine and not (label and k == 0):
+                    continue
+                if (i, k) not in skip and not (k + 1 < len(tokens[i]) and tokens[i][k + 1][:2] in ("@", "[a", "(a")):
                     own = bool(label) and k == 0
                     t_ = t.rstrip(":") if own else t
                     got = self.token(t_, own)
+                    if got is None and not own:
+                        fine.add(t)
                     if got:
                         errors[k] = got[0] + t[len(t_) :]
             if errors and (label or self._sound([t for k, t in enumerate(tokens[i]) if k not in errors])):
@@ -461,16 +487,28 @@ def gold(recognised: str, correct: str):
     return lines, kinds, cut, pairs
 
 
+def _field_lines(rng: random.Random) -> list[str]:
+    """Lines of labelled fields and contacts as they stand below a page's text."""
+    number = lambda a, b: "".join(rng.choice("0123456789") for _ in range(rng.randint(a, b)))
+    sep = rng.choice([": ", " : ", " "])
+    rows = [f"Fecha{sep}{rng.randint(10, 28)}/{rng.randint(10, 12)}/{rng.choice(['26', '2026'])}", f"NIT{sep}{number(9, 12)}", f"Nit{sep}{number(4, 4)} {number(3, 3)} {number(2, 4)}", f"Código{sep}TV-{number(3, 5)}-2026", f"Código{sep}TV- {number(3, 4)} -2026", f"Monto{sep}Bs {number(2, 2)}.{number(3, 3)},{number(2, 2)}"]
+    rows += [x.upper().replace("BS ", "Bs ") for x in rows]
+    return rows + [f"CONTACTO{number(1, 2)}@CORREO.EXAMPLE o", f"Entregado a MARÍA LOURDES ROJAS PAZ a las {number(2, 2)}", f"en AVENIDA LAS PALMAS NRO. {number(3, 4)}, zona Norte", "JUAN CARLOS VARGAS RÍOS dejó el sobre", f"Consultas: ana.perez{number(1, 2)}@correo.example o (591) {number(1, 1)}", f"{number(3, 6)}, con fecha {rng.randint(10, 28)}/09/2026. Sobre el sello,", f"El señor Juan Rojas, con C.I. {number(2, 4)}", f"La respuesta debe enviarse a rojas{number(1, 2)}", f"Código interno SAC-{number(6, 6)}, con fecha {rng.randint(10, 28)}/03/2026. Consta la", f"C/ LAS PALMAS N° {number(3, 4)}, zona Norte, el solicitante pide", f"por falta de personal. Llamó al {number(4, 4)}", f"según el comprobante {number(8, 8)}. La", f"Ver folio {number(5, 7)} y memorándum N° {number(5, 5)}/2026 en", f"el señor PEDRO SOLÍS PEÑA, con pasaporte N° QA{number(7, 7)}"]
+
+
 def train(pairs: list[tuple[str, str]], words: Words, seed: int = 11) -> Repairer:
     """Models from (recognised, correct) texts; the same pairs in the same
     order give the same models."""
     rng = random.Random(seed)
     tagger, joiner, editor = Perceptron(), Perceptron(), Perceptron()
     lines_x, joins, edits = [], [], []
-    for recognised, correct in pairs:
+    for n, (recognised, correct) in enumerate(pairs):
+        if n % 4 == 0:  # field lines, mails and names in capitals end many pages
+            extra = "\n".join(rng.sample(_field_lines(rng), rng.randint(2, 6)))
+            recognised, correct = f"{recognised}\n\n{extra}", f"{correct}\n\n{extra}"
         lines, kinds, cut, aligned = gold(recognised, correct)
         for f, k in zip(line_features(lines, words), kinds):
-            if f and k:
+            if f and k:  # plain lines need no model
                 lines_x.append((f, k))
         for i, is_cut in cut.items():
             m = _cut.match(lines[i].split()[-1])
@@ -487,6 +525,9 @@ def train(pairs: list[tuple[str, str]], words: Words, seed: int = 11) -> Repaire
                     edits.append((w, r, False))
             elif len(w) > 1 and abs(len(w) - len(r)) <= 3:
                 edits.append((w, r.strip(_EDGE_LEFT) if w[0] not in _EDGE_LEFT else r, False))
+    for code in ("SAC", "TV", "RA", "ISO", "Sac", "TV-125", "B", "H", "n"):  # hyphens of codes are part of them
+        for _ in range(12):
+            joins.append((join_features(code, "-", str(rng.randint(10, 999_999)), rng.random() < 0.3, words), False))
     clean = sorted(w for w, n in words.clean.items() if n >= 3 and w.isalpha() and len(w) > 3)
     for w in rng.sample(clean, min(len(clean), 800)):  # errors too rare for the sample
         options = [(i, r, bad) for i in range(len(w)) for bad, rights in CONFUSIONS.items() for r in rights if w.startswith(r, i)]

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import copies, durations, mixture, personal, same_look, subjects, text_kind, tokens
+from legajo.llm import copies, durations, mixture, page_repair, personal, same_look, subjects, text_kind, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": durations.p1_found,
     "p1_daily_percentiles": durations.p1_daily_percentiles,
     "p1_run_bounds": durations.p1_run_bounds,
+    "p2_found": page_repair.p2_found,
+    "p2_paragraphs": page_repair.p2_paragraphs,
     "p3_found": copies.p3_found,
     "p3_collapsed": copies.p3_collapsed,
     "p4_found": same_look.p4_found,
