@@ -1 +1 @@
-
+"""End-to-end queries over the standard tables."""
