@@ -195,10 +195,10 @@ def field_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT field_type, count(*) AS expected, count_if(verdict IN ('EXACT', 'WRONG')) AS extracted, count_if(verdict = 'EXACT') AS exact,
+SELECT field_type, count(*) AS expected, CAST(count_if(verdict IN ('EXACT', 'WRONG')) AS BIGINT) AS extracted, CAST(count_if(verdict = 'EXACT') AS BIGINT) AS exact,
   round(count_if(verdict IN ('EXACT', 'WRONG')) / count(*), 6) AS coverage, round(count_if(verdict = 'EXACT') / count(*), 6) AS exact_accuracy,
   round(count_if(verdict = 'EXACT') / nullif(count_if(verdict IN ('EXACT', 'WRONG')), 0), 6) AS accuracy_among_extracted,
-  count_if(document_correct) AS in_correct_documents
+  CAST(count_if(document_correct) AS BIGINT) AS in_correct_documents
 FROM (SELECT *, bool_and(verdict = 'EXACT') OVER (PARTITION BY recognition_id) AS document_correct FROM ({_VERDICT_SQL})) GROUP BY field_type
 """)
 def field_eval_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

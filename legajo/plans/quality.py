@@ -1 +1,164 @@
+"""Page, document and character verdicts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from legajo.functions.quality import RANKS, character_action, low_confidence, page_quality, rank
+from legajo.functions.text import SPACE
+from legajo.plans.registry import query
+from legajo.tables import table
+
+_BLANK = f"coalesce(trim(regexp_replace(text, '[{SPACE}]+', ' ', 'g')), '') = ''"
+_PAGE = f"""
+SELECT page_id, document_key, page_number, confidence, text,
+  CASE WHEN {_BLANK} THEN 'INSUFFICIENT' WHEN confidence IS NULL THEN 'REVIEW' WHEN confidence < 70 THEN 'INSUFFICIENT' WHEN confidence < 90 THEN 'REVIEW' ELSE 'ACCEPTABLE' END AS status,
+  CASE WHEN {_BLANK} THEN 'EMPTY_TEXT' WHEN confidence IS NULL THEN 'CONFIDENCE_UNAVAILABLE' WHEN confidence < 70 THEN 'LOW_CONFIDENCE' WHEN confidence < 90 THEN 'MODERATE_CONFIDENCE' END AS reason
+FROM quality_inputs
+"""
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "quality_inputs").withColumn("q", page_quality(F.col("text"), F.col("confidence"))).select("*", "q.*").drop("q")
+
+
+@query(f"SELECT page_id, status, reason, status <> 'ACCEPTABLE' AS requires_review FROM ({_PAGE})")
+def page_quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", "status", "reason", (F.col("status") != "ACCEPTABLE").alias("requires_review"))
+
+
+@query(f"""
+WITH p AS (SELECT * FROM ({_PAGE}) WHERE document_key IS NOT NULL),
+r AS (SELECT document_key, reason, min(struct_pack(n := page_number, i := page_id)) AS first FROM p WHERE reason IS NOT NULL GROUP BY ALL),
+s AS (SELECT document_key, string_agg(reason, ',' ORDER BY first) AS reasons FROM r GROUP BY document_key)
+SELECT p.document_key, CASE max(CASE status WHEN 'INSUFFICIENT' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END) WHEN 2 THEN 'INSUFFICIENT' WHEN 1 THEN 'REVIEW' ELSE 'ACCEPTABLE' END AS status,
+  count(*) AS pages, coalesce(any_value(s.reasons), '') AS reasons
+FROM p LEFT JOIN s USING (document_key) GROUP BY p.document_key
+""")
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worst page verdict of each document and its distinct reasons in the
+    order they first appear.  Two partial aggregations: a hot document never
+    gathers its pages in one place."""
+    page = pages(spark, sf_dir).where("document_key is not null")
+    reason = page.groupBy("document_key", "reason").agg(F.max(rank(F.col("status"))).alias("worst"), F.count("*").alias("n"), F.min(F.struct("page_number", "page_id")).alias("first"))
+    whole = reason.groupBy("document_key").agg(F.max("worst").alias("worst"), F.sum("n").alias("pages"), F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("first", "reason")))).alias("r"))
+    status = F.element_at(F.array(*[F.lit(s) for s in RANKS]), F.col("worst") + 1)
+    return whole.select("document_key", status.alias("status"), "pages", F.array_join(F.transform("r", lambda x: x["reason"]), ",").alias("reasons"))
+
+
+@query(f"SELECT strftime(date_trunc('month', recognized_at), '%Y-%m') AS month, CAST(count_if(status = 'ACCEPTABLE') AS BIGINT) AS acceptable, CAST(count_if(status = 'REVIEW') AS BIGINT) AS review, CAST(count_if(status = 'INSUFFICIENT') AS BIGINT) AS insufficient FROM (SELECT * FROM ({_PAGE}) JOIN (SELECT page_id, recognized_at FROM quality_inputs) USING (page_id)) GROUP BY ALL")
+def quality_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts per month, pivoted."""
+    month = F.date_format("recognized_at", "yyyy-MM").alias("month")
+    return pages(spark, sf_dir).groupBy(month).agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in RANKS])
+
+
+@query("SELECT document_key, round(avg(confidence), 6) AS mean_confidence, count(confidence) AS pages_with_confidence FROM quality_inputs GROUP BY document_key")
+def mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over pages that have a confidence; null where none has."""
+    return table(spark, sf_dir, "quality_inputs").groupBy("document_key").agg(F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count("confidence").alias("pages_with_confidence"))
+
+
+@query("""
+SELECT document_key, block, string_agg(text, chr(10) || chr(10) ORDER BY page_number, page_id) AS text, count(*) AS pages FROM (
+  SELECT *, CAST(floor((page_number - 1) / 50) AS BIGINT) AS block FROM quality_inputs WHERE text IS NOT NULL AND document_key IS NOT NULL) GROUP BY document_key, block
+""")
+def page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a document in page order, in blocks of fifty page numbers, so the
+    size of a row doesn't grow with that of a document."""
+    page = table(spark, sf_dir, "quality_inputs").where("text is not null and document_key is not null")
+    block = F.floor((F.col("page_number") - 1) / 50).cast("long").alias("block")
+    own = page.groupBy("document_key", block).agg(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "text"))).alias("p"))
+    return own.select("document_key", "block", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), F.size("p").cast("long").alias("pages"))
+
+
+_CHARS = """
+SELECT recognition_id, category, line_no, i AS char_index, substr(p, CAST(i + 1 AS BIGINT), 1) AS ch, substr(p, CAST(i + 1 AS BIGINT), 1) = substr(t, CAST(i + 1 AS BIGINT), 1) AS match,
+  ((recognition_id * 31 + line_no * 17 + i * 7) % 101) / 100.0 AS confidence
+FROM (SELECT recognition_id, category, line_no, p, t, unnest(generate_series(0, least(length(p), length(t)) - 1)) AS i FROM (
+  SELECT recognition_id, category, l.line_number AS line_no, l.prediction AS p, l.text AS t FROM (SELECT recognition_id, category, unnest(lines) AS l FROM recognitions WHERE strategy = 'runtime'))
+  WHERE length(p) > 0 AND length(t) > 0)
+"""
+
+
+def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per predicted character with a confidence and whether it matches
+    the text at its place (the confidence is synthetic arithmetic)."""
+    lines = table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", "category", F.explode("lines").alias("l"))
+    pair = lines.select("recognition_id", "category", F.col("l.line_number").alias("line_no"), F.col("l.prediction").alias("p"), F.col("l.text").alias("t")).where("length(p) > 0 and length(t) > 0")
+    char = pair.select("recognition_id", "category", "line_no", "p", "t", F.explode(F.sequence(F.lit(0), F.least(F.length("p"), F.length("t")) - 1)).alias("char_index"))
+    confidence = ((F.col("recognition_id") * 31 + F.col("line_no") * 17 + F.col("char_index") * 7) % 101) / 100.0
+    at = lambda c: F.substring(F.col(c), F.col("char_index") + 1, F.lit(1))
+    return char.select("recognition_id", "category", "line_no", "char_index", at("p").alias("ch"), (at("p") == at("t")).alias("match"), confidence.alias("confidence"))
+
+
+@query(f"SELECT recognition_id, count(*) AS characters, CAST(count_if(confidence < 0.7) AS BIGINT) AS fallback, CAST(count_if(confidence >= 0.7) AS BIGINT) AS review FROM ({_CHARS}) GROUP BY recognition_id")
+def char_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each document by what is to be done with them."""
+    action = character_action(F.col("confidence"))
+    return characters(spark, sf_dir).groupBy("recognition_id").agg(F.count("*").alias("characters"), F.count_if(action == "FALLBACK").alias("fallback"), F.count_if(action == "REVIEW").alias("review"))
+
+
+@query(f"SELECT DISTINCT recognition_id, CAST(line_no AS INTEGER) AS line_no FROM ({_CHARS}) WHERE confidence < 0.7")
+def fallback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with at least one character to fall back on."""
+    return characters(spark, sf_dir).where(character_action(F.col("confidence")) == "FALLBACK").select("recognition_id", "line_no").distinct()
+
+
+@query("""
+SELECT item_id, text, confidence, CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence < 0 OR confidence > 100 THEN 'invalid' WHEN confidence < 25 THEN 'low' ELSE 'medium' END AS level, TRUE AS requires_review
+FROM word_context_items
+""")
+def review_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The display form: a bad confidence is a level of its own, never an error."""
+    c = F.col("confidence")
+    level = F.when(c.isNull() | F.isnan(c) | (c < 0) | (c > 100), "invalid").when(c < 25, "low").otherwise("medium")
+    return table(spark, sf_dir, "word_context_items").select("item_id", "text", "confidence", level.alias("level"), F.lit(True).alias("requires_review"))
+
+
+@query("SELECT item_id, text, confidence FROM word_context_items WHERE confidence >= 0 AND confidence < 50")
+def low_confidence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "word_context_items").where(low_confidence(F.col("confidence"))).select("item_id", "text", "confidence")
+
+
+@query("""
+WITH r AS (SELECT id, category, max(confidence) FILTER (WHERE strategy = 'none') AS original, max(confidence) FILTER (WHERE strategy = 'grayscale') AS processed, max(text) FILTER (WHERE strategy = 'none') AS text FROM matrix_rows WHERE id IS NOT NULL GROUP BY id, category)
+SELECT id, category, original, processed, coalesce(trim(text), '') <> '' AND original IS NOT NULL AND (processed IS NULL OR original >= processed + 10) AS prefer_original FROM r
+""")
+def candidate_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the unprocessed reading wins: it has text, a finite confidence,
+    and the processed one has none or is ten points behind."""
+    on = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
+    best = table(spark, sf_dir, "matrix_rows").where("id is not null").groupBy("id", "category").agg(on("none", "confidence").alias("original"), on("grayscale", "confidence").alias("processed"), on("none", "text").alias("t"))
+    wins = (F.coalesce(F.trim("t"), F.lit("")) != "") & F.col("original").isNotNull() & (F.col("processed").isNull() | (F.col("original") >= F.col("processed") + 10))
+    return best.select("id", "category", "original", "processed", F.coalesce(wins, F.lit(False)).alias("prefer_original"))
+
+
+@query("""
+SELECT row_id, angle, NOT (abs(angle) < 9.5) AS needs_verification, abs(angle) >= 0.5 AND category NOT IN ('photo-perspective') AS false_skew
+FROM (SELECT row_id, category, ((row_id * 37) % 401 - 200) / 10.0 AS angle FROM matrix_rows) WHERE category IS NOT NULL
+""")
+def skew_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles extreme enough to be verified, and skew where none is expected
+    (the angle is synthetic arithmetic)."""
+    rows = table(spark, sf_dir, "matrix_rows").where("category is not null").select("row_id", "category", (((F.col("row_id") * 37) % 401 - 200) / 10.0).alias("angle"))
+    return rows.select("row_id", "angle", (F.abs("angle") >= 9.5).alias("needs_verification"), ((F.abs("angle") >= 0.5) & (F.col("category") != "photo-perspective")).alias("false_skew"))
+
+
+@query("""
+WITH g AS (SELECT recognition_id, line_no, count(*) AS n, max(i) AS last, string_agg(ch, '' ORDER BY i) AS joined FROM (
+  SELECT recognition_id, l.line_number AS line_no, unnest(generate_series(0, length(l.prediction) - 1)) AS i, l.prediction AS p, substr(l.prediction, CAST(unnest(generate_series(0, length(l.prediction) - 1)) + 1 AS BIGINT), 1) AS ch
+  FROM (SELECT recognition_id, unnest(lines) AS l FROM recognitions WHERE strategy = 'runtime') WHERE length(l.prediction) > 0) GROUP BY ALL)
+SELECT r.recognition_id, CAST(count(g.line_no) AS BIGINT) AS lines, CAST(coalesce(sum(g.n), 0) AS BIGINT) AS characters, CAST(count_if(g.last + 1 <> g.n) AS BIGINT) AS broken, any_value(r.line_count) AS declared_lines
+FROM recognitions r LEFT JOIN g USING (recognition_id) WHERE r.strategy = 'runtime' GROUP BY r.recognition_id
+""")
+def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines and characters really there, lines whose character
+    numbers aren't contiguous, and the number of lines declared.  Checked within
+    the row's own array, without exploding it."""
+    runtime = table(spark, sf_dir, "recognitions").where("strategy = 'runtime'")
+    held = F.filter(F.coalesce("lines", F.array()), lambda x: F.length(x["prediction"]) > 0)
+    size = F.aggregate(held, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["prediction"]))
+    broken = F.size(F.filter(held, lambda x: F.length(F.array_join(F.split(x["prediction"], ""), "")) != F.length(x["prediction"])))
+    return runtime.select("recognition_id", F.size(held).cast("long").alias("lines"), size.alias("characters"), broken.cast("long").alias("broken"), F.col("line_count").alias("declared_lines"))
