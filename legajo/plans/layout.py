@@ -1 +1,245 @@
+"""Words with boxes: lines, blocks, low-confidence words and regions.
 
+The boxes are synthetic arithmetic over the page texts: a line's top is 20
+times its number, a word's left ten times the characters before it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from legajo.functions.quality import field_like, heading_like, low_confidence, noise_line
+from legajo.functions.text import SPACE, round_half_up
+from legajo.operators import layout as op
+from legajo.plans.registry import query
+from legajo.sources.tsv import parse_words
+from legajo.tables import table
+
+_WORDS = f"""
+SELECT doc, 1 AS page, block, paragraph, line, word_no, text, CAST((doc * 31 + line * 17 + word_no * 7) % 101 AS DOUBLE) AS confidence, CAST("left" AS DOUBLE) AS "left", CAST(line * 20.0 + block * 10.0 AS DOUBLE) AS top, CAST(length(text) * 10.0 AS DOUBLE) AS width, CAST(12.0 AS DOUBLE) AS height FROM (
+  SELECT doc, CAST(line AS INTEGER) AS line, CAST(1 + line // 4 AS INTEGER) AS block, CAST(1 + line // 2 AS INTEGER) AS paragraph, CAST(w AS INTEGER) AS word_no, words[w] AS text,
+    (line % 3) * 30.0 + 10.0 * (length(array_to_string(words[1:w - 1], ' ')) + CASE WHEN w > 1 THEN 1 ELSE 0 END) AS "left" FROM (
+    SELECT doc, line, words, unnest(generate_series(1, len(words))) AS w FROM (
+      SELECT doc, line, list_filter(string_split(trim(regexp_replace(t, '[{SPACE}]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM (
+        SELECT page_id AS doc, unnest(generate_series(1, len(regexp_split_to_array(text, '\\r?\\n')))) AS line, unnest(regexp_split_to_array(text, '\\r?\\n')) AS t FROM quality_inputs WHERE text IS NOT NULL))))
+"""
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = table(spark, sf_dir, "quality_inputs").where("text is not null")
+    line = page.select(F.col("page_id").alias("doc"), F.posexplode(F.split("text", "\r?\n")).alias("p", "t"))
+    parts = line.select("doc", (F.col("p") + 1).alias("line"), F.filter(F.split(F.trim(F.regexp_replace("t", f"[{SPACE}]+", " ")), " "), lambda x: x != "").alias("words"))
+    word = parts.select("doc", "line", "words", F.posexplode("words").alias("w", "text"))
+    before = F.length(F.array_join(F.slice("words", F.lit(1), F.col("w")), " ")) + F.when(F.col("w") > 0, 1).otherwise(0)
+    n = F.col("w") + 1
+    return word.select(
+        "doc", F.lit(1).alias("page"), (1 + F.floor(F.col("line") / 4)).cast("int").alias("block"), (1 + F.floor(F.col("line") / 2)).cast("int").alias("paragraph"), "line", n.alias("word_no"), "text",
+        ((F.col("doc") * 31 + F.col("line") * 17 + n * 7) % 101).cast("double").alias("confidence"), ((F.col("line") % 3) * 30.0 + 10.0 * before).alias("left"),
+        (F.col("line") * 20.0 + (1 + F.floor(F.col("line") / 4)) * 10.0).alias("top"), (F.length("text") * 10.0).alias("width"), F.lit(12.0).alias("height"),
+    )
+
+
+_LINES = f"""
+SELECT doc, page, block, paragraph, line, string_agg(text, ' ' ORDER BY "left", word_no) AS text, min("left") AS "left", min(top) AS top, max("left" + width) - min("left") AS width, max(top + height) - min(top) AS height, avg(confidence) AS mean_confidence, count(*) AS words
+FROM ({_WORDS}) GROUP BY ALL
+"""
+
+
+@query(f'SELECT doc, line, text, "left", top, width, height, round(mean_confidence, 6) AS mean_confidence, words FROM ({_LINES})')
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.word_lines(words(spark, sf_dir)).select("doc", "line", "text", "left", "top", "width", "height", F.round("mean_confidence", 6).alias("mean_confidence"), "words")
+
+
+_ORDER = f'SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY top, "left", block, paragraph, line) AS reading_no FROM ({_LINES})'
+
+
+@query(f"SELECT doc, line, CAST(reading_no AS INTEGER) AS reading_no FROM ({_ORDER})")
+def reading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.reading_order(op.word_lines(words(spark, sf_dir))).select("doc", "line", "reading_no")
+
+
+_LEN = "len(regexp_extract_all({x}, '{p}'))"
+_TOKENS = f"len(list_filter(string_split(trim(regexp_replace({{x}}, '[ \\t\\n\\r]+', ' ', 'g')), ' '), lambda v: v <> ''))"
+_HEADING = f"({_LEN.format(x='text', p=chr(92) + 'p{L}')} >= 4 AND {_TOKENS.format(x='text')} <= 9 AND {_LEN.format(x='text', p=chr(92) + 'p{Lu}')} >= 0.88 * {_LEN.format(x='text', p=chr(92) + 'p{L}')})"
+_LABEL = "trim(split_part(text, ':', 1))"
+_FIELD = f"(strpos(text, ':') - 1 > 0 AND {_TOKENS.format(x=_LABEL)} BETWEEN 1 AND 5 AND length({_LABEL}) <= 48 AND regexp_full_match({_LABEL}, '[\\p{{L}} ._-]+') AND strpos(text, ':') - 1 < 0.55 * length(text) AND {_TOKENS.format(x='text')} <= 18)"
+
+
+@query(f"SELECT doc, line, {_HEADING} AS heading_like, {_FIELD} AS field_like FROM ({_LINES})")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = op.word_lines(words(spark, sf_dir))
+    return lines.select("doc", "line", heading_like(F.col("text")).alias("heading_like"), field_like(F.col("text")).alias("field_like"))
+
+
+_BLOCKS = f"""
+SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc, page ORDER BY reading_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS layout_block FROM (
+ SELECT *, CASE WHEN pl IS NULL OR top - (pt + ph) > 1.1 * mh OR (abs("left" - pl) > 2.5 * mh AND least(width, pw) < 0.85 * greatest(width, pw)) OR special OR ps OR block <> pb OR paragraph <> pp THEN 1 ELSE 0 END AS fresh FROM (
+  SELECT *, lag("left") OVER w AS pl, lag(top) OVER w AS pt, lag(width) OVER w AS pw, lag(height) OVER w AS ph, lag(special) OVER w AS ps, lag(block) OVER w AS pb, lag(paragraph) OVER w AS pp FROM (
+   SELECT *, {_HEADING} OR {_FIELD} AS special, quantile_cont(height, 0.5) OVER (PARTITION BY doc, page) AS mh FROM ({_ORDER})) WINDOW w AS (PARTITION BY doc, page ORDER BY reading_no)))
+"""
+_BLOCK_ROWS = f"""
+SELECT doc, page, layout_block, string_agg(text, chr(10) ORDER BY reading_no) AS text, min("left") AS "left", min(top) AS top, max("left" + width) - min("left") AS width, max(top + height) - min(top) AS height,
+  round(sum(mean_confidence * words) / sum(words), 6) AS mean_confidence, count(*) AS lines FROM ({_BLOCKS}) GROUP BY ALL
+"""
+
+
+@query(f'SELECT doc, layout_block, text, "left", top, width, height, mean_confidence, lines FROM ({_BLOCK_ROWS})')
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op.block_rows(op.word_lines(words(spark, sf_dir)))
+    return rows.select("doc", "layout_block", "text", "left", "top", "width", "height", F.round("mean_confidence", 6).alias("mean_confidence"), "lines")
+
+
+
+
+def noise_sql(x: str) -> str:
+    """The noise-line predicate over the SQL expression ``x``."""
+    t = f"trim(regexp_replace(coalesce({x}, ''), '^[{SPACE}]+|[{SPACE}]+$', '', 'g'))"
+    solid, signs = f"len(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}]'))", f"len(regexp_extract_all({t}, '[^\\p{{L}}\\p{{N}}\\s]'))"
+    sizes = f"list_transform(list_filter(string_split(trim(regexp_replace({t}, '[{SPACE}]+', ' ', 'g')), ' '), lambda v: v <> ''), lambda v: length(regexp_replace(v, '^[\\p{{P}}\\p{{S}}]+|[\\p{{P}}\\p{{S}}]+$', '', 'g')))"
+    return f"({t} = '' OR ({solid} BETWEEN 1 AND 6 AND {signs} > 0.45 * ({solid} + {signs})) OR (len({sizes}) >= 4 AND len(list_filter({sizes}, lambda s: s <= 2)) >= 0.75 * len({sizes}) AND len(list_filter({sizes}, lambda s: s >= 4)) = 0))"
+
+
+@query(f"""
+WITH b AS (SELECT *, {noise_sql('text')} AS noise FROM ({_BLOCK_ROWS})), k AS (SELECT *, bool_and(noise) OVER (PARTITION BY doc) AS all_noise FROM b)
+SELECT doc, count(*) AS blocks, bool_or(mean_confidence < 50) AS needs_review FROM k WHERE NOT noise OR all_noise GROUP BY doc
+""")
+def layout_review_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks without noise ones (all of them where nothing else is left), and
+    whether any asks for review."""
+    rows = op.block_rows(op.word_lines(words(spark, sf_dir))).withColumn("noise", noise_line(F.col("text")))
+    own = rows.groupBy("doc").agg(F.bool_and("noise").alias("all"), F.count("*").alias("n"), F.count_if(~F.col("noise")).alias("kept"), F.bool_or(F.col("mean_confidence") < 50).alias("any"), F.bool_or((F.col("mean_confidence") < 50) & ~F.col("noise")).alias("kept_any"))
+    return own.select("doc", F.when(F.col("all"), F.col("n")).otherwise(F.col("kept")).alias("blocks"), F.when(F.col("all"), F.col("any")).otherwise(F.col("kept_any")).alias("needs_review"))
+
+
+@query(f"""
+SELECT page_id, part, array_to_string(list_transform(list_filter(regexp_split_to_array(p, '(\\r?\\n)[ \\t\\r]*(\\r?\\n)(\\s*\\n)*'), lambda b: trim(b) <> ''), lambda b: trim(regexp_replace(b, '[{SPACE}]+', ' ', 'g'))), chr(10) || chr(10)) AS text FROM (
+  SELECT page_id, CAST(unnest(generate_series(1, len(string_split(text, chr(12))))) AS INTEGER) AS part, unnest(string_split(text, chr(12))) AS p FROM quality_inputs WHERE text IS NOT NULL) WHERE trim(regexp_replace(p, '[{SPACE}]+', ' ', 'g')) <> ''
+""")
+def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of non-blank lines as paragraphs, page by page (form feeds part
+    pages, blank pages are dropped)."""
+    part = table(spark, sf_dir, "quality_inputs").where("text is not null").select("page_id", F.posexplode(F.split("text", "\f")).alias("n", "p")).where(F.trim(F.regexp_replace("p", f"[{SPACE}]+", " ")) != "")
+    blocks = F.filter(F.split("p", r"(\r?\n)[ \t\r]*(\r?\n)(\s*\n)*"), lambda b: F.trim(b) != "")
+    return part.select("page_id", (F.col("n") + 1).alias("part"), F.array_join(F.transform(blocks, lambda b: F.trim(F.regexp_replace(b, f"[{SPACE}]+", " "))), "\n\n").alias("text"))
+
+
+@query(f"""
+SELECT doc, line, word_no, text, confidence, 'p' || page || '-w' || row_number() OVER (PARTITION BY doc, page ORDER BY line, word_no) AS word_id FROM ({_WORDS}) WHERE confidence >= 0 AND confidence < 50
+""")
+def low_confidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low-confidence words numbered among themselves on their page."""
+    low = words(spark, sf_dir).where(low_confidence(F.col("confidence")))
+    number = F.row_number().over(Window.partitionBy("doc", "page").orderBy("line", "word_no"))
+    return low.select("doc", "line", "word_no", "text", "confidence", F.concat(F.lit("p"), F.col("page"), F.lit("-w"), number).alias("word_id"))
+
+
+@query(f"""
+SELECT w.doc, w.line, w.word_no, w.text, l.text AS line_text FROM ({_WORDS}) w JOIN ({_LINES}) l USING (doc, page, block, paragraph, line) WHERE w.confidence >= 0 AND w.confidence < 50
+""")
+def low_confidence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each low-confidence word with the text of its own line: the line is built
+    by the same grouping, so its words are kept in it and no join is needed."""
+    own = words(spark, sf_dir).groupBy(*op.LINE).agg(F.array_sort(F.collect_list(F.struct("left", "word_no", "text", "confidence"))).alias("w"))
+    line = F.array_join(F.transform("w", lambda x: x["text"]), " ")
+    low = F.filter("w", lambda x: low_confidence(x["confidence"]))
+    return own.select("doc", "line", line.alias("line_text"), F.explode(low).alias("x")).select("doc", "line", "x.word_no", "x.text", "line_text")
+
+
+@query(f"SELECT doc, line, word_no, text, confidence FROM ({_WORDS}) ORDER BY confidence, doc, line, word_no LIMIT 5")
+def lowest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five words of lowest confidence (top-k report)."""
+    return words(spark, sf_dir).select("doc", "line", "word_no", "text", "confidence").orderBy("confidence", "doc", "line", "word_no").limit(5)
+
+
+_REGION = "SELECT doc, line, \"left\", top, width, height FROM (" + _LINES + ")"
+
+
+@query(f"""
+SELECT doc, line, greatest(0, "left" - px) AS crop_left, greatest(0, top - py) AS crop_top, least(2000, "left" + width + px) - greatest(0, "left" - px) AS crop_width, least(3000, top + height + py) - greatest(0, top - py) AS crop_height
+FROM (SELECT *, greatest(12, round_even(0.02 * width, 0)) AS px, greatest(10, round_even(0.15 * height, 0)) AS py FROM ({_REGION}))
+""")
+def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded boxes clamped to the image (halves rounded to even)."""
+    box = op.word_lines(words(spark, sf_dir)).withColumns({"px": F.greatest(F.lit(12.0), F.bround(0.02 * F.col("width"))), "py": F.greatest(F.lit(10.0), F.bround(0.15 * F.col("height")))})
+    left, top = F.greatest(F.lit(0.0), F.col("left") - F.col("px")), F.greatest(F.lit(0.0), F.col("top") - F.col("py"))
+    return box.select("doc", "line", left.alias("crop_left"), top.alias("crop_top"), (F.least(F.lit(2000.0), F.col("left") + F.col("width") + F.col("px")) - left).alias("crop_width"), (F.least(F.lit(3000.0), F.col("top") + F.col("height") + F.col("py")) - top).alias("crop_height"))
+
+
+@query(f"""
+SELECT doc, line, x0 AS region_left, y0 AS region_top, x1 - x0 AS region_width, y1 - y0 AS region_height, (x1 - x0) * (y1 - y0) <= 2000000 AND x1 - x0 >= 1 AND y1 - y0 >= 1 AS acceptable
+FROM (SELECT doc, line, greatest(0, floor("left" - px)) AS x0, greatest(0, floor(top - py)) AS y0, least(2000, ceil("left" + width + px)) AS x1, least(3000, ceil(top + height + py)) AS y1
+  FROM (SELECT *, greatest(16, floor(2 * height + 0.5)) AS px, greatest(12, floor(1.5 * height + 0.5)) AS py FROM ({_REGION}) WHERE width > 0 AND height > 0))
+""")
+def review_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions for a second reading (halves rounded up), and whether a request
+    for them is acceptable."""
+    box = op.word_lines(words(spark, sf_dir)).where("width > 0 and height > 0")
+    box = box.withColumns({"px": F.greatest(F.lit(16), round_half_up(2 * F.col("height"))), "py": F.greatest(F.lit(12), round_half_up(1.5 * F.col("height")))})
+    box = box.select("doc", "line", F.greatest(F.lit(0), F.floor(F.col("left") - F.col("px"))).alias("x0"), F.greatest(F.lit(0), F.floor(F.col("top") - F.col("py"))).alias("y0"), F.least(F.lit(2000), F.ceil(F.col("left") + F.col("width") + F.col("px"))).alias("x1"), F.least(F.lit(3000), F.ceil(F.col("top") + F.col("height") + F.col("py"))).alias("y1"))
+    out = box.select("doc", "line", *[F.col(c).cast("double").alias(n) for c, n in (("x0", "region_left"), ("y0", "region_top"))], (F.col("x1") - F.col("x0")).cast("double").alias("region_width"), (F.col("y1") - F.col("y0")).cast("double").alias("region_height"))
+    return out.withColumn("acceptable", (F.col("region_width") * F.col("region_height") <= 2_000_000) & (F.col("region_width") >= 1) & (F.col("region_height") >= 1))
+
+
+@query(f"SELECT doc, CAST(page AS INTEGER) AS page, line, word_no, text, confidence, \"left\", top, width, height FROM ({_WORDS})")
+def tsv_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as recogniser TSV and read again: the scan gives back every
+    word with its box."""
+    w = words(spark, sf_dir)
+    row = F.concat_ws("\t", F.lit("5"), *[F.col(c).cast("string") for c in ("page", "block", "paragraph", "line", "word_no", "left", "top", "width", "height", "confidence", "text")])
+    page = w.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line", "word_no", row.alias("r")))).alias("r"))
+    header = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
+    tsv = page.select("doc", F.concat(F.lit(header + "\n"), F.array_join(F.transform("r", lambda x: x["r"]), "\n")).alias("tsv"))
+    return parse_words(tsv, "tsv").select("doc", "page", "line", "word_no", "text", "confidence", "left", "top", "width", "height")
+
+
+@query(f"""
+SELECT doc, string_agg('<rect x="' || CAST(CAST("left" AS INTEGER) AS VARCHAR) || '" y="' || CAST(CAST(top AS INTEGER) AS VARCHAR) || '" stroke="' || CASE WHEN mean_confidence >= 50 THEN 'green' ELSE 'red' END || '"/>', chr(10) ORDER BY line) AS svg FROM ({_LINES}) GROUP BY doc
+""")
+def overlay_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a page's lines as drawing, green where confidence is half or more."""
+    rect = F.format_string('<rect x="%d" y="%d" stroke="%s"/>', F.col("left").cast("int"), F.col("top").cast("int"), F.when(F.col("mean_confidence") >= 50, "green").otherwise("red"))
+    own = op.word_lines(words(spark, sf_dir)).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line", rect.alias("r")))).alias("r"))
+    return own.select("doc", F.array_join(F.transform("r", lambda x: x["r"]), "\n").alias("svg"))
+
+
+_INK = f"SELECT doc, line AS row_no, sum(width) AS ink FROM ({_WORDS}) GROUP BY doc, line"
+_BANDS = f"""
+WITH s AS (SELECT doc, row_no, avg(ink) OVER (PARTITION BY doc ORDER BY row_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM ({_INK})),
+k AS (SELECT doc, row_no, row_no - lag(row_no) OVER (PARTITION BY doc ORDER BY row_no) AS step FROM s WHERE smooth >= 200),
+g AS (SELECT doc, row_no, CAST(sum(CASE WHEN step IS NULL OR step > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY row_no) AS BIGINT) AS band FROM k)
+SELECT doc, band, min(row_no) AS first_row, max(row_no) AS last_row FROM g GROUP BY doc, band
+"""
+
+
+@query(_BANDS)
+def ink_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of rows whose smoothed ink passes a threshold, small gaps bridged."""
+    ink = words(spark, sf_dir).groupBy("doc", F.col("line").alias("row_no")).agg(F.sum("width").alias("ink"))
+    order = Window.partitionBy("doc").orderBy("row_no")
+    smooth = ink.withColumn("smooth", F.avg("ink").over(order.rowsBetween(-1, 1))).where("smooth >= 200")
+    step = smooth.withColumn("step", F.col("row_no") - F.lag("row_no").over(order))
+    band = step.withColumn("band", F.sum(F.when(F.col("step").isNull() | (F.col("step") > 2), 1).otherwise(0)).over(order))
+    return band.groupBy("doc", "band").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"))
+
+
+@query(f"""
+WITH i AS ({_INK}), c AS (SELECT t.t AS threshold, i.doc, count_if(ink >= t.t) AS rows_over, count(*) AS n FROM i, (VALUES (100), (200), (300), (400), (500)) t(t) GROUP BY ALL)
+SELECT doc, threshold FROM (SELECT doc, threshold, row_number() OVER (PARTITION BY doc ORDER BY abs(rows_over - ceil(n / 2)), threshold) AS k FROM c) WHERE k = 1
+""")
+def grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid search: the threshold that comes nearest to keeping half the rows.
+    All grid points are counted in one pass per page."""
+    ink = words(spark, sf_dir).groupBy("doc", "line").agg(F.sum("width").alias("ink"))
+    grid = (100, 200, 300, 400, 500)
+    own = ink.groupBy("doc").agg(F.count("*").alias("n"), *[F.count_if(F.col("ink") >= t).alias(f"c{t}") for t in grid])
+    miss = F.array(*[F.struct(F.abs(F.col(f"c{t}") - F.ceil(F.col("n") / 2)).alias("m"), F.lit(t).alias("t")) for t in grid])
+    return own.select("doc", F.array_min(miss)["t"].alias("threshold"))
+
+
+@query()
+def region_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line boxes of a page grouped by running mean centre."""
+    lines = op.word_lines(words(spark, sf_dir))
+    regions = lines.select("doc", F.col("line").cast("long").alias("region_no"), "left", (F.col("top") * 0.7).alias("top"), "width", "height")
+    return op.region_groups(regions)
