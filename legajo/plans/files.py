@@ -1 +1,94 @@
+"""Admission of files and corpora; the bytes are made from document rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from legajo.plans.registry import query
+from legajo.sources import files as src
+from legajo.tables import table
+
+_HEAD = "CASE doc_id % 5 WHEN 0 THEN '255044462D312E34' WHEN 1 THEN 'FFD8FFE000104A46' WHEN 2 THEN '89504E470D0A1A0A' WHEN 3 THEN '474946383961' ELSE '' END"
+_FILES = f"""
+SELECT doc_id, head, CASE WHEN head LIKE '255044462D%' THEN 'application/pdf' WHEN head LIKE 'FFD8FF%' THEN 'image/jpeg' WHEN head LIKE '89504E470D0A1A0A%' THEN 'image/png' END AS sniffed,
+  CASE kind WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'jpeg' THEN 'image/jpeg' ELSE 'text/plain' END AS mime, CASE WHEN source = 'camara' THEN 'camera' ELSE 'file' END AS origin
+FROM (SELECT *, {_HEAD} AS head FROM documents)
+"""
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content, mime, origin: leading bytes by arithmetic."""
+    k = F.col("doc_id") % 5
+    head = F.when(k == 0, "255044462D312E34").when(k == 1, "FFD8FFE000104A46").when(k == 2, "89504E470D0A1A0A").when(k == 3, "474946383961").otherwise("")
+    mime = F.when(F.col("kind") == "pdf", "application/pdf").when(F.col("kind") == "png", "image/png").when(F.col("kind") == "jpeg", "image/jpeg").otherwise("text/plain")
+    origin = src.source_of(F.when(F.col("source") == "camara", "camera"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.unhex(head).alias("content"), mime.alias("mime"), origin.alias("origin"))
+
+
+@query(f"SELECT doc_id, sniffed AS mime, CASE sniffed WHEN 'application/pdf' THEN 'pdf' WHEN 'image/jpeg' THEN 'image' WHEN 'image/png' THEN 'image' END AS kind FROM ({_FILES})")
+def file_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = src.sniff(F.col("content"))
+    return uploads(spark, sf_dir).select("doc_id", found.alias("mime")).withColumn("kind", src.kind_of(F.col("mime")))
+
+
+_REASON = "CASE WHEN head = '' THEN 'EMPTY_FILE' WHEN sniffed IS NULL THEN 'UNKNOWN_SIGNATURE' WHEN mime NOT IN ('application/pdf', 'image/jpeg', 'image/png') THEN 'MIME_NOT_ALLOWED' WHEN mime <> sniffed THEN 'MIME_MISMATCH' WHEN origin = 'camera' AND sniffed = 'application/pdf' THEN 'CAMERA_PDF' END"
+
+
+@query(f"SELECT doc_id, origin, reason, CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS code FROM (SELECT *, {_REASON} AS reason FROM ({_FILES}))")
+def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = src.rejection(F.col("content"), F.col("mime"), F.col("origin"))
+    return uploads(spark, sf_dir).select("doc_id", "origin", reason.alias("reason")).withColumn("code", src.error_code(F.col("reason")))
+
+
+@query("SELECT doc_id, CASE WHEN source = 'camara' THEN 'camera' ELSE 'file' END AS origin, CASE WHEN lang = 'en' THEN 'handwritten' ELSE 'printed' END AS mode FROM documents")
+def resolved_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.when(F.col("lang") == "en", "handwritten").when(F.col("lang") == "pt", "").when(F.col("lang") == "es", "printed")
+    return table(spark, sf_dir, "documents").select("doc_id", src.source_of(F.when(F.col("source") == "camara", "camera")).alias("origin"), src.mode_of(asked).alias("mode"))
+
+
+@query("""
+SELECT id, CASE WHEN bool_or(coalesce(trim(expected), '') = '') THEN 'pending' WHEN bool_or(recognised IS NULL) THEN 'invalid' ELSE 'complete' END AS status FROM (
+  SELECT c.id, c.expected, r.id AS recognised FROM case_results c LEFT JOIN (SELECT DISTINCT id FROM recognitions) r ON r.id = c.id WHERE c.id IS NOT NULL) GROUP BY id
+""")
+def corpus_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each case has a text to compare with and a recognition: cases
+    are aggregated by id before the join."""
+    case = table(spark, sf_dir, "case_results").where("id is not null").groupBy("id").agg(F.bool_or(F.coalesce(F.trim("expected"), F.lit("")) == "").alias("blank"))
+    have = table(spark, sf_dir, "recognitions").select("id").where("id is not null").distinct().withColumn("there", F.lit(True))
+    return case.join(have, "id", "left").select("id", F.when(F.col("blank"), "pending").when(F.col("there").isNull(), "invalid").otherwise("complete").alias("status"))
+
+
+@query("""
+SELECT doc_id, translate(text, '01oOlIsS', 'oO01I1S5') AS degraded FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+""")
+def degraded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic degradation of texts for tests of recognition."""
+    return table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select("doc_id", F.translate("text", "01oOlIsS", "oO01I1S5").alias("degraded"))
+
+
+def _declared_pages(text: str | None) -> str:
+    if text is None:
+        raise ValueError("no text")
+    if not text.strip():
+        raise LookupError("blank")
+    return str(text.count("\f") + 1)
+
+
+@query("""
+SELECT source, count(*) AS documents, CAST(count_if(text IS NULL OR trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) = '') AS BIGINT) AS failed FROM documents GROUP BY source
+""")
+def fault_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python step that fails on some rows: they are counted, the rest go on."""
+    out = src.isolated(table(spark, sf_dir, "documents").select("source", "text"), "text", _declared_pages, into="pages")
+    return out.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("status") != "OK").alias("failed"))
+
+
+@query("""
+SELECT recognition_id, json_extract_string(j, '$.field') AS field, json_extract_string(j, '$.value') AS value FROM (
+  SELECT recognition_id, to_json(struct_pack(field := field_name, value := value)) AS j FROM semantic_fields)
+""")
+def json_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as JSON and parsed again under a schema."""
+    text = table(spark, sf_dir, "semantic_fields").select("recognition_id", F.to_json(F.struct(F.col("field_name").alias("field"), "value")).alias("j"))
+    return text.select("recognition_id", F.from_json("j", "field string, value string").alias("x")).select("recognition_id", "x.field", "x.value")
