@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from legajo.operators import imaging
+from legajo.plans.quality import _PAGE
 from legajo.plans.registry import query
 from legajo.sources import files as src
 from legajo.tables import table
@@ -92,3 +94,33 @@ def json_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as JSON and parsed again under a schema."""
     text = table(spark, sf_dir, "semantic_fields").select("recognition_id", F.to_json(F.struct(F.col("field_name").alias("field"), "value")).alias("j"))
     return text.select("recognition_id", F.from_json("j", "field string, value string").alias("x")).select("recognition_id", "x.field", "x.value")
+
+
+@query("SELECT doc, angle, variance FROM (SELECT doc, angle, variance, row_number() OVER (PARTITION BY doc ORDER BY variance DESC, angle) AS n FROM (SELECT doc, angle, round(var_pop(ink), 6) AS variance FROM (SELECT page_id AS doc, CAST(a.a AS INTEGER) AS angle, r.r AS row_no, (page_id * 7 + r.r * (11 + abs(a.a - page_id % 9)) ) % 97 AS ink FROM quality_inputs, generate_series(-10, 10) a(a), generate_series(1, 12) r(r)) GROUP BY ALL)) WHERE n = 1")
+def deskew_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The angle of each page whose row ink varies most (synthetic ink)."""
+    page = table(spark, sf_dir, "quality_inputs").select(F.col("page_id").alias("doc"))
+    grid = page.select("doc", F.explode(F.sequence(F.lit(-10), F.lit(10))).alias("angle")).select("doc", "angle", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("row_no"))
+    ink = grid.withColumn("ink", (F.col("doc") * 7 + F.col("row_no") * (11 + F.abs(F.col("angle") - F.col("doc") % 9))) % 97)
+    return imaging.best_angle(ink)
+
+
+@query(f"SELECT strftime(recognized_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, status, count(*) AS n FROM ({_PAGE}) JOIN (SELECT page_id, recognized_at FROM quality_inputs) USING (page_id) WHERE recognized_at IS NOT NULL GROUP BY ALL")
+def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts per day, counted by a stream that reads the table to its end."""
+    import uuid
+
+    from legajo.streaming.quality import verdict_counts
+    from legajo.tables import ensure_checkpoint_dir
+
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "quality_inputs").schema
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/quality_inputs.parquet*")
+    counts = verdict_counts(source)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    stream = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "n")

@@ -47,7 +47,7 @@ def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("document_key", status.alias("status"), "pages", F.array_join(F.transform("r", lambda x: x["reason"]), ",").alias("reasons"))
 
 
-@query(f"SELECT strftime(date_trunc('month', recognized_at), '%Y-%m') AS month, CAST(count_if(status = 'ACCEPTABLE') AS BIGINT) AS acceptable, CAST(count_if(status = 'REVIEW') AS BIGINT) AS review, CAST(count_if(status = 'INSUFFICIENT') AS BIGINT) AS insufficient FROM (SELECT * FROM ({_PAGE}) JOIN (SELECT page_id, recognized_at FROM quality_inputs) USING (page_id)) GROUP BY ALL")
+@query(f"SELECT strftime(recognized_at AT TIME ZONE 'UTC', '%Y-%m') AS month, CAST(count_if(status = 'ACCEPTABLE') AS BIGINT) AS acceptable, CAST(count_if(status = 'REVIEW') AS BIGINT) AS review, CAST(count_if(status = 'INSUFFICIENT') AS BIGINT) AS insufficient FROM (SELECT * FROM ({_PAGE}) JOIN (SELECT page_id, recognized_at FROM quality_inputs) USING (page_id)) GROUP BY ALL")
 def quality_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts per month, pivoted."""
     month = F.date_format("recognized_at", "yyyy-MM").alias("month")
