@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from legajo.tables import cut, table
 
@@ -58,33 +58,35 @@ def partition(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Buckets:
     A pass counts the prefixes of one depth within the prefixes still too
     large and keeps those that are too large again; there are at most
     ``rows / bucket size`` of them, so at most ``MOST_SPLIT``."""
-    spark = records.sparkSession
     rows = records.count()
     size = max(bucket_rows, -(-rows // MOST_SPLIT))
-    depth = DEPTH
-    todo = records
-    levels: list[tuple[int, DataFrame]] = []
+    depth, todo = DEPTH, records
+    split: dict[int, frozenset[bytes]] = {}
     while True:
         prefix = F.substring("canon", 1, depth)
         large = todo.groupBy(prefix.alias("prefix")).count().where(F.col("count") > size).select("prefix").collect()
         if not large:
-            levels.append((depth, None))
             break
-        split = F.broadcast(spark.createDataFrame([(bytes(r["prefix"]),) for r in large], "prefix binary").withColumnRenamed("prefix", f"split{depth}"))
-        levels.append((depth, split))
-        todo = todo.join(split, prefix == F.col(f"split{depth}"), "left_semi").where(F.length("canon") >= depth)
+        split[depth] = frozenset(bytes(r["prefix"]) for r in large)
+        # a prefix that was split had all its shorter ones split, so one level of them decides
+        again = F.broadcast(records.sparkSession.createDataFrame([(p,) for p in sorted(split[depth])], "again binary"))
+        todo = records.where(F.length("canon") >= depth).join(again, prefix == F.col("again"), "left_semi")
         depth *= 2
-    spread, bucket, at, heavy = records, F.lit(None).cast("binary"), F.lit(0), F.lit(False)
-    for depth, split in reversed(levels):
-        prefix = F.substring("canon", 1, depth)
-        if split is None:
-            bucket, at = prefix, F.lit(depth)
-            continue
-        hit = F.col(f"split{depth}").isNotNull()
-        spread = spread.join(split, prefix == F.col(f"split{depth}"), "left")
-        bucket, at = F.when(hit, bucket).otherwise(prefix), F.when(hit, at).otherwise(F.lit(depth))
-        heavy = F.when(hit & (F.length("canon") < depth), F.lit(True)).otherwise(F.when(hit, heavy).otherwise(F.lit(False)))
-    marked = spread.select("key", "canon", bucket.alias("bucket"), at.alias("depth"), heavy.alias("heavy"))
+    schema = StructType([*records.select("key", "canon").schema.fields, StructField("bucket", BinaryType()), StructField("depth", IntegerType()), StructField("heavy", BooleanType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket, at, heavy = [], [], []
+            for canon in b.column(1).to_pylist():
+                depth = DEPTH
+                while canon[:depth] in split.get(depth, ()) and len(canon) >= depth:
+                    depth *= 2
+                bucket.append(canon[:depth])
+                at.append(depth)
+                heavy.append(len(canon) < depth and canon in split.get(depth, ()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bucket, pa.binary()), pa.array(at, pa.int32()), pa.array(heavy, pa.bool_())], names=schema.names)
+
+    marked = records.select("key", "canon").mapInArrow(place, schema)
     return Buckets(marked.where("not heavy").drop("heavy"), marked.where("heavy").select("key", "canon"))
 
 

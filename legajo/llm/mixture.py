@@ -125,10 +125,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source the share aimed at and the share of the mix's tokens really
     reached, with documents and tokens used."""
     mixed, plans = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    targets = spark.createDataFrame([(p.source, p.share, p.max_repeats, p.available) for p in plans], "source string, target_share double, max_repeats int, available_tokens long")
-    used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    whole = used.agg(F.sum("mixed_tokens").alias("__all"))
-    return (
-        targets.join(used, "source", "left").crossJoin(F.broadcast(whole))  # one row
-        .select("source", "target_share", "max_repeats", "available_tokens", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce(F.try_divide("mixed_tokens", "__all"), F.lit(0.0)).alias("actual_share"))
-    )
+    used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.count("*").alias("n"), F.max("repeats").alias("most")).collect()  # a row per target
+    by = {r["source"]: r for r in used}
+    whole = sum(r["t"] for r in used)
+    rows = []
+    for p in plans:
+        tokens, documents, most = (by[p.source][c] for c in ("t", "n", "most")) if p.source in by else (0, 0, 0)
+        rows.append((p.source, p.share, p.max_repeats, p.available, documents, most, tokens, tokens / whole if whole else 0.0))
+    return spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available_tokens long, documents long, most_repeats int, mixed_tokens long, actual_share double")

@@ -135,9 +135,16 @@ _iban = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}(?:\s?[A-Z0-9]{1
 _CAP = f"(?!(?i:no|nro|km|núm)\\b)(?:[{_UP}][{_LOW}]+|[{_UP}]{{2,}})"
 _STREET = rf"(?:\b(?i:calle|avenida|pasaje|carretera|jirón|plaza|plazuela|camino|callejón|rua|travessa|praça)|\b(?i:av|avda|jr|psje|pje|ctra)\.|\b[cC]/)\s*"
 _street = re.compile(rf"{_STREET}{_CAP}(?:\s+(?:(?i:de|del|la|las|los|el|y)\s+){{0,2}}{_CAP}){{0,3}}")
+_street_words = ("calle", "avenida", "pasaje", "carretera", "jirón", "plaza", "plazuela", "camino", "callejón", "rua", "travessa", "praça", "av.", "avda.", "jr.", "psje.", "pje.", "ctra.", "c/")
 _house = re.compile(r"(?i)^,?\s+(?:(?:n[°º]|no\.|nro\.?|núm\.?|#)\s*\d{1,5}|km\.?\s*\d{1,4}|\d{1,5})(?![\w]|[.,/-]\d)|^,?\s*#\s*\d{1,5}(?!\w|[.,/-]\d)")
 
 
+def streets(text: str) -> list[re.Match]:
+    """Street words with the name behind them, numbered or not."""
+    low = text.lower()
+    return list(_street.finditer(text)) if any(w in low for w in _street_words) else []
+
+
 @dataclass(slots=True)
 class Span:
     start: int
@@ -168,7 +175,7 @@ def proposals(text: str, hint: str = "") -> list[Span]:
     hidden: list[tuple[int, int]] = []
     for m in _email.finditer(text):
         out.append(Span(*m.span(), "email", 0.95))
-    for m in _street.finditer(text):
+    for m in streets(text):
         house = _house.match(text[m.end() : m.end() + 20])
         hidden.append((m.start(), m.end()))
         if house:
