@@ -6,6 +6,7 @@ no-break spaces), and lengths are in code points.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +69,12 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(words_as_chars(a, words), words_as_chars(b, words))
 
 
+@F.pandas_udf("string")
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed form; there is no built-in for it, so Arrow batches carry it."""
+    return text.str.normalize("NFC")
+
+
 def html_escape(text: Column) -> Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))
     for raw, safe in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

@@ -116,7 +116,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = bands.select("strategy", "band", (F.sum("in_band").over(by) - F.col("in_band")).alias("before"), "in_band", F.sum("in_band").over(whole).alias("n"))
     wanted = placed.select("*", F.explode(F.array(F.struct(F.lit("p50").alias("p"), F.lit(0.5).alias("q")), F.struct(F.lit("p95").alias("p"), F.lit(0.95).alias("q")))).alias("w"))
     wanted = wanted.withColumn("rank", F.least(F.col("n"), F.floor(F.col("w.q") * F.col("n")) + 1)).where("rank > before and rank <= before + in_band")
-    near = counts.join(F.broadcast(wanted.select("strategy", "band", "before", "rank", F.col("w.p").alias("p"))), ["strategy", "band"])  # two rows per strategy
+    near = counts.join(wanted.select("strategy", "band", "before", "rank", F.col("w.p").alias("p")), ["strategy", "band"])  # two rows per strategy
     run = F.sum("c").over(Window.partitionBy("strategy", "band", "p").orderBy("x")) + F.col("before")
     hit = near.withColumn("upto", run).where("upto >= rank").groupBy("strategy", "p").agg(F.min("x").alias("x"))
     return hit.groupBy("strategy").agg(F.max(F.when(F.col("p") == "p50", F.col("x"))).alias("p50"), F.max(F.when(F.col("p") == "p95", F.col("x"))).alias("p95"))

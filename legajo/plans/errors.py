@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legajo.functions.text import ACCENTED, PLAIN, SPACE, ascii_fold, char_error_rate, squeeze, word_distance
+from legajo.functions.text import ACCENTED, PLAIN, SPACE, ascii_fold, char_error_rate, nfc, squeeze, word_distance
 from legajo.operators.errors import micro_rates, ranked, ratio
 from legajo.plans.registry import query
 from legajo.tables import table
@@ -238,3 +238,9 @@ def line_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines.select("recognition_id", F.col("l.line_number").alias("line_no"), F.levenshtein(fold(F.col("l.text")), fold(F.col("l.prediction"))).cast("long").alias("own"))
     whole = F.sum("own").over(Window.partitionBy("recognition_id"))
     return own.select("recognition_id", "line_no", whole.alias("before"), (whole - F.col("own")).alias("after"), F.when(F.col("own") > 0, "IMPROVES").otherwise("UNCHANGED").alias("outcome"))
+
+
+@query(f"SELECT result_id, trim(regexp_replace(nfc_normalize(expected), '[{SPACE}]+', ' ', 'g')) AS text FROM case_results WHERE expected IS NOT NULL")
+def nfc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in composed form with white space squeezed."""
+    return table(spark, sf_dir, "case_results").where("expected is not null").select("result_id", squeeze(nfc(F.col("expected"))).alias("text"))

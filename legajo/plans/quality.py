@@ -162,3 +162,15 @@ def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.aggregate(held, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["prediction"]))
     broken = F.size(F.filter(held, lambda x: F.length(F.array_join(F.split(x["prediction"], ""), "")) != F.length(x["prediction"])))
     return runtime.select("recognition_id", F.size(held).cast("long").alias("lines"), size.alias("characters"), broken.cast("long").alias("broken"), F.col("line_count").alias("declared_lines"))
+
+
+@query("""
+SELECT item_id, CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence < 0 OR confidence > 100 THEN 'N/D' ELSE printf('%.1f%%', round(confidence, 1)) END AS shown, CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence < 0 OR confidence > 100 THEN 'inválida' WHEN confidence < 25 THEN 'baja' ELSE 'media' END AS label,
+  coalesce(nullif(trim(line_text), ''), '—') AS context FROM word_context_items
+""")
+def review_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reviewer sees of each word."""
+    c = F.col("confidence")
+    bad = c.isNull() | F.isnan(c) | (c < 0) | (c > 100)
+    shown = F.when(bad, "N/D").otherwise(F.format_string("%.1f%%", F.round(c, 1)))
+    return table(spark, sf_dir, "word_context_items").select("item_id", shown.alias("shown"), F.when(bad, "inválida").when(c < 25, "baja").otherwise("media").alias("label"), F.coalesce(F.nullif(F.trim("line_text"), F.lit("")), F.lit("—")).alias("context"))

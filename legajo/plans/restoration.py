@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from legajo.functions.text import SPACE, code_points, html_escape
 from legajo.operators import restoration as op
+from legajo.operators.normalise import normalise
+from legajo.plans import fields as field_plans
 from legajo.plans.layout import noise_sql
 from legajo.plans.registry import query
 from legajo.tables import table
@@ -133,3 +135,23 @@ def safe_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "semantic_anomalies").where("line_context is not null and original_text is not null and suggested_alternative is not null")
     one = F.array(F.struct(F.lower("original_text").alias("original"), F.lower("suggested_alternative").alias("suggested")))
     return rows.select("anomaly_id", op.apply_suggestions(F.concat_ws(" ", F.lower("line_context"), F.lower("original_text")), one).alias("applied"))
+
+
+_NORMALISED = " UNION ALL ".join(f"SELECT -recognition_id AS doc, input, value FROM ({field_plans._sql_on(k, f'SELECT recognition_id, line_no AS item_no, raw FROM ({field_plans._EXTRACT}) WHERE field_type = {chr(39)}{k}{chr(39)}')}) WHERE status = 'NORMALIZED'" for k in field_plans._SQL)
+
+
+@query(f"""
+WITH c AS (SELECT doc, CAST(count_if(step = 'noise') AS BIGINT) AS noise_removed, CAST(count_if(step <> 'noise') AS BIGINT) AS rule_changes FROM ({_CHANGES}) WHERE doc < 0 GROUP BY doc),
+f AS (SELECT doc, count(*) AS field_changes FROM (SELECT DISTINCT doc, input, value FROM ({_NORMALISED})) GROUP BY doc)
+SELECT coalesce(c.doc, f.doc) AS doc, coalesce(noise_removed, 0) AS noise_removed, coalesce(rule_changes, 0) AS rule_changes, coalesce(field_changes, 0) AS field_changes FROM c FULL JOIN f ON c.doc = f.doc
+""")
+def synthesis_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interventions of each structured page by their author: noise removal,
+    rules, and distinct field normalisations."""
+    page = op.changes(lines(spark, sf_dir).where("doc < 0")).groupBy("doc").agg(F.count_if(F.col("step") == "noise").alias("noise_removed"), F.count_if(F.col("step") != "noise").alias("rule_changes"))
+    found = normalise(field_plans.extracted(field_plans.page_lines(spark, sf_dir)), F.col("field_type"), F.col("raw"))
+    # the flag is aggregated, so that no filter is pushed into the staged steps
+    each = found.groupBy((-F.col("recognition_id")).alias("doc"), "input", "value").agg(F.max(F.col("status") == "NORMALIZED").alias("did"))
+    field = each.groupBy("doc").agg(F.count_if("did").alias("field_changes")).where("field_changes > 0")
+    both = page.join(field, "doc", "full")
+    return both.select("doc", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("noise_removed", "rule_changes", "field_changes")])
