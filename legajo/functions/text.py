@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Unicode white space as a character class without brackets, for JVM and RE2 alike.
 SPACE = r"\t\n\x0b\x0c\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
@@ -69,10 +70,13 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(words_as_chars(a, words), words_as_chars(b, words))
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
+def nfc(text: Column) -> Column:
     """Composed form; there is no built-in for it, so Arrow batches carry it."""
-    return text.str.normalize("NFC")
+
+    def compose(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFC")
+
+    return F.pandas_udf(compose, StringType())(text)
 
 
 def html_escape(text: Column) -> Column:
