@@ -10,7 +10,7 @@ from legajo.functions.text import SPACE, strip
 from legajo.operators import anomalies as op
 from legajo.plans.layout import noise_sql
 from legajo.plans.registry import query
-from legajo.tables import table
+from legajo.tables import spread, table
 
 _LINES = """
 SELECT page_id AS doc, CAST(unnest(generate_series(1, len(regexp_split_to_array(text, '\\r?\\n')))) AS INTEGER) AS line_no, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line FROM quality_inputs WHERE text IS NOT NULL
@@ -18,7 +18,7 @@ SELECT page_id AS doc, CAST(unnest(generate_series(1, len(regexp_split_to_array(
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = table(spark, sf_dir, "quality_inputs").where("text is not null")
+    page = spread(table(spark, sf_dir, "quality_inputs").where("text is not null").select("page_id", "text"))
     return page.select(F.col("page_id").alias("doc"), F.posexplode(F.split("text", "\r?\n")).alias("p", "line")).select("doc", (F.col("p") + 1).alias("line_no"), "line")
 
 

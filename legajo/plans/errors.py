@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from legajo.functions.text import ACCENTED, PLAIN, SPACE, ascii_fold, char_error_rate, nfc, squeeze, word_distance
 from legajo.operators.errors import micro_rates, ranked, ratio
 from legajo.plans.registry import query
-from legajo.tables import table
+from legajo.tables import spread, table
 
 
 
@@ -27,7 +27,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded reference and hypothesis of every case that has both.  The input
     is spread over the cores before the costly distance."""
     case = table(spark, sf_dir, "case_results").where("expected is not null and obtained is not null")
-    return case.select("result_id", "category", _norm("expected").alias("r"), _norm("obtained").alias("h")).repartition(max(8, spark.sparkContext.defaultParallelism * 3))
+    return spread(case.select("result_id", "category", _norm("expected").alias("r"), _norm("obtained").alias("h")))
 
 
 @query(f"SELECT result_id, CAST(levenshtein(r, h) AS INTEGER) AS character_distance, round(CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0 ELSE 1 END ELSE levenshtein(r, h) / length(r) END, 6) AS cer FROM ({_CASES})")
@@ -48,7 +48,7 @@ FROM (SELECT *, list_distinct(rw || hw) AS u FROM (SELECT *, {_WORDS.format(x='r
 
 def line_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of each recognised line to its text."""
-    lines = table(spark, sf_dir, "recognitions").select("recognition_id", "category", F.explode("lines").alias("l")).where("l.text is not null and l.prediction is not null")
+    lines = spread(table(spark, sf_dir, "recognitions").select("recognition_id", "category", "lines")).select("recognition_id", "category", F.explode("lines").alias("l")).where("l.text is not null and l.prediction is not null")
     pairs = lines.select("recognition_id", "category", F.col("l.line_number").alias("line_no"), squeeze(ascii_fold(F.col("l.text"))).alias("r"), squeeze(ascii_fold(F.col("l.prediction"))).alias("h"))
     words = F.size(F.filter(F.split("r", " "), lambda w: w != ""))
     return pairs.select("recognition_id", "category", "line_no", F.levenshtein("r", "h").alias("character_distance"), F.length("r").alias("reference_characters"), word_distance(F.col("r"), F.col("h")).alias("word_distance"), words.alias("reference_words"))

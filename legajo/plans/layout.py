@@ -14,7 +14,7 @@ from legajo.functions.text import SPACE, round_half_up
 from legajo.operators import layout as op
 from legajo.plans.registry import query
 from legajo.sources.tsv import parse_words
-from legajo.tables import table
+from legajo.tables import spread, table
 
 _WORDS = f"""
 SELECT doc, 1 AS page, block, paragraph, line, word_no, text, CAST((doc * 31 + line * 17 + word_no * 7) % 101 AS DOUBLE) AS confidence, CAST("left" AS DOUBLE) AS "left", CAST(line * 20.0 + block * 10.0 AS DOUBLE) AS top, CAST(length(text) * 10.0 AS DOUBLE) AS width, CAST(12.0 AS DOUBLE) AS height FROM (
@@ -27,7 +27,7 @@ SELECT doc, 1 AS page, block, paragraph, line, word_no, text, CAST((doc * 31 + l
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = table(spark, sf_dir, "quality_inputs").where("text is not null")
+    page = spread(table(spark, sf_dir, "quality_inputs").where("text is not null").select("page_id", "text"))
     line = page.select(F.col("page_id").alias("doc"), F.posexplode(F.split("text", "\r?\n")).alias("p", "t"))
     parts = line.select("doc", (F.col("p") + 1).alias("line"), F.filter(F.split(F.trim(F.regexp_replace("t", f"[{SPACE}]+", " ")), " "), lambda x: x != "").alias("words"))
     word = parts.select("doc", "line", "words", F.posexplode("words").alias("w", "text"))

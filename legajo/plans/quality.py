@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from legajo.functions.quality import RANKS, character_action, low_confidence, page_quality, rank
 from legajo.functions.text import SPACE
 from legajo.plans.registry import query
-from legajo.tables import table
+from legajo.tables import spread, table
 
 _BLANK = f"coalesce(trim(regexp_replace(text, '[{SPACE}]+', ' ', 'g')), '') = ''"
 _PAGE = f"""
@@ -85,7 +85,7 @@ FROM (SELECT recognition_id, category, line_no, p, t, unnest(generate_series(0,
 def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per predicted character with a confidence and whether it matches
     the text at its place (the confidence is synthetic arithmetic)."""
-    lines = table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", "category", F.explode("lines").alias("l"))
+    lines = spread(table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", "category", "lines")).select("recognition_id", "category", F.explode("lines").alias("l"))
     pair = lines.select("recognition_id", "category", F.col("l.line_number").alias("line_no"), F.col("l.prediction").alias("p"), F.col("l.text").alias("t")).where("length(p) > 0 and length(t) > 0")
     char = pair.select("recognition_id", "category", "line_no", "p", "t", F.explode(F.sequence(F.lit(0), F.least(F.length("p"), F.length("t")) - 1)).alias("char_index"))
     confidence = ((F.col("recognition_id") * 31 + F.col("line_no") * 17 + F.col("char_index") * 7) % 101) / 100.0

@@ -11,7 +11,7 @@ from legajo.operators.normalise import normalise
 from legajo.plans import fields as field_plans
 from legajo.plans.layout import noise_sql
 from legajo.plans.registry import query
-from legajo.tables import table
+from legajo.tables import spread, table
 
 _LINES = """
 SELECT result_id AS doc, CAST(unnest(generate_series(1, len(regexp_split_to_array(obtained, '\\r?\\n')))) AS INTEGER) AS line_no, unnest(regexp_split_to_array(obtained, '\\r?\\n')) AS line FROM case_results WHERE obtained IS NOT NULL
@@ -23,7 +23,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of obtained texts and, under negative numbers, of raw texts."""
     case = table(spark, sf_dir, "case_results").select(F.col("result_id").alias("doc"), F.col("obtained").alias("t"))
     raw = table(spark, sf_dir, "recognitions").select((-F.col("recognition_id")).alias("doc"), F.col("structured_fields.raw_text").alias("t"))
-    return case.unionByName(raw).where("t is not null").select("doc", F.posexplode(F.split("t", "\r?\n")).alias("p", "line")).select("doc", (F.col("p") + 1).alias("line_no"), "line")
+    return spread(case.unionByName(raw).where("t is not null")).select("doc", F.posexplode(F.split("t", "\r?\n")).alias("p", "line")).select("doc", (F.col("p") + 1).alias("line_no"), "line")
 
 
 _B = "(^|[^A-Za-z0-9_])"
@@ -118,14 +118,14 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lcs_word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replaced words between obtained and expected texts."""
-    return op.word_changes(table(spark, sf_dir, "case_results"), "result_id", "obtained", "expected")
+    return op.word_changes(spread(table(spark, sf_dir, "case_results").select("result_id", "obtained", "expected")), "result_id", "obtained", "expected")
 
 
 @query()
 def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character alignment of each recognised line with its text; the number of
     steps that don't match is the edit distance (a test holds it to that)."""
-    pairs = table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", F.explode("lines").alias("l")).select("recognition_id", F.col("l.line_number").alias("line_no"), F.col("l.text").alias("t"), F.col("l.prediction").alias("p"))
+    pairs = spread(table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", "lines")).select("recognition_id", F.explode("lines").alias("l")).select("recognition_id", F.col("l.line_number").alias("line_no"), F.col("l.text").alias("t"), F.col("l.prediction").alias("p"))
     return op.alignment(pairs, ["recognition_id", "line_no"], "t", "p")
 
 
