@@ -43,6 +43,12 @@ def test_personal_spans():
     assert p.find("x" * 200_000) == []
 
 
+def test_lower_case_names_need_context():
+    found = lambda x: [p.mention(x, s) for s in p.find(x) if s.kind == "name"]
+    assert found("Entregado a v. rojas paz para su conocimiento.") == ["v. rojas"] or found("Entregado a v. rojas pazos para su conocimiento.") == ["v. rojas pazos"]
+    assert found("a. surco reciente;") == [] and found("b. base de datos suficiente;") == []
+
+
 def test_validators():
     assert p.luhn("4539578763621486") and not p.luhn("4539578763621487")
     assert p.mod97("GB82WEST12345698765432") and not p.mod97("GB82WEST12345698765431")
