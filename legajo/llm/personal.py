@@ -98,8 +98,10 @@ def _names_in(text: str) -> Iterator[tuple[int, int, float]]:
             yield m.start(), m.end(), score
 
 
-_NAME_BEFORE = re.compile(r"(?i)(?:\b(?:sr|sra|srta|dr|dra|lic|ing|don|doña|señora?|por|entregado\s+a|recibido\s+por|declaró\s+que|quien\s+suscribe,|comunicarse\s+con|suscribe|remitente:?|nombre:?)\.?\s+|[\d\]-]\s+de\s+)$")
+_NAME_BEFORE = re.compile(r"(?i)(?:\b(?:sr|sra|srta|dr|dra|lic|ing|don|doña|señora?|ciudadan[oa]|por|entregado\s+a|recibido\s+por|declaró\s+que|quien\s+suscribe,|comunicarse\s+con|suscribe|remitente:?|nombre:?)\.?\s+|[\d\]-]\s+de\s+)$")
 _BEGIN = re.compile(r"^\s*$")
+_broken = re.compile(r"[-\u00ac=] ?\n\s*")
+_NAME_SURELY = re.compile(r"(?i)^(?:\s+(?:vive\s+act|dejó\s+el)|,\s+(?:titular|con\s+(?:c\.?i|céd|carnet|ident|pasap|n\.?i\.?t)))")
 _NAME_AFTER = re.compile(r"(?i)^\s*(?:,?\s*(?:tel|titular|con\s)|\(|dejó|vive|al\s+(?:tel|fono|cel|número)|c\.?i\.|$)")
 
 _email = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?(?:\s?@\s?|\s?\(at\)\s?|\s?\[(?:arroba|at)\]\s?|\s?\(arroba\)\s?)(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b")
@@ -214,8 +216,8 @@ def proposals(text: str, hint: str = "") -> list[Span]:
     for a, b, score in _names_in(text):
         if any(x < b and a < y for x, y in hidden) or any(x < b and a < y for x, y in mails):
             continue
-        left = before(a)
-        own = score + (0.35 if _NAME_BEFORE.search(left) else 0.2 * bool(_BEGIN.match(left))) + 0.15 * bool(_NAME_AFTER.match(text[b : b + AFTER]))
+        left, right = _broken.sub("", before(a)), text[b : b + AFTER]
+        own = score + (0.35 if _NAME_BEFORE.search(left) else 0.2 * bool(_BEGIN.match(left))) + (0.35 if _NAME_SURELY.match(right) else 0.15 * bool(_NAME_AFTER.match(right)))
         out.append(Span(a, b, "name", own))
     return out
 
