@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.tables import table
@@ -250,11 +250,6 @@ def redact(text: str | None, hint: str = "") -> str | None:
     return "".join([*out, text[at:]])
 
 
-#: JVM-side: texts without digit, upper-case letter, at-sign or a given name have no proposal.
-def _possible(text: Column) -> Column:
-    return text.rlike("[0-9@\\p{Lu}]|" + "|".join(g for g in GIVEN if g not in _WORDS))
-
-
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """field, rec_id, item_no, hint, text of the three kinds of value."""
     rec = table(spark, sf_dir, "recognitions")
@@ -282,7 +277,7 @@ def found(df: DataFrame) -> DataFrame:
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.string())], names=["field", "rec_id", "item_no", "pii_type", "found"])
 
-    return df.where(_possible(F.col("text"))).select("field", "rec_id", "item_no", "hint", "text").mapInArrow(run, FOUND)
+    return df.select("field", "rec_id", "item_no", "hint", "text").mapInArrow(run, FOUND)
 
 
 def redacted(df: DataFrame) -> DataFrame:

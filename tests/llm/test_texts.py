@@ -62,6 +62,16 @@ def test_found_rows(spark):
     assert p.found(df.where("false")).count() == 0 and p.redacted(df).count() == 5
 
 
+def test_found_reads_what_redaction_reads(spark):
+    texts = ["wyufuelana(at)oficina.example", "chirnuelin_hernan [arroba] mesa-partes.test", "hzanivin (arroba) tramites.test", "uno[at]dos.test", "la encargada, por g. zañondte zañeskovia", "nada que ver"]
+    df = spark.createDataFrame([("value", i, 0, "", t) for i, t in enumerate(texts)], "field string, rec_id long, item_no int, hint string, text string")
+    found = {(r["rec_id"], r["pii_type"], r["found"]) for r in p.found(df).collect()}
+    assert found == {(i, s.kind, p.mention(t, s)) for i, t in enumerate(texts) for s in p.find(t)}
+    assert {(0, "email", texts[0]), (1, "email", texts[1]), (4, "name", "g. zañondte zañeskovia")} <= found
+    changed = {r["rec_id"] for r in p.redacted(df).collect() if r["text"] != texts[r["rec_id"]]}
+    assert changed == {r for r, _, _ in found} == {0, 1, 2, 3, 4}
+
+
 def test_text_kinds_on_held_out_texts(spark):
     held = k.labelled_texts(400, seed=77)
     df = spark.createDataFrame([(i, kind, t, 0.5) for i, (kind, t) in enumerate(held)], "i int, label string, text string, digit_ratio double")
