@@ -52,7 +52,7 @@ def analyze_semantics(pages: DataFrame, suggest: Callable[[str], tuple[str, str]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for d, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.string())], names=["token", "decision", "suggested"])
 
     answered = candidates.join(asked.mapInArrow(run, "token string, decision string, suggested string"), "token").join(pages.select("doc", F.col("text").alias("document")), "doc")
-    rows = answered.withColumnRenamed("token", "original").withColumn("context", F.regexp_replace("line_key", f"[{SPACE}]+", " "))
+    rows = answered.withColumnRenamed("token", "original").withColumn("context", F.regexp_replace("line_key", f"[{SPACE}]+", " ")).withColumn("candidate", F.col("original"))
     return anomalies.validate(rows).select("doc", "original", "suggested", "decision", "char_distance", "status", "rejection")
 
 

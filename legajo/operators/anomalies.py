@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.functions.fields import digits
 from legajo.functions.quality import anomaly_score, noise_line
 from legajo.functions.text import strip, token_key, tokens
+from legajo.operators.normalise import normalise
 
 
 def scored_tokens(lines: DataFrame) -> DataFrame:
@@ -37,37 +37,48 @@ def diversified_top(candidates: DataFrame, k: int, per_line: int = 2) -> DataFra
 
 
 #: Labels whose lines hold contract data.
-PROTECTED_LABEL = r"(?i)(?<![A-Za-z0-9_])(?:nit|c[oó]digo|fecha|monto|c\.?i\.?|bs)(?![A-Za-z0-9_])"
+PROTECTED_LABEL = r"(?i)(?<![A-Za-z0-9_])(?:nit|c[oóÓ]digo|fecha|monto|bs|total|c\.i|ci)(?![A-Za-z0-9_])"
+#: Kinds of field whose normalisation may explain a change of protected data.
+NORMALISERS = ("NIT", "TV_CORRELATIVO", "DATE", "AMOUNT")
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """Suggestions (original, suggested, context, document, decision) with
-    ``char_distance``, ``status`` and ``rejection``; the first rule that
-    applies decides.
+    """Suggestions (original, suggested, context, document, decision, candidate)
+    with ``char_distance``, ``status`` and ``rejection``; the first rule that
+    applies decides.  ``document`` is the whole text that was read, ``candidate``
+    the text of the candidate that the suggestion's id names, null where no
+    candidate has that id.
 
     Missing from the document; a decision that isn't a correction; no change;
     protected data that no normalisation explains; too many edits (two up to
-    six characters, three beyond, never over 45 %); else SUGGESTED.  Null
-    originals or suggestions count as empty."""
+    six characters, three beyond, never over 45 %); an unknown candidate;
+    another word than the candidate's; else SUGGESTED.  Null originals or
+    suggestions count as empty."""
     o, s = F.coalesce(strip(F.col("original")), F.lit("")), F.coalesce(strip(F.col("suggested")), F.lit(""))
-    staged = df.withColumns({"__o": o, "__s": s})
-    o, s = F.col("__o"), F.col("__s")
+    staged = df.select(F.struct("*").alias("__row"), o.alias("__o"), s.alias("__s"))
+    o, s, row = F.col("__o"), F.col("__s"), F.col("__row")
+    explained = F.lit(False)
+    for kind in NORMALISERS:
+        staged = normalise(staged, F.lit(kind), o).withColumn(f"__{kind}", F.coalesce((F.col("status") == "NORMALIZED") & (F.col("value") == s), F.lit(False))).drop("input", "value", "status", "reason")
+        explained = explained | F.col(f"__{kind}")
     staged = staged.withColumn("__d", F.levenshtein(o, s))
-    guarded = o.rlike("[0-9]") | s.rlike("[0-9]") | F.coalesce(F.col("context").rlike(PROTECTED_LABEL), F.lit(False))
-    number = (digits(o) == s) & (o != s) & s.rlike("^[0-9]{1,20}$")
+    guarded = o.rlike("[0-9]") | s.rlike("[0-9]") | F.coalesce(row["context"].rlike(PROTECTED_LABEL), F.lit(False))
     d = F.col("__d")
     rejection = (
-        F.when(~F.contains("document", o) | F.col("document").isNull(), "ORIGINAL_TEXT_NOT_FOUND_IN_OCR")
-        .when(F.col("decision") == "NOISE", "NOISE_ARTIFACT_PRESERVED")
-        .when(F.col("decision") == "VERIFIED_CORRECT", "VERIFIED_CORRECT_NO_MODIFICATION_NEEDED")
-        .when(F.col("decision") == "NO_CORRECTION_DETERMINABLE", "NO_CORRECTION_DETERMINABLE")
+        F.when(~F.contains(row["document"], o) | row["document"].isNull(), "ORIGINAL_TEXT_NOT_FOUND_IN_OCR")
+        .when(row["decision"] == "NOISE", "NOISE_ARTIFACT_PRESERVED")
+        .when(row["decision"] == "VERIFIED_CORRECT", "VERIFIED_CORRECT_NO_MODIFICATION_NEEDED")
+        .when(row["decision"] == "NO_CORRECTION_DETERMINABLE", "NO_CORRECTION_DETERMINABLE")
         .when(F.lower(o) == F.lower(s), "NO_OP_CORRECTION")
-        .when(guarded & ~number, "PROTECTED_FIELD_RESTRICTED_MANUAL_REVIEW_ONLY")
+        .when(guarded & ~explained, "PROTECTED_FIELD_RESTRICTED_MANUAL_REVIEW_ONLY")
         .when((d > F.when(F.length(o) <= 6, 2).otherwise(3)) | (d > 0.45 * F.greatest(F.lit(1), F.length(o))), "EDIT_DISTANCE_THRESHOLD_EXCEEDED")
+        .when(row["candidate"].isNull(), "UNKNOWN_CANDIDATE_ID")
+        .when(token_key(row["candidate"]) != token_key(o), "CANDIDATE_TEXT_MISMATCH")
     )
     out = staged.withColumn("rejection", rejection)
     distance = F.when(F.col("rejection") == "ORIGINAL_TEXT_NOT_FOUND_IN_OCR", 999).when(F.col("rejection").isin("NOISE_ARTIFACT_PRESERVED", "VERIFIED_CORRECT_NO_MODIFICATION_NEEDED", "NO_CORRECTION_DETERMINABLE", "NO_OP_CORRECTION"), 0).otherwise(d)
-    return out.withColumns({"char_distance": distance, "status": F.when(F.col("rejection").isNull(), "SUGGESTED").otherwise("REJECTED")}).drop("__o", "__s", "__d")
+    verdict = {"char_distance": distance, "status": F.when(F.col("rejection").isNull(), "SUGGESTED").otherwise("REJECTED"), "rejection": F.col("rejection")}
+    return out.select(*[row[c].alias(c) for c in df.columns if c not in verdict], *[v.alias(c) for c, v in verdict.items()])
 
 
 def whole_word_in(value: Column, text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legajo.functions.quality import anomaly_score, noise_line
-from legajo.functions.text import SPACE, strip
+from legajo.functions.text import SPACE, strip, token_key
 from legajo.operators import anomalies as op
 from legajo.plans.layout import noise_sql
 from legajo.plans.registry import query
@@ -77,9 +77,17 @@ def anomaly_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def validate_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stored suggestion by the first rule that applies; its line stands in
-    for the document.  (Distances are in code points, which SQL here lacks.)"""
-    stored = table(spark, sf_dir, "semantic_anomalies").select("anomaly_id", F.col("original_text").alias("original"), F.col("suggested_alternative").alias("suggested"), F.col("line_context").alias("context"), F.concat_ws(" ", "line_context", "original_text").alias("document"), "decision")
+    """Every stored suggestion by the first rule that applies, against the whole
+    text of its recognition.  Candidates carry the pages' numbers and suggestions
+    the recognitions', so they meet by id alone (as in ``omitted_candidates``);
+    of the candidates of an id, one of the same word goes first.  (Distances are
+    in code points, which SQL here lacks.)"""
+    text = table(spark, sf_dir, "recognitions").select("recognition_id", F.col("text").alias("document"))
+    items = table(spark, sf_dir, "word_context_items").select("id", F.coalesce("text", F.lit("")).alias("t"))
+    same = items.groupBy("id", token_key(F.col("t")).alias("key")).agg(F.min("t").alias("same"))
+    other = items.groupBy("id").agg(F.min("t").alias("other"))
+    stored = table(spark, sf_dir, "semantic_anomalies").select("anomaly_id", "recognition_id", "id", F.col("original_text").alias("original"), F.col("suggested_alternative").alias("suggested"), F.col("line_context").alias("context"), "decision", token_key(F.coalesce("original_text", F.lit(""))).alias("key"))
+    stored = stored.join(text, "recognition_id", "left").join(same, ["id", "key"], "left").join(other, "id", "left").withColumn("candidate", F.coalesce("same", "other"))
     return op.validate(stored).select("anomaly_id", "char_distance", "status", "rejection")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.functions.text import SPACE, code_points, html_escape
+from legajo.functions.text import SPACE, code_points, html_escape, strip
 from legajo.operators import restoration as op
 from legajo.operators.normalise import normalise
 from legajo.plans import fields as field_plans
@@ -131,10 +131,12 @@ def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def safe_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the safe ones of their suggestions applied."""
+    """Lines, as they stand, with the safe ones of their suggestions applied:
+    suggested corrections of what isn't protected; any other line is unchanged."""
     rows = table(spark, sf_dir, "semantic_anomalies").where("line_context is not null and original_text is not null and suggested_alternative is not null")
-    one = F.array(F.struct(F.lower("original_text").alias("original"), F.lower("suggested_alternative").alias("suggested")))
-    return rows.select("anomaly_id", op.apply_suggestions(F.concat_ws(" ", F.lower("line_context"), F.lower("original_text")), one).alias("applied"))
+    one = F.array(F.struct(strip(F.col("original_text")).alias("original"), strip(F.col("suggested_alternative")).alias("suggested")))
+    open_to_it = (F.col("status") == "SUGGESTED") & (F.col("decision") == "CORRECTION") & ~F.coalesce("is_protected_field", F.lit(False))
+    return rows.select("anomaly_id", F.when(open_to_it, op.apply_suggestions(F.col("line_context"), one)).otherwise(F.col("line_context")).alias("applied"))
 
 
 _NORMALISED = " UNION ALL ".join(f"SELECT -recognition_id AS doc, input, value FROM ({field_plans._sql_on(k, f'SELECT recognition_id, line_no AS item_no, raw FROM ({field_plans._EXTRACT}) WHERE field_type = {chr(39)}{k}{chr(39)}')}) WHERE status = 'NORMALIZED'" for k in field_plans._SQL)
