@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pytest
@@ -62,6 +63,26 @@ def test_page_repair(repairer):
     assert len(model.paragraphs("Informe carpeta oficina. " * 20_000)) > 400_000
 
 
+def test_every_counted_word_is_looked_up(spark):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abñé") for _ in range(rng.randint(1, 6))) for _ in range(300)} | {"sentencia", "vacuna-dosis", "ñandú"})
+    frame = lambda times: spark.createDataFrame([(" ".join([w] * (i % times + 1)),) for i, w in enumerate(names)], "text string")
+    correct, recognised = frame(5), frame(7)
+    full = r.count_words(correct, recognised)
+    assert type(full.clean) is dict and full.clean["sentencia"] == names.index("sentencia") % 5 + 1 and len(full.seen) == len(names)
+    for keep in (0, 1, 20):
+        few = pickle.loads(pickle.dumps(r.count_words(correct, recognised, keep)))
+        assert dict.__len__(few.clean) <= keep
+        for w in [*names, "", "a", "zzz", "sentenci", "sentenciaa", "ñ"]:
+            assert (few.clean.get(w, 0), few.seen.get(w, 0), w in few.clean, few.known(w)) == (full.clean.get(w, 0), full.seen.get(w, 0), w in full.clean, full.known(w))
+        assert dict(few.clean.items()) == full.clean and dict(few.seen.items()) == full.seen
+        for w in ("scntencia", "sentcncia", "ñanbú"):
+            assert r.candidates(w, few) == r.candidates(w, full)
+    assert ("sentencia", ((1, "c", "e"),)) in r.candidates("scntencia", few)
+    none = r.count_words(correct.where("false"), recognised.where("false"))
+    assert none.clean == {} and none.seen == {}
+
+
 def test_paragraphs(repairer):
     model, pairs, _ = repairer
     correct, noisy, _ = pairs[0]
