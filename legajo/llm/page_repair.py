@@ -39,6 +39,11 @@ VOCABULARY = 80_000
 #: Words remembered per task.
 REMEMBERED = 200_000
 EPOCHS = 8
+#: Shares of all recognised words, so that a table's size does not change them: from SOUND on
+#: a word counts as good without a correct text that holds it; from LIKELY (one edit) and
+#: SURELY (two edits) on a word is proposed.  50, 3 and 20 in the 1.34 million words of the
+#: tables they were chosen on.  LEAST sightings are needed for a share to mean anything.
+SOUND, LIKELY, SURELY, LEAST = 37.4e-6, 2.24e-6, 15e-6, 3
 
 #: What a character or pair is misread as -> what it stands for.
 CONFUSIONS = {
@@ -158,6 +163,13 @@ class Words:
     clean: dict[str, int] = field(default_factory=dict)
     seen: dict[str, int] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.total = sum(n for _, n in self.seen.items())
+
+    def holds(self, count: int, share: float) -> bool:
+        """Whether a count is at least this share of all recognised words."""
+        return count >= max(LEAST, share * self.total)
+
     def known(self, word: str) -> bool:
         return self.clean.get(word, 0) >= 3
 
@@ -285,16 +297,17 @@ def candidates(word: str, words: Words) -> list[tuple[str, tuple[tuple[int, str,
         w = w.lower()
         return words.clean.get(w, 0) * 2 + seen(w, 0)
 
+    own = total(word)  # a misreading is rarer than what it stands for
     for e in single:
         result = _apply(word, (e,))
-        if total(result) >= 3 or (words.clean.get(result.lower(), 0) >= 1):
+        if total(result) > own and (words.holds(total(result), LIKELY) or words.clean.get(result.lower(), 0) >= 1):
             hits.append((result, (e,)))
     if not hits and len(word) >= 5:
         for j, a in enumerate(single):
             for b in single[j + 1 :]:
                 if b[0] >= a[0] + len(a[1]):
                     result = _apply(word, (a, b))
-                    if words.clean.get(result.lower(), 0) >= 2 or total(result) >= 20:
+                    if total(result) > own and (words.clean.get(result.lower(), 0) >= 2 or words.holds(total(result), SURELY)):
                         hits.append((result, (a, b)))
     if not hits and _odd(word) and sum(c.isalpha() for c in word) >= 3:
         edits = tuple((i, c, CONFUSIONS[c][0]) for i, c in enumerate(word) if not c.isalpha() and c in CONFUSIONS)
@@ -446,7 +459,7 @@ class Repairer:
 
     def _sound(self, tokens: list[str]) -> bool:
         words = [w for t in tokens if (w := t.strip(_EDGE_LEFT + _EDGE_RIGHT + "-¬=").lower()) and any(c.isalpha() for c in w)]
-        good = sum(len(w) > 1 and (self.words.known(w) or self.words.seen.get(w, 0) >= 50) or w in ("a", "y", "o", "e", "u") for w in words)
+        good = sum(len(w) > 1 and (self.words.known(w) or self.words.holds(self.words.seen.get(w, 0), SOUND)) or w in ("a", "y", "o", "e", "u") for w in words)
         return 2 * good >= len(words)
 
     def noises(self, text: str) -> list[tuple[int, str]]:

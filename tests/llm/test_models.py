@@ -83,6 +83,18 @@ def test_every_counted_word_is_looked_up(spark):
     assert none.clean == {} and none.seen == {}
 
 
+def test_verdicts_do_not_change_with_the_table(repairer):
+    model = repairer[0]
+    clean, seen = {"documento": 60_000, "quía": 1}, {"documento": 1_336_000, "nlt": 30, "fccha": 9, "hospitaI": 1, "guía": 350, "quía": 4, "recibo": 2, "sello": 12, "entregado": 300}
+    tables = [r.Words({w: n * k for w, n in clean.items()}, {w: n * k for w, n in seen.items()}) for k in (1, 10, 100)]
+    lines = (["nlt", "fccha"], ["nlt", "documento"], ["entregado", "guía", "nlt"])
+    sound = [[r.Repairer(t, model.tagger, model.joiner, model.editor)._sound(x) for x in lines] for t in tables]
+    assert sound == [[False, True, True]] * 3
+    for word in ("guía", "scllo", "sc1lo", "rccibo", "fecha", "entrcgado", "documcnto"):
+        assert len({tuple(r.candidates(word, t)) for t in tables}) == 1, word
+    assert r.candidates("guía", tables[2]) == [("guía", ())]  # nothing rarer is proposed
+
+
 def test_paragraphs(repairer):
     model, pairs, _ = repairer
     correct, noisy, _ = pairs[0]
