@@ -39,7 +39,7 @@ def canonical(text: Column) -> Column:
     kept = "[^\\p{L}\\p{N}\\p{M}]"
     parts = F.split(marked, "\x1e")
     labelled = (F.size(parts) > 1) & (F.regexp_replace(parts[0], kept, "") == "")
-    pairs = F.array_join(F.array_sort(F.transform(F.slice(parts, 2, 1_000_000), lambda x: F.regexp_replace(x, "[^\\p{L}\\p{N}\\p{M}\\x1f]", ""))), "\x1e")
+    pairs = F.array_join(F.array_sort(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.regexp_replace(x, "[^\\p{L}\\p{N}\\p{M}\\x1f]", ""))), "\x1e")
     plain = F.regexp_replace(marked, kept, "")
     return F.when(F.regexp_replace(text, "[^\\p{L}\\p{N}]", "") == "", F.lit(None)).otherwise(F.when(labelled, pairs).otherwise(plain))
 

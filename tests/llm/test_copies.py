@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from legajo.llm import copies as c
 
 
@@ -35,3 +37,10 @@ def test_against_brute_force_with_recursion_and_heavy_texts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "key long, text string")
     assert c.copies(df, "key", "text").count() == 0 and c.collapsed(df, "key", "text").count() == 0
+
+
+def test_no_pair_is_left_out(spark):
+    many = "a:1 " * 1_000_000
+    df = spark.createDataFrame([(1, many + "b:1"), (2, many + "b:2"), (3, "b:1 " + many), (4, "uno"), (5, None)], "k long, text string")
+    canon = {r["k"]: r["c"] for r in df.select("k", F.md5(c.canonical(F.col("text")).cast("binary")).alias("c")).collect()}
+    assert canon[1] == canon[3] != canon[2] and canon[4] and canon[5] is None
