@@ -26,13 +26,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_daily_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certain bounds of median and p95 per field and day, and of the whole
-    (null day), the latter combined from the daily pieces."""
+    (null day), the latter combined from the daily pieces and that of the rows
+    without a day, which has no row of its own."""
     keys = ["field", "day"]
     probs = {"p50": 0.5, "p95": 0.95}
     days = merge_summaries(summarise(durations(spark, sf_dir), keys, "value", EPS / 4), keys, EPS / 4)
-    days = days.where("day is not null")
     whole = quantile_bounds(days, ["field"], probs, EPS / 4).withColumn("day", F.lit(None).cast("date"))
-    daily = quantile_bounds(days, keys, probs, EPS / 4)
+    daily = quantile_bounds(days.where("day is not null"), keys, probs, EPS / 4)
     return daily.unionByName(whole).select("field", "day", "n", "p50_lo", "p50_hi", "p95_lo", "p95_hi")
 
 

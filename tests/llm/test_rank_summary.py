@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from legajo.llm import durations
 from legajo.llm import rank_summary as r
 
 SCHEMA = "k string, x double, n string, v string"
@@ -57,3 +58,13 @@ def test_empty(spark):
     empty = frame(spark, [("a", 1.0)]).where("false")
     assert r.percentiles(empty, ["k"], "x", {"m": 0.5}).count() == 0
     assert r.ratio_exceeds(empty, ["k"], "x", 0.95, 0.5, 4.0).count() == 0
+
+
+def test_the_whole_counts_rows_without_a_day(spark, tmp_path):
+    for name, value, at in (("case_results", "duration_ms", "generated_at"), ("matrix_rows", "ocr_duration_ms", "measured_at"), ("pipeline_summaries", "p95_ms", "generated_at")):
+        rows = [("r", "2026-01-01 10:00:00", 1.0), ("r", "2026-01-02 10:00:00", 2.0), ("r", None, 9.0), ("r", None, 9.0), ("r", None, None)]
+        spark.createDataFrame(rows, f"run_id string, at string, {value} double").selectExpr("run_id", f"to_timestamp(at) as {at}", value).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = [r for r in durations.p1_daily_percentiles(spark, str(tmp_path)).collect() if r["field"] == "duration_ms"]
+    assert {str(r["day"]): r["n"] for r in out} == {"2026-01-01": 1, "2026-01-02": 1, "None": 4} and len(out) == 3
+    whole = next(r for r in out if r["day"] is None)
+    assert whole["p95_lo"] <= 9.0 <= whole["p95_hi"]
