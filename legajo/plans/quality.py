@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.functions.quality import RANKS, character_action, low_confidence, page_quality, rank
-from legajo.functions.text import SPACE
+from legajo.functions.text import SPACE, strip
 from legajo.plans.registry import query
 from legajo.tables import spread, table
 
@@ -164,6 +164,22 @@ def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.select("recognition_id", F.size(held).cast("long").alias("lines"), size.alias("characters"), broken.cast("long").alias("broken"), F.col("line_count").alias("declared_lines"))
 
 
+@query(f"""
+SELECT recognition_id, line_count IS DISTINCT FROM coalesce(len(lines), 0) AS lines_differ, character_count IS DISTINCT FROM coalesce(list_sum(list_transform(lines, lambda x: coalesce(length(x.text), 0))), 0) AS characters_differ,
+  text IS DISTINCT FROM regexp_replace(array_to_string(list_transform(coalesce(lines, []), lambda x: coalesce(x.text, '')), chr(10)), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS text_differs
+FROM recognitions WHERE strategy = 'runtime'
+""")
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether its declared number of lines, number of characters
+    or text differs from what its lines hold (``contract_checks`` passes the
+    declared number on and its ``broken`` is always zero)."""
+    runtime = table(spark, sf_dir, "recognitions").where("strategy = 'runtime'")
+    held = F.coalesce(F.transform("lines", lambda x: F.coalesce(x["text"], F.lit(""))), F.array().cast("array<string>"))
+    size = F.aggregate(held, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+    differs = lambda declared, real: ~F.col(declared).eqNullSafe(real)
+    return runtime.select("recognition_id", differs("line_count", F.size(held)).alias("lines_differ"), differs("character_count", size).alias("characters_differ"), differs("text", strip(F.array_join(held, "\n"))).alias("text_differs"))
+
+
 @query("""
 SELECT item_id, CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence < 0 OR confidence > 100 THEN 'N/D' ELSE printf('%.1f%%', round(confidence, 1)) END AS shown, CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence < 0 OR confidence > 100 THEN 'inválida' WHEN confidence < 25 THEN 'baja' ELSE 'media' END AS label,
   coalesce(nullif(trim(line_text), ''), '—') AS context FROM word_context_items
