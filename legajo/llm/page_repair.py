@@ -1,33 +1,30 @@
 """Scanned page texts repaired into continuous paragraphs.
 
-Three averaged perceptrons share one text model:
-
-* a line tagger tells running headers and page numbers from text, by the
-  line's place on its page, its shape and how often it recurs;
-* a joiner decides at each marked line end whether the word goes on in the
-  next text line or keeps its hyphen;
-* a character editor predicts for each word a sequence of keep, replace,
-  delete and insert operations.
-
-They are trained on a bounded sample of pairs of recognised and correct text;
-word counts that serve as features come from all texts.  A word seen before in
-a task is looked up, not edited again.
+A line tagger, an averaged perceptron, tells running headers and page numbers
+from text by the line's place on its page, its shape and how often it recurs.
+The character editor (``char_editor``) repairs words and joins those cut at a
+line's end.  Both are trained on a bounded sample of pairs of recognised and
+correct text; word counts that serve as features come from all texts.  A word
+seen before in a task is looked up, not edited again.
 """
 
 from __future__ import annotations
 
 import difflib
+import pickle
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from legajo.llm.char_editor import LABELS, SOUND, Counts, Editor, Packed, Perceptron, Words, _bucket, _is_number
 from legajo.llm.same_look import canonical
 from legajo.tables import table
 
@@ -39,27 +36,8 @@ VOCABULARY = 80_000
 #: Words remembered per task.
 REMEMBERED = 200_000
 EPOCHS = 8
-#: Shares of all recognised words, so that a table's size does not change them: from SOUND on
-#: a word counts as good without a correct text that holds it; from LIKELY (one edit) and
-#: SURELY (two edits) on a word is proposed.  50, 3 and 20 in the 1.34 million words of the
-#: tables they were chosen on.  LEAST sightings are needed for a share to mean anything.
-SOUND, LIKELY, SURELY, LEAST = 37.4e-6, 2.24e-6, 15e-6, 3
-
-#: What a character or pair is misread as -> what it stands for.
-CONFUSIONS = {
-    "0": ["o", "ó", "O"], "1": ["l", "i", "I"], "5": ["s", "S"], "6": ["ó", "b", "G"], "9": ["g"], "2": ["z", "Z"], "8": ["B"], "4": ["A"], "3": ["E"],
-    "@": ["a"], "(": ["c"], "!": ["í", "i", "l"], "|": ["l", "I"], "$": ["s", "S"], "€": ["e"],
-    "ri": ["n"], "rn": ["m"], "cl": ["d"], "ii": ["u"], "li": ["h"], "vv": ["w"], "nn": ["m"],
-    "f": ["t"], "t": ["f"], "c": ["e", "o"], "e": ["c"], "y": ["v"], "g": ["q"], "q": ["g"], "l": ["I", "i", "t"], "i": ["l"], "h": ["b"], "n": ["u"], "u": ["n"], "m": ["rn"],
-    "F": ["E"], "P": ["R"], "I": ["l"], "O": ["0", "Q"], "V": ["Y"], "C": ["G"],
-}
-#: Letters that digits are misread as.
-NUMERIC = str.maketrans("OoIlSBZ", "0011582")
-#: Labels of the fields that are read from a page.
-LABELS = frozenset("fecha monto nit código codigo n.i.t".split())
 
 _EDGE_LEFT, _EDGE_RIGHT = "¿¡(«\"'“‘[{", ".,;:!?)»\"'”’]}…"
-_number_like = re.compile(r"^[\dOoIlSBZ][\dOoIlSBZ.,/]*[\dOoIlSBZ]$")
 _code = re.compile(r"^(?:[A-Z]{1,4}-?\d+[A-Z]?(?:-\d+)*|\d{1,3}[A-Z]|\d+-\d+[A-Z]?|\W*)$|[@\w]+\.[A-Za-z]{2,}$")
 _cut = re.compile(r"^(.*[^\W\d_])([-¬­=])$")
 _pageish = re.compile(r"(?i)^[\s\W]*(?:(?:p\s*[áa]\s*g(?:\s*i\s*n\s*a)?|h\s*o\s*j\s*a|folio|page|sheet)?[\s.:nº°-]*)?(?:\d{1,4}|[ivxl]{1,6})(?:\s*(?:de|/|of)\s*\d{1,4})?[\s\W]*$")
@@ -67,113 +45,6 @@ _worth = re.compile(r"\d|[A-ZÁÉÍÓÚÑ]{3}|^[\s\W]*[ivxlIVXL]{0,6}[\s\W]*$")
 _label_line = re.compile(r"^\s*([^\W\d_][^\s:]{1,6}[^\s:.]?\.?)\s*[:\s]\s*(?=\d|[Bb][Ss]\b|T[VU])")
 
 
-class Perceptron:
-    """Averaged perceptron over sparse features; ``score`` of a feature list."""
-
-    def __init__(self):
-        self.weights: dict[str, float] = {}
-        self._total: dict[str, float] = defaultdict(float)
-        self._when: dict[str, int] = defaultdict(int)
-        self._steps = 0
-
-    def score(self, features: list[str]) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in features)
-
-    def update(self, right: list[str], wrong: list[str]) -> None:
-        for features, by in ((right, 1.0), (wrong, -1.0)):
-            for f in features:
-                old = self.weights.get(f, 0.0)
-                self._total[f] += (self._steps - self._when[f]) * old
-                self._when[f] = self._steps
-                self.weights[f] = old + by
-
-    def step(self) -> None:
-        self._steps += 1
-
-    def average(self) -> Perceptron:
-        n = max(self._steps, 1)
-        for f, w in self.weights.items():
-            self._total[f] += (n - self._when[f]) * w
-        self.weights = {f: t / n for f, t in self._total.items() if t}
-        self._total, self._when = defaultdict(float), defaultdict(int)
-        return self
-
-
-def _bucket(n: int) -> int:
-    return n.bit_length()
-
-
-class Packed:
-    """Words in the order of their bytes with two counts each, as plain buffers:
-    some 30 bytes a word where a hash map takes 200."""
-
-    def __init__(self, words: pa.Array, clean: np.ndarray, seen: np.ndarray):
-        words = pa.concat_arrays([words.cast(pa.large_string())])
-        _, offsets, data = words.buffers()
-        self.offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1].copy() if len(words) else np.zeros(1, np.int64)
-        self.data, self.offsets = (data.to_pybytes() if data else b"")[self.offsets[0] : self.offsets[-1]], self.offsets - self.offsets[0]
-        self.counts = {"clean": clean, "seen": seen}
-
-    def __len__(self) -> int:
-        return len(self.offsets) - 1
-
-    def count(self, word: str, column: str) -> int:
-        key, data, offsets = word.encode(), self.data, self.offsets
-        low, high = 0, len(self)
-        while low < high:
-            mid = (low + high) // 2
-            if data[offsets[mid] : offsets[mid + 1]] < key:
-                low = mid + 1
-            else:
-                high = mid
-        return int(self.counts[column][low]) if low < len(self) and data[offsets[low] : offsets[low + 1]] == key else 0
-
-    def items(self, column: str) -> Iterator[tuple[str, int]]:
-        for i, n in enumerate(self.counts[column]):
-            if n:
-                yield self.data[self.offsets[i] : self.offsets[i + 1]].decode(), int(n)
-
-
-class Counts(dict):
-    """The counts of the most frequent words, and in ``rest`` those of all others."""
-
-    def __init__(self, often: dict[str, int], rest: Packed, column: str):
-        super().__init__(often)
-        self.rest, self.column = rest, column
-
-    def get(self, word: str, default: int = 0) -> int:
-        return super().get(word) or self.rest.count(word, self.column) or default
-
-    def __contains__(self, word: object) -> bool:
-        return self.get(word) > 0
-
-    def items(self) -> Iterator[tuple[str, int]]:
-        yield from super().items()
-        yield from self.rest.items(self.column)
-
-    def __reduce__(self):
-        return Counts, (dict(super().items()), self.rest, self.column)
-
-
-@dataclass
-class Words:
-    """Counts of words in correct and in recognised texts."""
-
-    clean: dict[str, int] = field(default_factory=dict)
-    seen: dict[str, int] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.total = sum(n for _, n in self.seen.items())
-
-    def holds(self, count: int, share: float) -> bool:
-        """Whether a count is at least this share of all recognised words."""
-        return count >= max(LEAST, share * self.total)
-
-    def known(self, word: str) -> bool:
-        return self.clean.get(word, 0) >= 3
-
-
 # --- lines ------------------------------------------------------------------------
 
 
@@ -184,7 +55,7 @@ def split_lines(text: str) -> list[str]:
 
 def _key(line: str) -> str:
     """What recurs of a running line: letters, misread or not, without numbers."""
-    plain = line.lower().translate(str.maketrans("01568@(", "oiosba" + "c"))
+    plain = line.lower().translate(str.maketrans("01568@(", "oiosbac"))
     plain = re.sub(r"\b[ivxl]{1,5}\b|\d", "", plain)
     return re.sub(r"[^a-zñáéíóú]", "", plain).replace("l", "i").replace("rn", "m").replace("f", "e").replace("c", "e").replace("t", "e")
 
@@ -246,103 +117,20 @@ def tag_lines(lines: list[str], words: Words, model: Perceptron) -> list[str]:
     return out
 
 
-# --- line ends ----------------------------------------------------------------------
-
-
-def join_features(left: str, mark: str, right: str, spaced: bool, words: Words) -> list[str]:
-    a, b = left.lower(), right.lower()
-    both, compound = words.clean.get(a + b, 0) + words.seen.get(a + b, 0), words.clean.get(f"{a}-{b}", 0)
-    return [
-        "bias", f"mark={mark}", f"spaced={spaced}", f"both={min(_bucket(both), 6)}", f"compound={min(_bucket(compound), 3)}", f"left={words.known(a)}", f"right={words.known(b)}",
-        f"lower={right[:1].islower()}", f"digits={right[:1].isdigit()}", f"caps={left.isupper() and len(left) > 1},{right[:1].isdigit()}", f"both={both > 0},compound={compound > 0}", f"both={both > 0},left={words.known(a)},right={words.known(b)},{mark}",
-    ]
-
-
 # --- words --------------------------------------------------------------------------
 
 
-def _edits(word: str) -> Iterator[tuple[int, str, str]]:
-    for i in range(len(word)):
-        for size in (1, 2):
-            wrong = word[i : i + size]
-            if len(wrong) == size:
-                for right in CONFUSIONS.get(wrong, ()):
-                    yield i, wrong, right
-
-
-def _apply(word: str, edits: tuple[tuple[int, str, str], ...]) -> str:
-    for i, wrong, right in sorted(edits, reverse=True):
-        word = word[:i] + right + word[i + len(wrong) :]
-    return word
+def end_of(m: re.Match, following: str) -> tuple[str, str, str]:
+    """(left part, mark, right part) of a marked line end and the next token."""
+    right = following.rstrip(_EDGE_RIGHT)
+    word = re.match(r"[^\W_]+|.+", right)
+    return re.split(r"[-/]", m[1].lstrip(_EDGE_LEFT))[-1], m[2], word.group() if word else right
 
 
-def _odd(word: str) -> bool:
-    """Whether a sign or digit stands among lower-case letters."""
-    return bool(re.search(r"[^\W\d_][\d@(!|$€]+(?:[a-zñáéíóú]|$)|^[\d@(!|$€]+[a-zñáéíóú]{2}", word))
-
-
-def candidates(word: str, words: Words) -> list[tuple[str, tuple[tuple[int, str, str], ...]]]:
-    """The word as it is, and the words that one or two edits make of it."""
-    out = [(word, ())]
-    if _number_like.match(word) and sum(c.isdigit() for c in word) >= 3 and not word.isdigit():
-        edits = tuple((i, c, c.translate(NUMERIC)) for i, c in enumerate(word) if c.isalpha())
-        if edits and len(edits) <= 4:
-            out.append((_apply(word, edits), edits))
-        return out
-    upper, lower = word.isupper(), word[1:].islower()
-    single = [e for e in _edits(word) if not (upper and e[2].islower()) and not (lower and e[0] and e[2].isupper())]
-    hits, seen = [], words.seen.get
-
-    def total(w: str) -> int:
-        w = w.lower()
-        return words.clean.get(w, 0) * 2 + seen(w, 0)
-
-    own = total(word)  # a misreading is rarer than what it stands for
-    for e in single:
-        result = _apply(word, (e,))
-        if total(result) > own and (words.holds(total(result), LIKELY) or words.clean.get(result.lower(), 0) >= 1):
-            hits.append((result, (e,)))
-    if not hits and len(word) >= 5:
-        for j, a in enumerate(single):
-            for b in single[j + 1 :]:
-                if b[0] >= a[0] + len(a[1]):
-                    result = _apply(word, (a, b))
-                    if total(result) > own and (words.clean.get(result.lower(), 0) >= 2 or words.holds(total(result), SURELY)):
-                        hits.append((result, (a, b)))
-    if not hits and _odd(word) and sum(c.isalpha() for c in word) >= 3:
-        edits = tuple((i, c, CONFUSIONS[c][0]) for i, c in enumerate(word) if not c.isalpha() and c in CONFUSIONS)
-        if edits:
-            hits.append((_apply(word, edits), edits))
-    hits.sort(key=lambda h: -total(h[0]))
-    return out + hits[:6]
-
-
-def edit_features(word: str, result: str, edits: tuple[tuple[int, str, str], ...], words: Words, label: bool) -> list[str]:
-    """Features of an operation sequence: K keep, R replace, D delete, I insert."""
-    a, b = word.lower(), result.lower()
-    ca, sa, cb, sb = words.clean.get(a, 0), words.seen.get(a, 0), words.clean.get(b, 0), words.seen.get(b, 0)
-    odd, many = _odd(word), bool(_number_like.match(word) and sum(c.isdigit() for c in word) >= 3)
-    if not edits:
-        return ["K", f"K,clean={min(_bucket(ca), 5)}", f"K,seen={min(_bucket(sa), 10)}", f"K,odd={odd}", f"K,number={many}", f"K,len={min(len(a), 8)}", f"K,label={label and a in LABELS}", f"K,clean={ca > 0},odd={odd}"]
-    ratio = min(_bucket((cb + sb) // (ca + sa + 1)), 12)
-    f = ["E", f"E,n={len(edits)}", f"E,clean={min(_bucket(cb), 8)}", f"E,seen={min(_bucket(sb), 12)}", f"E,ratio={ratio}", f"E,was={min(_bucket(ca), 5)}", f"E,odd={odd}", f"E,number={many}", f"E,len={min(len(a), 8)}", f"E,label={label and b in LABELS and a not in LABELS}", f"E,ratio={ratio},was={ca > 0}", f"E,clean={cb > 0},was={ca > 0},len={min(len(a), 4)}"]
-    for i, wrong, right in edits:
-        op = "R" + (" D" * (len(wrong) > len(right))) + (" I" * (len(right) > len(wrong)))
-        left, after = word[i - 1 : i] or "^", word[i + len(wrong) : i + len(wrong) + 1] or "$"
-        kind = lambda c: c if c in "^$" else "9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "."
-        f += [op, f"{op} {wrong}>{right}", f"{op} {wrong}>{right} {kind(left)}{kind(after)}"]
-    return f
-
-
-def best_edit(word: str, words: Words, model: Perceptron, label: bool = False):
-    """(result, edits) of the highest score; the word itself wins ties."""
-    options = candidates(word, words)
-    if label and word.lower().rstrip(".") not in LABELS:
-        have = {r for r, _ in options}
-        options += [(r, (e,)) for e in _edits(word) if (r := _apply(word, (e,))).lower().rstrip(".") in LABELS and r not in have]
-    if len(options) == 1:
-        return options[0]
-    return max(options, key=lambda o: (model.score(edit_features(word, o[0], o[1], words, label)), not o[1]))
+def soundness(tokens: list[str], words: Words) -> int:
+    own = [w for t in tokens if (w := t.strip(_EDGE_LEFT + _EDGE_RIGHT + "-¬=").lower()) and any(c.isalpha() for c in w)]
+    good = sum(len(w) > 1 and (words.known(w) or words.holds(words.seen.get(w, 0), SOUND)) or w in ("a", "y", "o", "e", "u") for w in own)
+    return 2 if 2 * good >= len(own) else 1 if 4 * good >= len(own) else 0
 
 
 @dataclass
@@ -351,46 +139,47 @@ class Repairer:
 
     words: Words
     tagger: Perceptron
-    joiner: Perceptron
-    editor: Perceptron
+    editor: Editor
     memory: dict = field(default_factory=dict)
     fine: set = field(default_factory=set)
 
-    def fix(self, word: str, label: bool = False):
+    def save(self, path: str | Path) -> None:
+        """Keep the models and counts in a file, for ``load``."""
+        Path(path).write_bytes(pickle.dumps((self.words, self.tagger, self.editor)))
+
+    @classmethod
+    def load(cls, path: str | Path) -> Repairer:
+        return cls(*pickle.loads(Path(path).read_bytes()))
+
+    def fix(self, word: str, label: bool = False, sound: int = 2):
         """(result, first position of an edit) or None where nothing is wrong."""
         if label is False and self.words.known(word.lower()):
             return None
-        at = (word, label)
-        if at in self.memory:
-            return self.memory[at]
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        result, edits = best_edit(word, self.words, self.editor, label)
-        self.memory[at] = got = (result, min(e[0] for e in edits)) if edits else None
-        return got
-
-    def token(self, token: str, label: bool = False):
+        result, runs = self.editor.best(word, label, sound)
+        return (result, min(r[0] for r in runs)) if runs else None
+
+    def token(self, token: str, label: bool = False, sound: int = 2):
         """Check one token: (repaired token, position of the first edit) or None."""
-        at = (token, label, 0)
+        at = (token, label, sound)
         if at not in self.memory:
             if len(self.memory) > REMEMBERED:
                 self.memory.clear()
-            self.memory[at] = self._token(token, label)
+            self.memory[at] = self._token(token, label, sound)
         return self.memory[at]
 
-    def _token(self, token: str, label: bool):
+    def _token(self, token: str, label: bool, sound: int):
         core = token.strip(_EDGE_LEFT + _EDGE_RIGHT)
         if not core or _code.search(core):
             return None
         at = token.index(core)
         if at and token[at - 1] in "(!" and not self.words.known(core.lower()) and not token.endswith(")"):
-            got = self.fix(token[at - 1 : at + len(core)])
+            got = self.fix(token[at - 1 : at + len(core)], False, sound)
             if got:
                 return token[: at - 1] + got[0] + token[at + len(core) :], at - 1 + got[1]
         if "-" in core[1:-1] and core.replace("-", "").isalpha() and not self.words.known(core.lower()):
             out, where, offset = [], None, at
             for part in core.split("-"):
-                got = self.fix(part) if len(part) > 1 else None
+                got = self.fix(part, False, sound) if len(part) > 1 else None
                 out.append(got[0] if got else part)
                 if got and where is None:
                     where = offset + got[1]
@@ -398,15 +187,14 @@ class Repairer:
             return (token[:at] + "-".join(out) + token[at + len(core) :], where) if where is not None else None
         if len(core) == 1:
             return None
-        got = self.fix(core, label)
+        got = self.fix(core, label, sound)
         return (token[:at] + got[0] + token[at + len(core) :], at + got[1]) if got else None
 
     def read(self, text: str):
         """(lines, kinds, cut lines, misread lines, repaired tokens per line).
 
         A cut word is checked whole; its error belongs to the line it stands in.
-        Lines of which less than half the words are known are junk, and nothing
-        in them counts as misread."""
+        How much of a line is known is a feature of the editor, no condition."""
         lines = split_lines(text)
         kinds = tag_lines(lines, self.words, self.tagger)
         body = [i for i, k in enumerate(kinds) if k == "text"]
@@ -417,50 +205,51 @@ class Repairer:
         for j, i in enumerate(body[:-1]):
             nxt = body[j + 1]
             m = _cut.match(tokens[i][-1])
-            if not m:
-                continue
-            left, right = m[1].lstrip(_EDGE_LEFT), tokens[nxt][0].rstrip(_EDGE_RIGHT)
-            left = re.split(r"[-/]", left)[-1]
-            right_word = re.match(r"[^\W_]+|.+", right)
-            right = right_word.group() if right_word else right
-            f = join_features(left, m[2], right, lines[i].rstrip("\r")[-1:] == " ", self.words)
-            if self.joiner.score(f) <= 0:
+            if not m or not self.editor.joins(*end_of(m, tokens[nxt][0]), lines[i].rstrip("\r")[-1:] == " "):
                 continue
             cut.add(i)
             whole = m[1] + tokens[nxt][0]
             got = self.token(whole)
-            if got and self._sound(tokens[i][:-1]):
+            if got:
+                got = self.token(whole, False, self.sound(tokens[i][:-1]))
+            if got:
                 misread.add(i if got[1] < len(m[1]) else nxt)
                 whole = got[0]
             skip |= {(i, len(tokens[i]) - 1), (nxt, 0)}
             fixed[i][-1], fixed[nxt][0] = whole, ""
-        fine = self.fine
-        if len(fine) > REMEMBERED:
-            fine.clear()
+        if len(self.fine) > REMEMBERED:
+            self.fine.clear()
         for i in body:
-            label = _label_line.match(lines[i])
-            errors = {}
-            for k, t in enumerate(tokens[i]):
-                if t in fine and not (label and k == 0):
-                    continue
-                if (i, k) not in skip and not (k + 1 < len(tokens[i]) and tokens[i][k + 1][:2] in ("@", "[a", "(a")):
-                    own = bool(label) and k == 0
-                    t_ = t.rstrip(":") if own else t
-                    got = self.token(t_, own)
-                    if got is None and not own:
-                        fine.add(t)
-                    if got:
-                        errors[k] = got[0] + t[len(t_) :]
-            if errors and (label or self._sound([t for k, t in enumerate(tokens[i]) if k not in errors])):
+            label = bool(_label_line.match(lines[i]))
+            errors = self._errors(i, tokens[i], label, skip, 2)
+            sound = 2 if label or not errors else self.sound([t for k, t in enumerate(tokens[i]) if k not in errors])
+            if sound < 2:
+                errors = self._errors(i, tokens[i], label, skip, sound)
+            if errors:
                 misread.add(i)
                 for k, t in errors.items():
                     fixed[i][k] = t
         return lines, kinds, cut, misread, fixed
 
-    def _sound(self, tokens: list[str]) -> bool:
-        words = [w for t in tokens if (w := t.strip(_EDGE_LEFT + _EDGE_RIGHT + "-¬=").lower()) and any(c.isalpha() for c in w)]
-        good = sum(len(w) > 1 and (self.words.known(w) or self.words.holds(self.words.seen.get(w, 0), SOUND)) or w in ("a", "y", "o", "e", "u") for w in words)
-        return 2 * good >= len(words)
+    def _errors(self, i: int, tokens: list[str], label: bool, skip: set, sound: int) -> dict[int, str]:
+        """Position -> repaired token of the misread tokens of a line."""
+        out, fine = {}, self.fine
+        for k, t in enumerate(tokens):
+            own = label and k == 0
+            if (t in fine and not own) or (i, k) in skip or (k + 1 < len(tokens) and tokens[k + 1][:2] in ("@", "[a", "(a")):
+                continue
+            bare = t.rstrip(":") if own else t
+            got = self.token(bare, own, sound)
+            if got is None and not own and sound == 2:
+                fine.add(t)
+            if got:
+                out[k] = got[0] + t[len(bare) :]
+        return out
+
+    def sound(self, tokens: list[str]) -> int:
+        """How much of a line's words is known: 2 from a half on, 1 from a
+        quarter on, else 0; lines without words count as known."""
+        return soundness(tokens, self.words)
 
     def noises(self, text: str) -> list[tuple[int, str]]:
         """(line number from 1, noise) of a text, in order."""
@@ -501,7 +290,7 @@ def gold(recognised: str, correct: str):
     """(kinds, cut truth, pairs) of a recognised text from its correct form.
 
     kinds: of each line, '' where unsure; cut truth: line -> whether its marked
-    end is a cut word; pairs: (token, right token)."""
+    end is a cut word; pairs: (token, right token, line)."""
     lines = split_lines(recognised)
     right = canonical(correct).split()
     flat, where = [], []
@@ -519,14 +308,13 @@ def gold(recognised: str, correct: str):
             m = _cut.match(t) if k == len(tokens) - 1 else None
             if m:
                 # the word may go on past header and page-number lines
-                nxt, step = follow.get(i), 0
-                while nxt is not None and step < 4:
+                nxt = follow.get(i)
+                while nxt is not None:
                     first = lines[nxt].split()[0]
                     if m[1] + first in known or f"{m[1]}-{first}" in known:
                         break
-                    nxt, step = follow.get(nxt), step + 1
-                if nxt is not None and step < 4:
-                    first = lines[nxt].split()[0]
+                    nxt = follow.get(nxt)
+                if nxt is not None:
                     cut[i] = m[1] + first in known
                     t = m[1] + first if cut[i] else f"{m[1]}-{first}"
                     dropped.add(nxt)
@@ -539,7 +327,7 @@ def gold(recognised: str, correct: str):
         if tag == "equal" or (tag == "replace" and a1 - a0 == b1 - b0):
             for a, b in zip(range(a0, a1), range(b0, b1)):
                 touched[where[b]] += 1
-                pairs.append((flat[b], right[a]))
+                pairs.append((flat[b], right[a], where[b]))
     size = Counter(where)
     kinds = []
     for i, line in enumerate(lines):
@@ -554,24 +342,50 @@ def gold(recognised: str, correct: str):
     return lines, kinds, cut, pairs
 
 
-def _field_lines(rng: random.Random) -> list[str]:
-    """Lines of labelled fields and contacts as they stand below a page's text."""
+def varied_lines(line: str, rng: random.Random) -> list[str]:
+    """Text lines that pairs are short of, made of the words of ``line``: with
+    capitals, numbers, an address of mail, or behind a field's label."""
+    words = line.split() or ["a"]
     number = lambda a, b: "".join(rng.choice("0123456789") for _ in range(rng.randint(a, b)))
-    sep = rng.choice([": ", " : ", " "])
-    rows = [f"Fecha{sep}{rng.randint(10, 28)}/{rng.randint(10, 12)}/{rng.choice(['26', '2026'])}", f"NIT{sep}{number(9, 12)}", f"Nit{sep}{number(4, 4)} {number(3, 3)} {number(2, 4)}", f"Código{sep}TV-{number(3, 5)}-2026", f"Código{sep}TV- {number(3, 4)} -2026", f"Monto{sep}Bs {number(2, 2)}.{number(3, 3)},{number(2, 2)}"]
-    rows += [x.upper().replace("BS ", "Bs ") for x in rows]
-    return rows + [f"CONTACTO{number(1, 2)}@CORREO.EXAMPLE o", f"Entregado a MARÍA LOURDES ROJAS PAZ a las {number(2, 2)}", f"en AVENIDA LAS PALMAS NRO. {number(3, 4)}, zona Norte", "JUAN CARLOS VARGAS RÍOS dejó el sobre", f"Consultas: ana.perez{number(1, 2)}@correo.example o (591) {number(1, 1)}", f"{number(3, 6)}, con fecha {rng.randint(10, 28)}/09/2026. Sobre el sello,", f"El señor Juan Rojas, con C.I. {number(2, 4)}", f"La respuesta debe enviarse a rojas{number(1, 2)}", f"Código interno SAC-{number(6, 6)}, con fecha {rng.randint(10, 28)}/03/2026. Consta la", f"C/ LAS PALMAS N° {number(3, 4)}, zona Norte, el solicitante pide", f"por falta de personal. Llamó al {number(4, 4)}", f"según el comprobante {number(8, 8)}. La", f"Ver folio {number(5, 7)} y memorándum N° {number(5, 5)}/2026 en", f"el señor PEDRO SOLÍS PEÑA, con pasaporte N° QA{number(7, 7)}"]
+    parts = lambda: rng.choice(["", " ", ".", "-", "/"]).join(number(1, 4) for _ in range(rng.randint(1, 3)))
+    at, to = sorted((rng.randrange(len(words) + 1), rng.randrange(len(words) + 1)))
+    label = rng.choice(sorted(LABELS))
+    label = rng.choice([label.capitalize(), label.upper()])
+    return [
+        " ".join([*words[:at], *(w.upper() for w in words[at:to]), *words[to:]]),
+        " ".join([*words[:at], parts() + rng.choice(["", ".", ","]), *words[at:to]]),
+        " ".join(w.upper() for w in [*words[:at], number(2, 5)]),
+        " ".join([*words[:at], f"{words[0]}{number(0, 2)}@{words[-1].strip('.,')}.example".lower(), *words[at:to]]),
+        f"{label}{rng.choice([': ', ' : ', ' '])}{rng.choice(['', '', 'Bs ', 'TV-', 'TV- '])}{parts()}",
+    ]
+
+
+def junk_line(words: list[str], rng: random.Random) -> list[str]:
+    """Tokens of a line that nothing can be made of: the letters of known words
+    in another order, vowels replaced by signs, fragments."""
+    out = []
+    for w in rng.choices(words, k=rng.randint(3, 9)):
+        how = rng.randrange(3)
+        if how == 0:
+            out.append("".join(rng.sample(w, len(w))))
+        elif how == 1:
+            swap = {c: rng.choice("|/;:_~^*#+=§°0158@$¤") for c in "aeiou"}
+            out.append("".join(swap.get(c, c) for c in w))
+        else:
+            out.append(w[: rng.randint(1, 3)])
+    return out
 
 
 def train(pairs: list[tuple[str, str]], words: Words, seed: int = 11) -> Repairer:
     """Models from (recognised, correct) texts; the same pairs in the same
     order give the same models."""
     rng = random.Random(seed)
-    tagger, joiner, editor = Perceptron(), Perceptron(), Perceptron()
+    tagger, editor = Perceptron(), Editor(words)
     lines_x, joins, edits = [], [], []
     for n, (recognised, correct) in enumerate(pairs):
-        if n % 4 == 0:  # field lines, mails and names in capitals end many pages
-            extra = "\n".join(rng.sample(_field_lines(rng), rng.randint(2, 6)))
+        if n % 4 == 0:
+            body = rng.choice([x for x in correct.split("\n") if x.strip()] or [""])
+            extra = "\n".join(rng.sample(varied_lines(body, rng), rng.randint(2, 4)))
             recognised, correct = f"{recognised}\n\n{extra}", f"{correct}\n\n{extra}"
         lines, kinds, cut, aligned = gold(recognised, correct)
         for f, k in zip(line_features(lines, words), kinds):
@@ -581,38 +395,57 @@ def train(pairs: list[tuple[str, str]], words: Words, seed: int = 11) -> Repaire
             m = _cut.match(lines[i].split()[-1])
             after = next((x for x in lines[i + 1 :] if x.strip()), "").split()
             if m and after:
-                right = re.match(r"[^\W_]+|.+", after[0].rstrip(_EDGE_RIGHT) or after[0]).group()
-                left = re.split(r"[-/]", m[1].lstrip(_EDGE_LEFT))[-1]
-                joins.append((join_features(left, m[2], right, lines[i].rstrip("\r")[-1:] == " ", words), is_cut))
-        for wrong, right in aligned:
+                joins.append((editor.join_features(*end_of(m, after[0]), lines[i].rstrip("\r")[-1:] == " "), is_cut))
+        for wrong, right, at in aligned:
             w, r = wrong.strip(_EDGE_RIGHT), right.strip(_EDGE_RIGHT)
             if w == r:
                 w = r = w.strip(_EDGE_LEFT)
                 if len(w) > 1 and not _code.search(w) and (not words.known(w.lower()) or rng.random() < 0.02):
-                    edits.append((w, r, False))
+                    edits.append((w, r, False, 2))
             elif len(w) > 1 and abs(len(w) - len(r)) <= 3:
-                edits.append((w, r.strip(_EDGE_LEFT) if w[0] not in _EDGE_LEFT else r, False))
+                others = [t for t in lines[at].split() if t != wrong]
+                edits.append((w, r.strip(_EDGE_LEFT) if w[0] not in _EDGE_LEFT else r, False, soundness(others, words)))
+    editor.learn([(w, r) for w, r, _, _ in edits if w != r])
     for code in ("SAC", "TV", "RA", "ISO", "Sac", "TV-125", "B", "H", "n"):  # hyphens of codes are part of them
         for _ in range(12):
-            joins.append((join_features(code, "-", str(rng.randint(10, 999_999)), rng.random() < 0.3, words), False))
+            joins.append((editor.join_features(code, "-", str(rng.randint(10, 999_999)), rng.random() < 0.3), False))
+    meant = {}  # what may have been read where a run of characters was meant
+    for x, ys in editor.learned.items():
+        for y in ys:
+            meant.setdefault(y, []).append(x)
+
+    def misreadings(w: str) -> list[str]:
+        return [w[:i] + x + w[i + len(y) :] for i in range(len(w)) for y, xs in meant.items() if y and w.startswith(y, i) for x in xs]
+
     clean = sorted(w for w, n in words.clean.items() if n >= 3 and w.isalpha() and len(w) > 3)
     for w in rng.sample(clean, min(len(clean), 800)):  # errors too rare for the sample
-        options = [(i, r, bad) for i in range(len(w)) for bad, rights in CONFUSIONS.items() for r in rights if w.startswith(r, i)]
-        if options:
-            i, r, bad = rng.choice(options)
-            edits.append((w[:i] + bad + w[i + len(r) :], w, False))
+        wrong = misreadings(w)
+        if wrong:
+            edits.append((rng.choice(wrong), w, False, 2))
+        i = rng.randrange(1, len(w))
+        edits.append((w[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[i + 1 :], w, False, 2))  # an error never seen
+    for _ in range(300 if clean else 0):
+        junk = junk_line(clean, rng)
+        edits += [(t, t, False, soundness([x for x in junk if x is not t], words)) for t in junk if len(t) > 1 and not _code.search(t)]
     for _ in range(300):  # numbers with letters read into them, and sound ones
         number = "".join(rng.choice("0123456789") for _ in range(rng.randint(7, 12)))
         at = [i for i, c in enumerate(number) if c in "01582" and i]
         if at:
             i = rng.choice(at)
-            edits.append((number[:i] + {"0": "O", "1": "l", "5": "S", "8": "B", "2": "Z"}[number[i]] + number[i + 1 :], number, False))
+            edits.append((number[:i] + {"0": "O", "1": "l", "5": "S", "8": "B", "2": "Z"}[number[i]] + number[i + 1 :], number, False, 2))
     for label in sorted(LABELS):
         for shape in (label.capitalize(), label.upper()):
-            edits += [(shape, shape, True)] * 10
-            for i in range(len(shape)):
-                for bad, rights in CONFUSIONS.items():
-                    edits += [(shape[:i] + bad + shape[i + len(r) :], shape, True) for r in rights if shape.startswith(r, i)]
+            edits += [(shape, shape, True, 2)] * 10
+            edits += [(shape[0] + w[1:] if shape != label.upper() else w.upper(), shape, True, 2) for w in misreadings(label)]
+    ready, of = [], {}
+    for w, r, label, sound in edits:
+        options = of.get((w, label)) or of.setdefault((w, label), editor.options(w, label))
+        right = next((k for k, o in enumerate(options) if o[0] == r), None)
+        if right is None and w != r:
+            right = next((k for k, o in enumerate(options) if o[1] and o[0].lower() == r.lower()), None)
+        if right is not None and len(options) > 1:
+            ready.append(([editor.features(w, *o, label, sound) for o in options], right))
+    score = editor.model.score
     for _ in range(EPOCHS):
         rng.shuffle(lines_x)
         for f, k in lines_x:
@@ -622,23 +455,18 @@ def train(pairs: list[tuple[str, str]], words: Words, seed: int = 11) -> Repaire
             tagger.step()
         rng.shuffle(joins)
         for f, is_cut in joins:
-            if (joiner.score(f) > 0) != is_cut:
-                joiner.update(f if is_cut else [], [] if is_cut else f)
-            joiner.step()
-        rng.shuffle(edits)
-        for w, r, label in edits:
-            options = candidates(w, words)
-            if label:
-                have = {x for x, _ in options}
-                options += [(x, (e,)) for e in _edits(w) if (x := _apply(w, (e,))).lower().rstrip(".") in LABELS and x not in have]
-            truth = next((o for o in options if o[0] == r), None) or next((o for o in options if w != r and o[1] and o[0].lower() == r.lower()), None)
-            if truth is None or len(options) == 1:
-                continue
-            got = max(options, key=lambda o: (editor.score(edit_features(w, o[0], o[1], words, label)), not o[1]))
-            if bool(got[1]) != bool(truth[1]) or got[0] != truth[0]:
-                editor.update(edit_features(w, *truth, words, label), edit_features(w, *got, words, label))
-            editor.step()
-    return Repairer(words, tagger.average(), joiner.average(), editor.average())
+            if (score(f) > 0) != is_cut:
+                editor.model.update(f if is_cut else [], [] if is_cut else f)
+            editor.model.step()
+        rng.shuffle(ready)
+        for features, right in ready:
+            got = max(range(len(features)), key=lambda k: (score(features[k]), -k))
+            if got != right:
+                editor.model.update(features[right], features[got])
+            editor.model.step()
+    tagger.average()
+    editor.model.average()
+    return Repairer(words, tagger, editor)
 
 
 # --- tables -------------------------------------------------------------------------
@@ -680,8 +508,20 @@ def count_words(correct: DataFrame, recognised: DataFrame, keep: int = VOCABULAR
     return Words(clean, seen)
 
 
+_TRAINED: dict[tuple[str, str, int], Repairer] = {}
+
+
 def trained(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Repairer:
-    """Word counts of all texts and models trained on ``sample`` case pairs."""
+    """Word counts of all texts and models trained on ``sample`` case pairs; the
+    same application reads and trains once for a folder."""
+    at = (spark.sparkContext.applicationId, sf_dir, sample)
+    if at not in _TRAINED:
+        _TRAINED.clear()
+        _TRAINED[at] = _train_on(spark, sf_dir, sample)
+    return _TRAINED[at]
+
+
+def _train_on(spark: SparkSession, sf_dir: str, sample: int) -> Repairer:
     case = table(spark, sf_dir, "case_results")
     words = count_words(case.select(F.col("expected").alias("text")), page_texts(spark, sf_dir).select("text"))
     pairs = (

@@ -5,6 +5,7 @@ import pytest
 
 from legajo.llm import page_repair as r
 from legajo.llm import subjects as s
+from legajo.llm.char_editor import Editor, align, applied, operations
 
 WORDS = "informe carpeta oficina semana mañana consulta respuesta observación documento trabajo ciudad escuela puente factura sentencia médico camino cuaderno registro director vecino pregunta noticia ventana".split()
 TOPICS = {"law": "sentencia demanda juzgado tutela".split(), "health": "médico vacuna síntoma farmacia".split()}
@@ -76,8 +77,46 @@ def test_every_counted_word_is_looked_up(spark):
         for w in [*names, "", "a", "zzz", "sentenci", "sentenciaa", "ñ"]:
             assert (few.clean.get(w, 0), few.seen.get(w, 0), w in few.clean, few.known(w)) == (full.clean.get(w, 0), full.seen.get(w, 0), w in full.clean, full.known(w))
         assert dict(few.clean.items()) == full.clean and dict(few.seen.items()) == full.seen
-        for w in ("scntencia", "sentcncia", "ñanbú"):
-            assert r.candidates(w, few) == r.candidates(w, full)
+        for w in ("scntencia", "sentcncia", "ñanbú", "sentenxia"):
+            learned = {"c": ["e"], "b": ["d"]}
+            assert Editor(few, learned=learned).options(w) == Editor(full, learned=learned).options(w)
+        assert ("sentencia", ((1, "c", "e"),)) in Editor(few, learned=learned).options("scntencia")
+
+
+def test_operations_are_read_off_pairs():
+    assert align("mcnsajero", "mensajero") == [(1, "c", "e")]
+    assert align("documcrito", "documento") == [(5, "c", "e"), (6, "ri", "n")]
+    assert align("Descle", "Desde") == [(3, "cl", "d")] and align("segiiirá", "seguirá") == [(3, "ii", "u")]
+    assert align("feha", "fecha") == [(2, "", "c")] and align("fecha", "fecha") == [] and align("", "") == []
+    assert list(operations("Descle", ((3, "cl", "d"),))) == [(3, "Rd"), (4, "D")]
+    assert list(operations("mes", ((0, "m", "rn"),))) == [(0, "Rr"), (0, "In")]
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcñ") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        assert applied(a, tuple(align(a, b))) == b
+
+
+def test_a_misreading_never_seen_is_repaired(repairer):
+    model, _, _ = repairer
+    assert set(model.editor.learned) == {"0"}  # nothing else stands in the pairs
+    for wrong, right in (("respvesta", "respuesta"), ("carpxta", "carpeta"), ("sentencja", "sentencia"), ("documeento", "documento"), ("obseración", "observación")):
+        assert model.fix(wrong)[0] == right
+    assert model.fix("informe") is None and model.fix("Xqzw") is None
+    assert [n for n in model.noises("La carpxta respuesta del informe") if n[1] == "misread"] == [(1, "misread")]
+
+
+def test_bad_lines_are_read_too(repairer):
+    model, _, _ = repairer
+    assert model.sound("informe zzzk qqwx pprt".split()) == 1 and model.sound("zzzk qqwx".split()) == 0 and model.sound([]) == 2
+    _, _, _, misread, fixed = model.read("zzzk inf0rme qqwx pprt carpeta vvnm")
+    assert misread == {0} and "informe" in fixed[0]
+
+
+def test_models_are_kept_in_a_file(repairer, tmp_path):
+    model, pairs, _ = repairer
+    model.save(tmp_path / "models")
+    again = r.Repairer.load(tmp_path / "models")
+    assert all(again.noises(noisy) == model.noises(noisy) for _, noisy, _ in pairs[:5])
     assert ("sentencia", ((1, "c", "e"),)) in r.candidates("scntencia", few)
     none = r.count_words(correct.where("false"), recognised.where("false"))
     assert none.clean == {} and none.seen == {}
