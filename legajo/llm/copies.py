@@ -21,8 +21,9 @@ from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, St
 
 from legajo.tables import cut, table
 
-#: Rows of a bucket at least before it is split, and most prefixes ever split
-#: in a pass: the bucket size is max(BUCKET_ROWS, rows / MOST_SPLIT).
+#: Rows of a bucket, and most prefixes ever split in a pass.  Beyond their
+#: product (10^9 rows) prefixes are split down to rows / MOST_SPLIT, and what is
+#: left in them by bytes of a hash of the text, so that buckets stay this small.
 BUCKET_ROWS, MOST_SPLIT = 50_000, 20_000
 #: First depth in bytes; each further pass doubles it.
 DEPTH = 8
@@ -46,7 +47,8 @@ def canonical(text: Column) -> Column:
 
 @dataclass
 class Buckets:
-    """The rows with their bucket, and the rows of texts beyond any bucket."""
+    """The rows with their bucket, and those of texts beyond any bucket by a
+    digest of the text."""
 
     spread: DataFrame
     heavy: DataFrame
@@ -87,14 +89,15 @@ def partition(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Buckets:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bucket, pa.binary()), pa.array(at, pa.int32()), pa.array(heavy, pa.bool_())], names=schema.names)
 
     marked = records.select("key", "canon").mapInArrow(place, schema)
-    return Buckets(marked.where("not heavy").drop("heavy"), marked.where("heavy").select("key", "canon"))
+    share = F.pmod(F.xxhash64("canon"), F.lit(-(-size // bucket_rows))).cast("int")
+    return Buckets(marked.where("not heavy").drop("heavy").withColumn("share", share), marked.where("heavy").select("key", F.sha2("canon", 256).alias("digest")))
 
 
 def _tries(buckets: DataFrame, name: str, each_copy: bool) -> DataFrame:
     """Walk each bucket's trie: (keep_id, copy_id) of every further copy, or
     (keep_id, n_copies) of every terminal."""
     schema = StructType([StructField("keep_id", LongType()), StructField(name, LongType())])
-    ordered = buckets.repartition("bucket").sortWithinPartitions("bucket", "key")
+    ordered = buckets.repartition("bucket", "share").sortWithinPartitions("bucket", "share", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, root, terminals = None, {}, []
@@ -110,8 +113,8 @@ def _tries(buckets: DataFrame, name: str, each_copy: bool) -> DataFrame:
                     other.append(n)
 
         for b in batches:
-            keys, canons, owners, depths = (b.column(i).to_pylist() for i in range(4))
-            for key, canon, owner, depth in zip(keys, canons, owners, depths):
+            keys, canons, buckets_, depths, shares = (b.column(i).to_pylist() for i in range(5))
+            for key, canon, owner, depth in zip(keys, canons, zip(buckets_, shares), depths):
                 if owner != current:
                     close()
                     current, root, terminals = owner, {}, []
@@ -134,7 +137,7 @@ def _tries(buckets: DataFrame, name: str, each_copy: bool) -> DataFrame:
         close()
         yield out()
 
-    return ordered.select("key", "canon", "bucket", "depth").mapInArrow(run, schema)
+    return ordered.select("key", "canon", "bucket", "depth", "share").mapInArrow(run, schema)
 
 
 def _records(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -148,8 +151,8 @@ def copies(df: DataFrame, key: str, text: str, bucket_rows: int = BUCKET_ROWS) -
     keys are no records; equal keys count as one record."""
     at = partition(_records(df, key, text), bucket_rows)
     light = _tries(at.spread, "copy_id", each_copy=True)
-    first = F.broadcast(at.heavy.groupBy("canon").agg(F.min("key").alias("keep_id")))  # at most MOST_SPLIT texts
-    heavy = at.heavy.join(first, "canon").where("key != keep_id").select("keep_id", F.col("key").alias("copy_id"))
+    first = F.broadcast(at.heavy.groupBy("digest").agg(F.min("key").alias("keep_id")))  # at most MOST_SPLIT digests, 64 characters each
+    heavy = at.heavy.join(first, "digest").where("key != keep_id").select("keep_id", F.col("key").alias("copy_id"))
     return light.unionByName(heavy)
 
 
@@ -157,7 +160,7 @@ def collapsed(df: DataFrame, key: str, text: str, bucket_rows: int = BUCKET_ROWS
     """(keep_id, n_copies): one row per set, with the number of its records."""
     at = partition(_records(df, key, text), bucket_rows)
     light = _tries(at.spread, "n_copies", each_copy=False)
-    heavy = at.heavy.groupBy("canon").agg(F.min("key").alias("keep_id"), F.count("*").alias("n_copies"))
+    heavy = at.heavy.groupBy("digest").agg(F.min("key").alias("keep_id"), F.count("*").alias("n_copies"))
     return light.unionByName(heavy.select("keep_id", "n_copies"))
 
 
@@ -186,9 +189,9 @@ WITH t AS (
 m AS (SELECT table_name, id, x, regexp_replace(lower(x), '(\\p{L}+)["»'']?\\s*[:=]', chr(30) || '\\1' || chr(31), 'g') AS y FROM t
   WHERE regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g') <> ''),
 s AS (SELECT *, string_split(y, chr(30)) AS p FROM m),
-c AS (SELECT table_name, id, CASE WHEN len(p) > 1 AND regexp_replace(p[1], '[^\\p{L}\\p{N}]', '', 'g') = ''
-  THEN array_to_string(list_sort(list_transform(p[2:], lambda q: regexp_replace(q, '[^\\p{L}\\p{N}' || chr(31) || ']', '', 'g'))), chr(30))
-  ELSE regexp_replace(y, '[^\\p{L}\\p{N}]', '', 'g') END AS canon FROM s),
+c AS (SELECT table_name, id, CASE WHEN len(p) > 1 AND regexp_replace(p[1], '[^\\p{L}\\p{N}\\p{M}]', '', 'g') = ''
+  THEN array_to_string(list_sort(list_transform(p[2:], lambda q: regexp_replace(q, '[^\\p{L}\\p{N}\\p{M}' || chr(31) || ']', '', 'g'))), chr(30))
+  ELSE regexp_replace(y, '[^\\p{L}\\p{N}\\p{M}]', '', 'g') END AS canon FROM s),
 k AS (SELECT *, min(id) OVER w AS keep_id, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY table_name, canon))
 """
 FOUND_SQL = _CANONICAL_SQL + "SELECT table_name, keep_id, id AS copy_id FROM k WHERE id <> keep_id"

@@ -13,9 +13,10 @@ EPS = 0.005
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """field, run_id, day, value of every row of the three tables."""
+    """field, run_id, day, value of every row of the three tables; negative
+    durations, which are none, come as null."""
     parts = [("case_results", "duration_ms", "generated_at"), ("matrix_rows", "ocr_duration_ms", "measured_at"), ("pipeline_summaries", "p95_ms", "generated_at")]
-    frames = [table(spark, sf_dir, t).select(F.lit(c).alias("field"), "run_id", F.to_date(at).alias("day"), F.col(c).alias("value")) for t, c, at in parts]
+    frames = [table(spark, sf_dir, t).select(F.lit(c).alias("field"), "run_id", F.to_date(at).alias("day"), F.when(F.col(c) >= 0, F.col(c)).alias("value")) for t, c, at in parts]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 

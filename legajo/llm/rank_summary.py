@@ -9,6 +9,12 @@ adjacent tuples are joined as far as the permitted uncertainty of that level
 allows.  ``u``, the widest rank interval of a piece, is carried along, so the
 accumulated error is known and never assumed.
 
+A key whose pieces exceed a task's buffer is merged as a tree: two pieces of
+one level make one of the next, and level ``i`` may widen intervals only by the
+``1 / (2 i (i + 1))``-th part of the stage's uncertainty, so that all levels
+together stay within half of it, however many there are, and the closing merge
+within the other half.
+
 Pieces are ordinary rows (keys, n, u, lists), so those of separate days or
 files can be stored and combined later with ``merge_summaries``.
 """
@@ -19,7 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
@@ -125,10 +131,10 @@ def _arrow_schema(schema: StructType) -> pa.Schema:
 def summarise(df: DataFrame, keys: Sequence[str], value: str, eps: float) -> DataFrame:
     """Pieces of ``value`` per ``keys``, made where the rows lie (no shuffle).
 
-    Null, NaN and negative values don't count; a null key is a key like any
+    Null and NaN values don't count; a null key is a key like any
     other; an empty input gives no rows.  Other columns are ignored.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("__x")).where("__x is not null and not isnan(__x) and __x >= 0")
+    rows = df.select(*keys, F.col(value).cast("double").alias("__x")).where("__x is not null and not isnan(__x)")
     schema = StructType([rows.schema[k] for k in keys] + _PIECE)
     target = _arrow_schema(schema)
 
@@ -164,7 +170,7 @@ def _merge_stage(pieces: DataFrame, keys: Sequence[str], eps: float, finish=None
     result = finished or schema
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def join(held: list[pa.Table]):
+        def join(held: list[pa.Table], own: float = eps / 2):
             t = pa.concat_tables(held)
             k_row, first = _codes(t, keys)
             lists = [t.column(c).combine_chunks() for c in ("v", "g", "d")]
@@ -176,7 +182,7 @@ def _merge_stage(pieces: DataFrame, keys: Sequence[str], eps: float, finish=None
             g[~exact], d[~exact] = lists[1].flatten().to_numpy(), lists[2].flatten().to_numpy()
             piece = np.repeat(np.arange(t.num_rows), length)
             k, v, g, d = merge(k_row[piece], piece, v, g, d, u)
-            return t.select(list(keys)).take(pa.array(first)), compress(k, v, g, d, eps)
+            return t.select(list(keys)).take(pa.array(first)), compress(k, v, g, d, own)
 
         def out(head, tuples):
             if finish is None:
@@ -185,6 +191,7 @@ def _merge_stage(pieces: DataFrame, keys: Sequence[str], eps: float, finish=None
                 yield from finish(head, *tuples)
 
         held: list[pa.Table] = []
+        tree: list[tuple[int, pa.Table]] = []  # (level, piece) of the key that goes on, levels falling
         count = 0
         for b in batches:
             if not b.num_rows:
@@ -194,22 +201,31 @@ def _merge_stage(pieces: DataFrame, keys: Sequence[str], eps: float, finish=None
             count += len(t.column("v").combine_chunks().flatten())
             if count < MERGE_TUPLES:
                 continue
-            t = pa.concat_tables(held).combine_chunks()
+            t = pa.concat_tables([*(x for _, x in tree), *held]).combine_chunks()
             code, _ = _codes(t, keys)
             cut_at = len(code) - int(np.argmax((code != code[-1])[::-1])) if (code != code[-1]).any() else 0
-            if cut_at:
+            if cut_at:  # the key of the tree is among those that are complete
                 yield from out(*join([t.slice(0, cut_at)]))
-            head, tuples = join([t.slice(cut_at)])
-            held = [pa.Table.from_batches(_emit(head, *tuples, target))]
-            count = len(tuples[0])
-        if held:
-            yield from out(*join(held))
+                tree, held = [], [t.slice(cut_at)]
+            level, piece = 1, pa.concat_tables(held)
+            while True:
+                head, tuples = join([piece], eps / (2 * level * (level + 1)))
+                piece = pa.Table.from_batches(_emit(head, *tuples, target))
+                if not tree or tree[-1][0] != level:
+                    break
+                piece = pa.concat_tables([tree.pop()[1], piece])
+                level += 1
+            tree.append((level, piece))
+            held, count = [], 0
+        if held or tree:
+            yield from out(*join([*(x for _, x in tree), *held]))
 
     return pieces.mapInArrow(merged, result)
 
 
 def merge_summaries(pieces: DataFrame, keys: Sequence[str], eps: float, finish=None, finished: StructType | None = None) -> DataFrame:
-    """One piece per key from any number of pieces, of any days or files.
+    """One piece per key from any number of pieces, of any days or files, each
+    of the two levels adding an uncertainty of at most ``eps * n``.
 
     Keys not in ``keys`` are dropped, so daily pieces combine to those of the
     whole.  Level one spreads the pieces of a hot key over ``SALTS`` tasks.
@@ -270,7 +286,9 @@ def quantile_bounds(pieces: DataFrame, keys: Sequence[str], probs: dict[str, flo
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], eps: float = 0.005) -> DataFrame:
     """Estimated percentiles per key: columns ``keys``, ``n``, and per name the
-    midpoint of its certain bounds.  The rank error is at most ``eps * n``."""
+    midpoint of its certain bounds.  Null and NaN values don't count, negative
+    ones do.  The rank error is at most ``eps * n``: a quarter of it each for the
+    pieces and the two merging levels."""
     bounds = quantile_bounds(summarise(df, keys, value, eps / 4), keys, probs, eps / 4)
     return bounds.select(*keys, "n", *[((F.col(f"{p}_lo") + F.col(f"{p}_hi")) / 2).alias(p) for p in probs])
 
@@ -285,7 +303,7 @@ def _refine(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, flo
     key = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     state = F.broadcast(open_) if small else open_
     x = F.col(f"a.{value}").cast("double")
-    rows = df.alias("a").join(state.alias("b"), key("a", "b")).where(x.isNotNull() & ~F.isnan(x) & (x >= 0))
+    rows = df.alias("a").join(state.alias("b"), key("a", "b")).where(x.isNotNull() & ~F.isnan(x))
     result = open_.select(*keys, "n").alias("r")
     for p, q in probs.items():
         own = rows.select(*[F.col(f"a.{k}") for k in keys], x.alias("__v"), F.col(f"b.{p}_from").alias("__from"), F.col(f"b.{p}_to").alias("__to"))
@@ -318,14 +336,33 @@ def _refine(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, flo
     return result
 
 
-def ratio_exceeds(df: DataFrame, keys: Sequence[str], value: str, upper: float, lower: float, factor: float, eps: float = 0.005, rounds: int = 4) -> DataFrame:
+def _exact(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], open_: DataFrame) -> DataFrame:
+    """Exact percentiles of the keys in ``open_`` (all four bounds equal), by
+    counting each distinct value inside their bounds; after some refining passes
+    those are few, however many rows repeat them."""
+    both = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    x = F.col(f"a.{value}").cast("double")
+    result = open_.select(*keys, "n")
+    for p, q in probs.items():
+        rows = df.alias("a").join(open_.alias("b"), both).where(x.isNotNull() & ~F.isnan(x) & (x <= F.col(f"b.{p}_to")))
+        clamped = F.when(x >= F.col(f"b.{p}_from"), x)  # null stands for all below
+        counts = rows.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("b.n").alias("n"), F.col(f"b.{p}_rank").alias("rank"), clamped.alias("v")).agg(F.count("*").alias("c"))
+        run = F.sum("c").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v")))
+        at = counts.withColumn("run", run).groupBy(*keys).agg(*[F.min(F.when((F.col("run") >= r) & F.col("v").isNotNull(), F.col("v"))).alias(c) for c, r in (("v0", F.col("rank")), ("v1", F.least(F.col("n"), F.col("rank") + 1)))], F.max((F.col("n") - 1) * q % 1).alias("w"))
+        exact = F.col("v0") + F.col("w") * (F.col("v1") - F.col("v0"))
+        part = at.select(*[F.col(k).alias(f"__{k}") for k in keys], exact.alias(f"{p}_lo"), exact.alias(f"{p}_hi"))
+        result = result.join(part, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
+    return result
+
+
+def ratio_exceeds(df: DataFrame, keys: Sequence[str], value: str, upper: float, lower: float, factor: float, eps: float = 0.005, rounds: int = 3) -> DataFrame:
     """The keys whose ``upper`` percentile is more than ``factor`` times the
-    ``lower`` one (linear interpolation).
+    ``lower`` one (linear interpolation).  Null and NaN values don't count.
 
     Decided from the bounds of the summaries; only keys whose bounds leave it
     open are read again, by rows within the bounds, each pass narrowing them
-    by ``eps``.  After ``rounds`` passes (rank error ``eps ** rounds``) the
-    midpoints decide.  Null keys belong to no group and are left out.
+    by ``eps``.  What is open after ``rounds`` passes is counted exactly.  Null
+    keys belong to no group and are left out.
     """
     df = df.select(*keys, value).dropna(subset=list(keys))
     probs = {"hi": upper, "lo": lower}
@@ -340,5 +377,6 @@ def ratio_exceeds(df: DataFrame, keys: Sequence[str], value: str, upper: float,
         bounds = cut(_refine(df, keys, value, probs, open_, eps / 4))
         found = found.unionByName(bounds.where(yes).select(*keys))
         open_ = bounds.where(still)
-    middle: Column = F.expr(f"(hi_lo + hi_hi) > {factor}D * (lo_lo + lo_hi)")
-    return found.unionByName(open_.where(middle).select(*keys))
+    if not open_.limit(1).count():
+        return found
+    return found.unionByName(_exact(df, keys, value, probs, open_).where(yes).select(*keys))

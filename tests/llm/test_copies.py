@@ -34,6 +34,19 @@ def test_against_brute_force_with_recursion_and_heavy_texts(spark):
         assert {tuple(r) for r in c.collapsed(df, "key", "text", size).collect()} == counts
 
 
+def test_buckets_stay_small_where_prefixes_are_few(spark, monkeypatch):
+    monkeypatch.setattr(c, "MOST_SPLIT", 3)
+    rng = random.Random(4)
+    rows = [(i, f"registro {rng.randrange(900)}") for i in range(2000)] + [(5000 + i, "hot") for i in range(900)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    want, counts = brute(rows)
+    assert {tuple(r) for r in c.copies(df, "key", "text", 25).collect()} == want
+    assert {tuple(r) for r in c.collapsed(df, "key", "text", 25).collect()} == counts
+    at = c.partition(c._records(df, "key", "text"), 25).spread
+    texts = at.groupBy("bucket", "share").agg(F.count_distinct("canon").alias("n"))  # one text is one path of a trie
+    assert texts.agg(F.max("n")).first()[0] <= 50
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "key long, text string")
     assert c.copies(df, "key", "text").count() == 0 and c.collapsed(df, "key", "text").count() == 0

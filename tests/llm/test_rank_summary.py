@@ -17,7 +17,9 @@ def frame(spark, rows, parts=3):
 def test_exact_small_groups_and_odd_values(spark):
     rows = [("a", float(i)) for i in range(1, 11)] + [("a", None), ("a", math.nan), ("a", -1.0), (None, 5.0), ("b", 7.0), ("c", math.nan)]
     out = {x["k"]: x for x in r.percentiles(frame(spark, rows), ["k"], "x", {"p50": 0.5, "p95": 0.95}).collect()}
-    assert (out["a"]["n"], out["a"]["p50"], out["a"]["p95"]) == (10, 5.5, pytest.approx(9.55))
+    assert (out["a"]["n"], out["a"]["p50"], out["a"]["p95"]) == (11, 5.0, pytest.approx(9.5))
+    below = r.percentiles(frame(spark, [("a", float(x)) for x in range(-50, 51)]), ["k"], "x", {"p50": 0.5}).first()
+    assert (below["n"], below["p50"]) == (101, 0.0)
     assert out["b"]["p50"] == 7.0 and out[None]["n"] == 1 and "c" not in out
 
 
@@ -34,6 +36,31 @@ def test_bounds_hold_and_errors_stay_small(spark, monkeypatch):
         assert hi - lo <= 0.04 * len(s) + 5000 * (name == "p50")
 
 
+@pytest.mark.parametrize("buffer", [300, 1000, 5000])
+def test_the_error_of_a_hot_key_is_bounded(spark, monkeypatch, buffer):
+    """However often its pieces outgrow the buffer of a merging task."""
+    monkeypatch.setattr(r, "PIECE_ROWS", 100)
+    monkeypatch.setattr(r, "MERGE_TUPLES", buffer)
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else f"k{i % 50}", rng.gauss(0, 9)) for i in range(60_000)]
+    eps = 0.02
+    one = {x["k"]: x for x in r.merge_summaries(r.summarise(frame(spark, rows, 5), ["k"], "x", eps / 4), ["k"], eps / 4).collect()}
+    assert one["hot"]["n"] == 40_000 and one["hot"]["u"] <= eps * 40_000 and len(one) == 51
+    out = {x["k"]: x["p"] for x in r.percentiles(frame(spark, rows, 5), ["k"], "x", {"p": 0.9}, eps).collect()}
+    own = np.sort([x for k, x in rows if k == "hot"])
+    assert abs(np.searchsorted(own, out["hot"]) - 36_000) <= eps * 40_000
+
+
+def test_ratio_is_exact_in_the_end(spark):
+    """Repeated values on either side of a percentile leave every bound open."""
+    rows = [(f"g{g}", v) for g, high in enumerate((3.9, 4.0, 4.1, 8.0)) for v in [1.0] * 3000 + [high] * (158 + g % 2)] + [("neg", -4.0)] * 50
+    got = {x["k"] for x in r.ratio_exceeds(frame(spark, rows), ["k"], "x", 0.95, 0.5, 4.0, 0.5, rounds=0).collect()}
+    by = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    assert got == {k for k, v in by.items() if np.quantile(v, 0.95) > 4 * np.quantile(v, 0.5)}
+
+
 def test_days_combine(spark):
     rows = [("a", float(i % 97)) for i in range(4000)]
     df = frame(spark, rows).selectExpr("k", "x", "cast(x % 3 as int) as day")

@@ -43,12 +43,12 @@ def test_mix_matches_thresholds_by_sorting(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 1), ("gone", 0.1, 3)], "source string, target_share double, max_repeats int")
     mixed, plans = m.mix(df, targets, total=3000.0)
     got = {r["doc_id"]: r["repeats"] for r in mixed.collect()}
-    sized = m.sized_documents(df, ["a", "b", "c", "gone"], 17).collect()
-    by = {p.source: p for p in plans}
+    sized = m.sized_documents(df, targets, 17).collect()
+    by = {p.source: p for p in plans.collect()}
     for s in "abc":
         own = sorted((r["h"], r["doc_id"], r["n_tokens"]) for r in sized if r["source"] == s)
         p = by[s]
-        budget = min(p.share * 3000, p.max_repeats * p.available)
+        budget = min(p.target_share * 3000, p.max_repeats * p.available)
         used = sum(n * got.get(d, 0) for _, d, n in own)
         assert abs(used - budget) <= 30 and max(got.get(d, 0) for _, d, _ in own) <= p.max_repeats
         extra = [got.get(d, 0) > p.copies for _, d, _ in own]
@@ -62,6 +62,13 @@ def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert m.mix(df, targets)[0].count() == 0
-    many = spark.range(1001).select(F.col("id").cast("string").alias("source"), F.lit(0.001).alias("target_share"), F.lit(1).alias("max_repeats"))
-    with pytest.raises(ValueError):
-        m.mix(df, many)
+
+
+@pytest.mark.parametrize("most", [5, 20_000])
+def test_many_sources(spark, monkeypatch, most):
+    monkeypatch.setattr(m, "BROADCAST_ROWS", most)
+    df = spark.createDataFrame([(i, "palabra " * (1 + i % 5), f"s{i % 1200}") for i in range(3600)], "doc_id long, text string, source string")
+    many = spark.range(1300).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1 / 1300).alias("target_share"), F.lit(1).alias("max_repeats"))
+    mixed, plan = m.mix(df, many)
+    assert plan.count() == 1300 and plan.where("available > 0 and abs(budget - 3) < 12").count() == 1200
+    assert 0 < mixed.count() <= 3600 and mixed.where("repeats > 1").count() == 0
