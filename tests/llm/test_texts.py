@@ -12,11 +12,13 @@ from legajo.llm import text_kind as k
     [
         (None, None), ("", ""), ("plain ñandú", "plain ñandú"), ("ｌｏ ２０２６", "lo 2026"), ("El dí​a", "El día"), (unicodedata.normalize("NFD", "canción"), "canción"), ("mensajerο", "mensajero"),
         ("ѕе vа", "se va"), ("привет λόγος Ω β", "привет λόγος Ω β"), ("ﬁn", "fin"), ("3.º 2.ª ½ 25 °C €", "3.º 2.ª ½ 25 °C €"), ("“a” — • «b»", "“a” — • «b»"), ("a\tb\r\n\fc", "a\tb\r\n\fc"), ("о́", "ó"), ("́a", "́a"),
+        ("Он был у реки", "Он был у реки"), ("красивая роса", "красивая роса"), ("сорок ухо оса", "сорок ухо оса"), ("ο λόγος", "ο λόγος"), ("Ω а casa", "Ω a casa"), ("El сasa ο", "El casa o"), ("ΝΙΤ: 86", "NIT: 86"),
+        ("1З5 y ЗAPATO", "135 y ЗAPATO"), ("\u1112\u1161\u11ab", "\ud55c"), ("\u0995\u09c7\u09be", "\u0995\u09cb"), ("\u0d46\u0d3e", "\u0d4a"), ("x\u200b\u0301", "x\u0301"),
     ],
 )
 def test_consistent_form(text, want):
     assert s.canonical(text) == want
-    assert s.canonical(want) == want
+    assert s.canonical(want) == want and (want is None or unicodedata.is_normalized("NFC", want))
 
 
 def test_canonicalise_keeps_other_columns(spark):
