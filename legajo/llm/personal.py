@@ -1,9 +1,11 @@
 """Personal information in free text: found, scored and replaced.
 
 Regular expressions propose spans.  Each proposal has a base score; validators
-confirm or weaken it (Luhn and mod-97 check digits, number shapes of phones
-and identity papers), words before and after it raise or lower it, and the
-column it stands in may add its own evidence.  Overlapping proposals are
+confirm or weaken it (Luhn, mod-97, mod-23 and mod-11 check digits, number
+shapes of phones and identity papers), words before and after it raise or lower
+it, and the column it stands in may add its own evidence.  Names are proposed
+by capitals behind a title or a turn that introduces people, by an initial, or
+by a listed given name; the list is one piece of evidence among these.  Overlapping proposals are
 settled by score, then by length; those below ``ACCEPT`` are dropped.
 """
 
@@ -50,6 +52,16 @@ def _rest(word: str, particle: str) -> str:
     return f"{word}(?:\\s+{particle}\\s+{word}|\\s+{word})?"
 
 
+#: Words of offices and roles, which a title may precede as well.
+ROLES = frozenset("""
+abogado abogada administrador administradora alcalde alcaldesa asistente auxiliar cliente comandante comisario comisión concejal consejero consejo contador contadora coordinador coordinadora
+decano decana delegado delegada departamento dirección director directora distrito división embajador encargado encargada fiscal gerencia gerente gobernador inspector inspectora jefa jefatura jefe juez jueza
+juzgado ministerio ministra ministro municipalidad notaria notario oficial oficina presidenta presidente procurador rector rectora responsable secretaria secretario secretaría servicio sindicato subdirector supervisor
+tesorera tesorero unidad usuario vecino vecina viceministro ventanilla archivo mesa general nacional municipal provincial regional distrital
+director board manager office clerk secretary president mayor judge chief head department
+diretor diretora gerência secretária prefeito presidente chefe setor
+""".split())
+
 _STYLE_WORD = {
     "title": f"(?!(?i:{_STOP}))[{_UP}][{_LOW}]{{2,}}\\b",
     "upper": f"(?!(?i:{_STOP}))[{_UP}]{{3,}}\\b",
@@ -64,9 +76,26 @@ _initial = {
     "lower": (0.2, re.compile(f"(?<![.\\w])[{_LOW}]\\.\\s+{_rest(_STYLE_WORD['lower'], 'de')}")),
 }
 _BASE = {"title": 0.75, "upper": 0.75, "lower": 0.45}
+_TITLE = r"(?i:\b(?:se[ñn]or(?:a|ita)?|sr|sra|srta|dr|dra|lic|ing|arq|don|do[ñn]a|dña|mr|mrs|ms|prof)\b\.?)\s+"
+_LEAD = r"(?i:\b(?:comunicarse\s+con|contactar\s+a|hablar\s+con|entregado\s+a|recibido\s+por|firmado\s+por|atentamente,|quien\s+suscribe,|remitente:?|nombre(?:\s+completo)?:|attn:?|contact))\s+"
+_shape = [
+    (score, re.compile(f"{lead}((?:{_STYLE_WORD[style]})(?:\\s+(?:(?:de|del|la|las|los|DE|DEL|LA|da|do|dos)\\s+){{0,2}}{_STYLE_WORD[style]}){{{least},3}})"))
+    for lead, score, least in ((_TITLE, 0.7, 1), (_LEAD, 0.55, 1)) for style in ("title", "upper")
+]
 _token = re.compile(r"[^\W\d_]{3,}")
 
 
+def _shaped(text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, score) of two to four capitalised words behind a title or a
+    turn that introduces a person, none of them a role."""
+    for score, rule in _shape:
+        for m in rule.finditer(text):
+            words = m[1].split()
+            at = next((i for i, w in enumerate(words) if w.lower() in ROLES), len(words))
+            if at == len(words):
+                yield m.start(1), m.end(1), score
+
+
 def _names_in(text: str) -> Iterator[tuple[int, int, float]]:
     """(start, end, base score) of proposals that hold a given name or an initial."""
     last = -1
@@ -101,7 +130,7 @@ def _names_in(text: str) -> Iterator[tuple[int, int, float]]:
 _NAME_BEFORE = re.compile(r"(?i)(?:\b(?:sr|sra|srta|dr|dra|lic|ing|don|doña|señora?|ciudadan[oa]|por|entregado\s+a|recibido\s+por|declaró\s+que|quien\s+suscribe,|comunicarse\s+con|suscribe|remitente:?|nombre:?)\.?\s+|[\d\]-]\s+de\s+)$")
 _BEGIN = re.compile(r"^\s*$")
 _broken = re.compile(r"[-\u00ac=] ?\n\s*")
-_NAME_SURELY = re.compile(r"(?i)^(?:\s+(?:vive\s+act|dejó\s+el)|,\s+(?:titular|con\s+(?:c\.?i|céd|carnet|ident|pasap|n\.?i\.?t)))")
+_NAME_SURELY = re.compile(r"(?i)^(?:\s+(?:vive|reside|dejó|firmó|declaró|entregó|recibió|compareció|solicitó|presentó)\b|,\s+(?:titular|con\s+(?:c\.?i|céd|carnet|ident|pasap|n\.?i\.?t)))")
 _NAME_AFTER = re.compile(r"(?i)^\s*(?:,?\s*(?:tel|titular|con\s)|\(|dejó|vive|al\s+(?:tel|fono|cel|número)|c\.?i\.|$)")
 
 _email = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?(?:\s?@\s?|\s?\(at\)\s?|\s?\[(?:arroba|at)\]\s?|\s?\(arroba\)\s?)(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b")
@@ -112,6 +141,7 @@ _phone_rules = [
     (0.9, re.compile(rf"(?<![\w+])(?:\+|00)591{_S}?\d{{4}}{_S}?\d{{4}}(?!\w|[-.]\d)")),
     (0.9, re.compile(rf"(?<![\w)])\(\+?591\)\s?\d{_S}?\d{{3}}{_S}?\d{{4}}(?!\w|[-.]\d)")),
     (0.9, re.compile(r"(?<![\w+(])\+\d{1,3}[\s.-]\(?\d{1,4}\)?(?:[\s.-]\d{2,4}){2,3}(?!\w|[-.]\d)")),
+    (0.8, re.compile(r"(?<![\w+)])\([2-9]\d{2}\)\s?\d{3}[\s.-]\d{4}(?!\w|[-.]\d)")),
     (0.55, re.compile(r"(?<![\w+/.,)-])(?<!\d\s)(?:\d{3}-\d{5}|\d{3}\.\d{2}\.\d{3})(?!\w|[-.,/]\d|\s\d)")),
     (0.4, re.compile(r"(?<![\w+/.,)-])(?<!\d\s)(?:\d{4}\s\d{4}|\d{8})(?!\w|[-.,/]\d|\s\d)")),
     (0.3, re.compile(r"(?<![\w+/.,)-])(?<!\d\s)\d{3}[ .-]\d{4}(?!\w|[-.,/]\d|\s\d)")),
@@ -132,12 +162,18 @@ _ID_BEFORE = re.compile(r"(?i)(?:titular\s+de\s*|\bdocumento:?\s*|^\s*|\(\s*)$")
 _ID_NOT = re.compile(r"(?i)(?:comprobante|guía|despacho|lote|folio|código|formulario|memorándum|oficio|recibo|factura|expediente|voucher|vale|\bbs\.?|monto|serie|interno|\bn[°ºo]\.?|\bnro\.?)\s*(?:n[°ºo]\.?|nro\.?|:)?\s*$")
 _NOT_AFTER = re.compile(r"(?i)^\s*(?:unidades|bs\b|%|/)")
 
-_card = re.compile(r"(?<![\w.-])(?:\d{4}[ -]?){3}\d{1,7}(?![\w-])")
+_id_checked = [  # (validator, shape): national numbers with check letters or digits
+    ("mod23", re.compile(r"(?<![\w.-])\d{2}\.?\d{3}\.?\d{3}[ -]?[A-Z](?![\w-])")),
+    ("mod11", re.compile(r"(?<![\w.-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w-])")),
+]
+_social = re.compile(r"(?<![\w.,/+-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w/-])")
+_card = re.compile(r"(?<![\w.-])(?:(?:\d{4}[ -]?){3}\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\w-])")
 _iban = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)")
 
 _CAP = f"(?!(?i:no|nro|km|núm)\\b)(?:[{_UP}][{_LOW}]+|[{_UP}]{{2,}})"
 _STREET = rf"(?:\b(?i:calle|avenida|pasaje|carretera|jirón|plaza|plazuela|camino|callejón|rua|travessa|praça)|\b(?i:av|avda|jr|psje|pje|ctra)\.|\b[cC]/)\s*"
 _street = re.compile(rf"{_STREET}{_CAP}(?:\s+(?:(?i:de|del|la|las|los|el|y)\s+){{0,2}}{_CAP}){{0,3}}")
+_number_first = re.compile(r"(?<![\w.,/-])\d{1,5}\s+(?:[A-Z][a-z]+\s+){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Lane|Court|Square)\b\.?")
 _street_words = ("calle", "avenida", "pasaje", "carretera", "jirón", "plaza", "plazuela", "camino", "callejón", "rua", "travessa", "praça", "av.", "avda.", "jr.", "psje.", "pje.", "ctra.", "c/")
 _house = re.compile(r"(?i)^,?\s+(?:(?:n[°º]|no\.|nro\.?|núm\.?|#)\s*\d{1,5}|km\.?\s*\d{1,4}|\d{1,5})(?![\w]|[.,/-]\d)|^,?\s*#\s*\d{1,5}(?!\w|[.,/-]\d)")
 
@@ -154,6 +190,8 @@ class Span:
     end: int
     kind: str
     score: float
+    #: name of the checksum that holds, if one was applied
+    check: str = ""
 
 
 def luhn(digits: str) -> bool:
@@ -171,6 +209,23 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code)) % 97 == 1
 
 
+def mod23(code: str) -> bool:
+    """Whether the check letter of an eight-digit national number holds."""
+    digits, letter = re.sub(r"\D", "", code), code[-1]
+    return len(digits) == 8 and "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == letter
+
+
+def mod11(code: str) -> bool:
+    """Whether both check digits of an eleven-digit taxpayer number hold."""
+    d = [int(c) for c in code if c.isdigit()]
+    if len(d) != 11 or len(set(d)) == 1:
+        return False
+    return all(d[n] == sum(x * w for x, w in zip(d, range(n + 1, 1, -1))) * 10 % 11 % 10 for n in (9, 10))
+
+
+_CHECKS = {"mod23": mod23, "mod11": mod11}
+
+
 def proposals(text: str, hint: str = "") -> list[Span]:
     """Scored spans of ``text``; ``hint`` is what its column or field says it is
     (``identity_number`` where a field of that kind was read)."""
@@ -184,17 +239,28 @@ def proposals(text: str, hint: str = "") -> list[Span]:
         if house:
             out.append(Span(m.start(), m.end() + house.end(), "street_address", 0.9))
 
+    for m in _number_first.finditer(text):
+        hidden.append(m.span())
+        out.append(Span(*m.span(), "street_address", 0.85))
+
     def before(start: int) -> str:
         return text[max(0, start - BEFORE) : start]
 
     if any(c.isdigit() for c in text):
         for m in _iban.finditer(text):
             if mod97(re.sub(r"\s", "", m.group())):
-                out.append(Span(*m.span(), "account_number", 0.98))
+                out.append(Span(*m.span(), "account_number", 0.98, "mod97"))
         for m in _card.finditer(text):
             digits = re.sub(r"\D", "", m.group())
             if 13 <= len(digits) <= 19 and luhn(digits):
-                out.append(Span(*m.span(), "card_number", 0.85))
+                out.append(Span(*m.span(), "card_number", 0.85, "luhn"))
+        for check, rule in _id_checked:
+            for m in rule.finditer(text):
+                if _CHECKS[check](m.group()):
+                    out.append(Span(*m.span(), "identity_number", 0.9, check))
+        for m in _social.finditer(text):
+            left = before(m.start())
+            out.append(Span(*m.span(), "identity_number", 0.6 - 0.6 * bool(_ID_NOT.search(left)) - 0.6 * bool(_NOT_AFTER.match(text[m.end() : m.end() + AFTER]))))
         for m in _id_labelled.finditer(text):
             if sum(c.isdigit() for c in m["v"]) >= 5:
                 out.append(Span(*m.span("v"), "identity_number", 0.92))
@@ -219,6 +285,9 @@ def proposals(text: str, hint: str = "") -> list[Span]:
         left, right = _broken.sub("", before(a)), text[b : b + AFTER]
         own = score + (0.35 if _NAME_BEFORE.search(left) else 0.2 * bool(_BEGIN.match(left))) + (0.35 if _NAME_SURELY.match(right) else 0.15 * bool(_NAME_AFTER.match(right)))
         out.append(Span(a, b, "name", own))
+    for a, b, score in _shaped(text):
+        if not any(x < b and a < y for x, y in (*hidden, *mails)):
+            out.append(Span(a, b, "name", score + 0.1 * bool(_NAME_SURELY.match(text[b : b + AFTER]))))
     return out
 
 
@@ -280,6 +349,23 @@ def found(df: DataFrame) -> DataFrame:
     return df.select("field", "rec_id", "item_no", "hint", "text").mapInArrow(run, FOUND)
 
 
+def confirmed(df: DataFrame) -> DataFrame:
+    """Distinct mentions whose check digits hold, with the name of the check:
+    cards (Luhn), accounts (mod-97), national numbers (mod-23, mod-11)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[], [], [], [], [], []]
+            for field, rec, item, hint, text in zip(*(c.to_pylist() for c in b.columns)):
+                for own in {(s.kind, mention(text, s), s.check): None for s in find(text, hint) if s.check}:
+                    for column, x in zip(rows, (field, rec, item, *own)):
+                        column.append(x)
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["field", "rec_id", "item_no", "pii_type", "found", "confirmed_by"])
+
+    return df.select("field", "rec_id", "item_no", "hint", "text").mapInArrow(run, f"{FOUND}, confirmed_by string")
+
+
 def redacted(df: DataFrame) -> DataFrame:
     """field, rec_id, item_no and the text with placeholders, one row per row."""
 
@@ -299,3 +385,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value with its mentions replaced by typed placeholders."""
     return redacted(sources(spark, sf_dir))
+
+
+def p6_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention that a checksum confirms."""
+    return confirmed(sources(spark, sf_dir))

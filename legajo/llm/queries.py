@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_statistics": text_kind.p5_statistics,
     "p6_found": personal.p6_found,
     "p6_redacted": personal.p6_redacted,
+    "p6_confirmed": personal.p6_confirmed,
     "p7_ids": tokens.p7_ids,
     "p8_mix": mixture.p8_mix,
     "p8_shares": mixture.p8_shares,

@@ -57,6 +57,28 @@ def test_validators():
     assert p.redact("pago con 4539 5787 6362 1486") == "pago con [CARD_NUMBER]"
 
 
+@pytest.mark.parametrize(
+    "text, kind, want",
+    [
+        ("El señor Xavier Quispe Mamani pide turno.", "name", "Xavier Quispe Mamani"), ("Sra. Wendy Apaza", "name", "Wendy Apaza"), ("Comunicarse con Omar Flores", "name", "Omar Flores"),
+        ("SR. XAVIER QUISPE DE LA PAZ,", "name", "XAVIER QUISPE DE LA PAZ"), ("El señor Director General", "name", None), ("Sr. Juez Segundo", "name", None), ("señor Xavier", "name", None),
+        ("Tel. (555) 123-4567", "phone", "(555) 123-4567"), ("SSN 123-45-6789", "identity_number", "123-45-6789"), ("vive en 123 Main Street", "street_address", "123 Main Street"),
+        ("tarjeta 3782 822463 10005", "card_number", "3782 822463 10005"), ("tarjeta 3782 822463 10006", "card_number", None), ("DNI 12345678Z", "identity_number", "12345678Z"), ("12.345.678-Z", "identity_number", "12.345.678-Z"),
+        ("CPF 529.982.247-25", "identity_number", "529.982.247-25"), ("factura 529.982.247-26", "identity_number", None), ("escribir a jperez (arroba) correo.example", "email", "jperez (arroba) correo.example"),
+    ],
+)
+def test_forms_beyond_the_lists(text, kind, want):
+    assert [p.mention(text, x) for x in p.find(text) if x.kind == kind] == ([want] if want else [])
+
+
+def test_confirmed_rows(spark):
+    rows = [("t", 1, 0, "", "tarjeta 4111 1111 1111 1111 y 4111 1111 1111 1112, DNI 12345678Z"), ("t", 2, 0, "", None), ("t", 3, 0, "", ""), ("t", 4, 0, "", "IBAN GB82 WEST 1234 5698 7654 32")]
+    df = spark.createDataFrame(rows, "field string, rec_id long, item_no int, hint string, text string")
+    assert {(r["rec_id"], r["pii_type"], r["found"], r["confirmed_by"]) for r in p.confirmed(df).collect()} == {
+        (1, "card_number", "4111 1111 1111 1111", "luhn"), (1, "identity_number", "12345678Z", "mod23"), (4, "account_number", "GB82 WEST 1234 5698 7654 32", "mod97"),
+    }
+
+
 def test_found_rows(spark):
     df = spark.createDataFrame([("text", 1, 0, "", TEXT), ("text", 1, 0, "", TEXT), ("raw", 2, 1, "identity_number", "46O2448260"), ("raw", 3, 1, "", None), ("raw", 4, 1, "", "")], "field string, rec_id long, item_no int, hint string, text string")
     rows = p.found(df).collect()
