@@ -7,8 +7,10 @@ last third, and kept while they are right more often than not.  The rules and
 their learned thresholds are exported as one SQL CASE expression, which runs
 inside the scan; no Python touches the corpus.
 
-The labelled texts are written by ``labelled_texts`` from a small grammar of
-the four kinds (no labels come with the tables).
+No labels come with the tables, so the labelled documents are made of real
+ones: the correct texts of the case results, known to be prose, in the layouts
+that pages have; lists and tables of words and phrases cut from them; and junk
+by character statistics.  No wording is written down here.
 """
 
 from __future__ import annotations
@@ -75,28 +77,42 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
 # --- labelled texts -------------------------------------------------------------
 
-_SUBJECT = "la comisión|el auxiliar|la jefatura|el consejo|la vecina|o diretor|a secretária|the office|the clerk|una delegada|el inspector|la maestra".split("|")
-_VERB = "revisa|entregó|archiva|solicitó|menciona|explica|confere|recebeu|checks|returned|describe|compara".split("|")
-_OBJECT = "el informe|la nota|una carpeta|los anexos|el puente|a cópia|o relatório|the letter|the annex|la receta|el tractor|las semillas|el servidor|la sentencia".split("|")
-_TAIL = "sin mayor demora|en dos ejemplares|con la documentación completa|hasta nueva instrucción|dentro del plazo previsto|sem demora|em boa ordem|until further notice|for the record|según lo acordado|por la tarde|a solicitud de parte".split("|")
-_START = "En materia de archivo,|Según lo dicho,|Hace 14 meses|Cabe señalar que|No se encontró nada, pues|Conforme combinado,|As agreed,|Tras varias reuniones,|Por la mañana,|Se contaron 38 casos y".split("|")
-_NOUN = "informe|carpeta|grúa|semilla|pago a cuenta|historia clínica|red local|plazo procesal|torneo|galaxia|memoria caché|alta médica|vagón|viga|abono|tutor|cosecha|libro de compras|órbita|peaje|base de datos|pista de aterrizaje|relatório|cópia|annex|copper wire|letter|fertilizante|hormigón|raqueta".split("|")
-_QUALIFIER = "|| reciente| general| vigente| pendiente| mensual| (12)| (7)| final| anual| x 3| nº 4".split("|")
-_HEAD = "Fecha Total Item Cant Saldo Cod Detalle P.U. Importe Debe Haber Unidad".split()
-_HEADING = "Pendientes|Materiales:|LISTA DE ANEXOS|Relación de entregas:|Items|Requisitos:|Se adjunta:".split("|")
-
-
-def _sentence(r: random.Random) -> str:
-    words = " ".join(filter(None, [r.choice(_START) if r.random() < 0.6 else "", r.choice(_SUBJECT), r.choice(_VERB), r.choice(_OBJECT), ("y " + r.choice(_OBJECT)) if r.random() < 0.4 else "", ("de " + r.choice(_NOUN)) if r.random() < 0.3 else "", r.choice(_TAIL)]))
-    return words[0].upper() + words[1:] + r.choice([".", ".", ".", ".", "?", ", sin que nadie objetara el asunto."])
-
-
-def _prose(r: random.Random) -> str:
-    paragraphs = []
-    for _ in range(r.choice([1, 1, 2, 3, 5])):
-        text = " ".join(_sentence(r) for _ in range(r.choice([1, 2, 3, 4, 6])))
+#: Texts known to be prose that are collected, at most, and characters of one among them.
+PROSE, PROSE_CHARS = 1500, 20_000
+_common_words = frozenset(COMMON)
+_SIGNS = "|/;:.,_~^*#+-=]}[{)(§°»«'"
+_CONSONANTS = "bcdfghjklmnpqrstvwxyz"
+
+
+class Maker:
+    """Writes labelled texts from texts known to be prose."""
+
+    def __init__(self, prose: list[str], seed: int):
+        self.r = random.Random(seed)
+        self.prose = [t for t in prose if t.strip()] or [" ".join(COMMON)]
+        self.bags = [b for t in self.prose if (b := [w.strip(".,;:?¿()") for w in t.split()])]
+
+    def phrase(self, longest: int = 3) -> str:
+        """One to ``longest`` words that stand together and begin with a telling one."""
+        for _ in range(8):
+            bag = self.r.choice(self.bags)
+            at = self.r.randrange(len(bag))
+            if len(bag[at]) > 3 and bag[at].isalpha() and bag[at].lower() not in _common_words:
+                words = bag[at : at + self.r.randint(1, longest)]
+                while words[-1].lower() in _common_words and len(words) > 1:
+                    words.pop()
+                return " ".join(words).lower()
+        return self.bags[0][0].lower()
+
+    def text_prose(self) -> str:
+        r = self.r
+        text = r.choice(self.prose)
+        sentences = [x.strip() for x in text.replace("\n", " ").split(". ") if x.strip()]
+        if r.random() < 0.5 and len(sentences) > 1:
+            at = r.randrange(len(sentences))
+            text = ". ".join(sentences[at : at + r.randint(1, 6)]).rstrip(".") + "."
         style = r.random()
-        if style < 0.45:
+        if style < 0.4:
             width, lines, line = r.randint(38, 90), [], ""
             for w in text.split():
                 if len(line) + len(w) > width:
@@ -105,69 +121,72 @@ def _prose(r: random.Random) -> str:
                 else:
                     line = f"{line} {w}".strip()
             text = "\n".join([*lines, line])
-        elif style < 0.6:
-            text = text.replace(". ", ".\n")
-        elif style < 0.7:
+        elif style < 0.55:
+            text = " ".join(text.split()).replace(". ", ".\n")
+        elif style < 0.65:
             text = text.replace(".", "")
-        paragraphs.append(text)
-    text = "\n\n".join(paragraphs)
-    if r.random() < 0.2:
-        text = f"{r.randint(1, 9)}. Antecedentes\n{text}"
-    if r.random() < 0.15:
-        text += f"\nMonto: Bs {r.randint(1, 99)}.{r.randint(100, 999)},{r.randint(10, 99)}\nFecha: {r.randint(10, 28)}/{r.randint(10, 12)}/2026"
-    return text.upper() if r.random() < 0.1 else text
-
-
-def _list(r: random.Random) -> str:
-    mark, end = r.choice(["- ", "* ", "• ", "{n}) ", "{n}. ", "{a}. ", "{a}) ", "— ", ""]), r.choice(["", "", ",", ";", "."])
-    bare = not mark
-    rows = []
-    for i in range(r.randint(3, 18)):
-        item = r.choice(_NOUN) + r.choice(_QUALIFIER) if r.random() < 0.9 else r.choice(_SUBJECT) + " " + r.choice(_VERB) + " " + r.choice(_OBJECT)
-        item = item[0].upper() + item[1:] if bare else item
-        rows.append(mark.format(n=i + 1, a="abcdefghijklmnopqrstuvwxyz"[i]) + item + end)
-    head = [r.choice(_HEADING)] if r.random() < 0.35 else []
-    return "\n".join(head + rows)
-
-
-def _cell(r: random.Random) -> str:
-    return r.choice([str(r.randint(0, 400)), "0", "-", f"{r.randint(0, 99)}%", f"{r.randint(10, 28)}/{r.randint(10, 12)}/26", f"{r.randint(1, 99)}.{r.randint(100, 999)},{r.randint(10, 99)}"])
-
-
-def _table(r: random.Random) -> str:
-    sep, width = r.choice(["    ", "  ", "\t", " | ", ";", "   "]), r.randint(2, 6)
-    rows = [sep.join([str(i + 1), r.choice([*_NOUN, "-"])] + [_cell(r) for _ in range(width - 1)]) for i in range(r.randint(3, 14))]
-    return "\n".join(([sep.join(r.sample(_HEAD, width))] if r.random() < 0.6 else []) + rows)
-
-
-def _junk(r: random.Random) -> str:
-    kind = r.randrange(5)
-    if kind == 0:
-        return "\n".join(" ".join("".join(r.choice("bcdfghjklmnpqrstvwxyz") for _ in range(r.randint(1, 9))) for _ in range(r.randint(3, 9))) for _ in range(r.randint(2, 9)))
-    if kind == 1:
-        return "\n".join(r.choice("=-_.*x~#") * r.randint(8, 60) for _ in range(r.randint(2, 10)))
-    if kind == 2:
-        swap = dict(zip("aeiour", r.sample("¤¬§¶±¦©®¢£", 6)))
-        return "\n".join("".join(swap.get(c, c) for c in _sentence(r)).replace("í", "Ã\xad").replace("ó", "Ã³") for _ in range(r.randint(2, 7)))
-    if kind == 3:
-        return "\n".join(" ".join("".join(r.choice("|/;:.,_~^*#+-=]}[{)(§°»«'xXvYN10oej") for _ in range(r.randint(1, 4))) for _ in range(r.randint(3, 12))) for _ in range(r.randint(1, 8)))
-    return "\n".join(" ".join(r.choice(["e", "y", "j", "XA", "A", "YN", "/", "N", "ON", "l", "i.", "1", "o,", "—", "ll", ";", "]", "|"]) for _ in range(r.randint(4, 12))) for _ in range(r.randint(1, 7)))
-
-
-_WRITERS = {"prose": _prose, "list": _list, "table": _table, "junk": _junk}
-
-
-def labelled_texts(n: int = 6000, seed: int = 5) -> list[tuple[str, str]]:
+        if r.random() < 0.2:
+            text = f"{r.randint(1, 9)}. {self.phrase().capitalize()}\n{text}"
+        if r.random() < 0.15:
+            text += f"\n{self.phrase(1).capitalize()}: {r.randint(1, 99)}.{r.randint(100, 999)},{r.randint(10, 99)}\n{self.phrase(1).capitalize()}: {r.randint(10, 28)}/{r.randint(10, 12)}/2026"
+        return text.upper() if r.random() < 0.1 else text
+
+    def text_list(self) -> str:
+        r = self.r
+        mark, end = r.choice(["- ", "* ", "• ", "{n}) ", "{n}. ", "{a}. ", "{a}) ", "— ", ""]), r.choice(["", "", ",", ";", "."])
+        rows = []
+        for i in range(r.randint(3, 18)):
+            item = self.phrase(3 if r.random() < 0.9 else 6) + r.choice(["", "", "", f" ({r.randint(1, 40)})", f" x {r.randint(1, 9)}", f" nº {r.randint(1, 9)}"])
+            rows.append(mark.format(n=i + 1, a="abcdefghijklmnopqrstuvwxyz"[i]) + (item if mark else item.capitalize()) + end)
+        head = self.phrase()
+        return "\n".join(([r.choice([head.capitalize(), head.upper(), head.capitalize() + ":"])] if r.random() < 0.35 else []) + rows)
+
+    def cell(self) -> str:
+        r = self.r
+        return r.choice([str(r.randint(0, 400)), "0", "-", f"{r.randint(0, 99)}%", f"{r.randint(10, 28)}/{r.randint(10, 12)}/26", f"{r.randint(1, 99)}.{r.randint(100, 999)},{r.randint(10, 99)}"])
+
+    def text_table(self) -> str:
+        r = self.r
+        sep, width = r.choice(["    ", "  ", "\t", " | ", ";", "   "]), r.randint(2, 6)
+        rows = [sep.join([str(i + 1), self.phrase() if r.random() < 0.9 else "-"] + [self.cell() for _ in range(width - 1)]) for i in range(r.randint(3, 14))]
+        head = [sep.join(self.phrase(1)[: r.randint(3, 9)].capitalize() for _ in range(width))] if r.random() < 0.6 else []
+        return "\n".join(head + rows)
+
+    def text_junk(self) -> str:
+        r = self.r
+        lines = lambda a, b, one: "\n".join(one() for _ in range(r.randint(a, b)))
+        tokens = lambda a, b, one: " ".join(one() for _ in range(r.randint(a, b)))
+        some = lambda letters, a, b: "".join(r.choice(letters) for _ in range(r.randint(a, b)))
+        kind = r.randrange(5)
+        if kind == 0:
+            return lines(2, 9, lambda: tokens(3, 9, lambda: some(_CONSONANTS, 1, 9)))
+        if kind == 1:
+            return lines(2, 10, lambda: r.choice("=-_.*x~#") * r.randint(8, 60))
+        if kind == 2:  # vowels lost to signs, letters to wrong encodings
+            swap = str.maketrans(dict(zip("aeiour", r.sample("¤¬§¶±¦©®¢£", 6))) | {"í": "Ã\xad", "ó": "Ã³"})
+            sentences = [x for x in r.choice(self.prose).replace("\n", " ").split(". ") if x]
+            return "\n".join(x.translate(swap) + "." for x in sentences[:7])
+        if kind == 3:
+            return lines(1, 8, lambda: tokens(3, 12, lambda: some(_SIGNS + "xXvYN10oej", 1, 4)))
+        letters = "".join(r.sample("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 8)) + r.choice("eioly") * 3
+        return lines(1, 9, lambda: tokens(4, 14, lambda: some(letters, 1, 2) if r.random() < 0.7 else r.choice(_SIGNS)))
+
+
+KINDS = ("prose", "list", "table", "junk")
+
+
+def labelled_texts(prose: list[str], n: int = 6000, seed: int = 5) -> list[tuple[str, str]]:
     """``n`` texts with their kind; a fifth join two kinds of which the first,
     in lines and words the larger by far, is the label."""
-    r = random.Random(seed)
-    out = []
+    maker = Maker(prose, seed)
+    r, out = maker.r, []
+    write = {k: getattr(maker, f"text_{k}") for k in KINDS}
     for i in range(n):
         kind = ("prose", "prose", "list", "table", "junk")[i % 5]
-        text = _WRITERS[kind](r)
+        text = write[kind]()
         if r.random() < 0.2:
-            other = r.choice([k for k in _WRITERS if k != kind])
-            extra = "\n".join(_WRITERS[other](r).split("\n")[: max(1, text.count("\n") // 4)])[: max(12, len(text) // 5)]
+            other = r.choice([k for k in KINDS if k != kind])
+            extra = "\n".join(write[other]().split("\n")[: max(1, text.count("\n") // 4)])[: max(12, len(text) // 5)]
             text = f"{text}\n\n{extra}" if r.random() < 0.5 else f"{extra}\n\n{text}"
         out.append((kind, text))
     return out
@@ -176,6 +195,10 @@ def labelled_texts(n: int = 6000, seed: int = 5) -> list[tuple[str, str]]:
 # --- rule induction ----------------------------------------------------------------
 
 
+#: Rules of a kind that may fail on their pruning texts before the kind is done.
+PATIENCE = 8
+
+
 @dataclass
 class Rule:
     kind: str
@@ -189,6 +212,14 @@ class Rule:
             hit &= column >= t if sign == ">=" else column <= t
         return hit
 
+    def simplified(self) -> Rule:
+        """The same rule with one condition per statistic and sign."""
+        tight: dict[tuple[str, str], float] = {}
+        for name, sign, t in self.conditions:
+            old = tight.get((name, sign), t)
+            tight[name, sign] = max(old, t) if sign == ">=" else min(old, t)
+        return Rule(self.kind, [(name, sign, t) for (name, sign), t in tight.items()])
+
     def sql(self) -> str:
         return " AND ".join(f"{n} {s} {t:.6g}D" for n, s, t in self.conditions)
 
@@ -212,7 +243,13 @@ def _grow(x, y, names, kind) -> Rule:
                     best = (float(gain[i]), (name, sign, float(cuts[i])))
         if best[1] is None:
             break
-        rule.conditions.append(best[1])
+        name, sign, t = best[1]
+        # half-way to the nearest text of another kind, so that the rule holds beyond the sample
+        other = x[hit & ~y, names.index(name)]
+        beyond = other[other < t] if sign == ">=" else other[other > t]
+        if len(beyond):
+            t = round(float(t + (beyond.max() if sign == ">=" else beyond.min())) / 2, 4)
+        rule.conditions.append((name, sign, t))
         hit = rule.covers(x, names)
     return rule
 
@@ -228,7 +265,8 @@ def induce(x: np.ndarray, kinds: np.ndarray, names: list[str], order=("junk", "t
     rng, rules = np.random.default_rng(seed), []
     left = np.ones(len(x), dtype=bool)
     for kind in order:
-        while (left & (kinds == kind)).sum() >= 5:
+        failed = 0  # a rule that fails on its pruning texts is grown again on another split
+        while (left & (kinds == kind)).sum() >= 3 and failed < PATIENCE:
             at = rng.permutation(np.flatnonzero(left))
             grow, prune = at[: 2 * len(at) // 3], at[2 * len(at) // 3 :]
             rule = _grow(x[grow], kinds[grow] == kind, names, kind)
@@ -237,10 +275,12 @@ def induce(x: np.ndarray, kinds: np.ndarray, names: list[str], order=("junk", "t
                 if _worth(shorter, x[prune], kinds[prune] == kind, names) < _worth(rule, x[prune], kinds[prune] == kind, names):
                     break
                 rule = shorter
+            rule = rule.simplified()
             hit = rule.covers(x, names) & left
             right = (kinds[prune] == kind)[rule.covers(x[prune], names)]
             if not rule.conditions or not hit.any() or len(right) == 0 or right.mean() <= 0.5:
-                break
+                failed += 1
+                continue
             rules.append(rule)
             left &= ~hit
     return rules
@@ -253,17 +293,25 @@ def case_sql(rules: list[Rule], default: str = "prose") -> str:
 
 #: Statistics that rules may use.
 RULE_STATS = [s for s in STATS if s not in ("n_lines", "n_words")]
-_LEARNED: dict[int, str] = {}
+_LEARNED: dict[tuple[str, str, int], str] = {}
+
+
+def known_prose(spark: SparkSession, sf_dir: str, most: int = PROSE) -> list[str]:
+    """Correct texts of case results, at most ``most``, chosen by a hash."""
+    case = table(spark, sf_dir, "case_results").where("expected rlike '\\\\S'").where(F.length("expected") <= PROSE_CHARS)
+    return [r[0] for r in case.orderBy(F.xxhash64("result_id"), "result_id").select("expected").limit(most).collect()]
 
 
-def learned_case(spark: SparkSession, n: int = 6000) -> str:
-    """The CASE expression learned from ``n`` labelled texts (a bounded sample)."""
-    if n not in _LEARNED:
-        rows = labelled_texts(n)
+def learned_case(spark: SparkSession, sf_dir: str, n: int = 6000) -> str:
+    """The CASE expression learned from ``n`` labelled texts (a bounded sample),
+    once per application and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir, n)
+    if at not in _LEARNED:
+        rows = labelled_texts(known_prose(spark, sf_dir), n)
         stats = with_statistics(spark.createDataFrame(rows, "kind string, text string").repartition(4)).select("kind", *RULE_STATS).toPandas()
         stats = stats.sort_values(["kind", *RULE_STATS], kind="stable")  # the same order whatever the partitions
-        _LEARNED[n] = case_sql(induce(stats[RULE_STATS].to_numpy(float), stats["kind"].to_numpy(), RULE_STATS))
-    return _LEARNED[n]
+        _LEARNED[at] = case_sql(induce(stats[RULE_STATS].to_numpy(float), stats["kind"].to_numpy(), RULE_STATS))
+    return _LEARNED[at]
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,15 +321,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(runs)
 
 
-def classified(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` with its statistics and ``text_kind``; null and blank texts have none."""
+def classified(df: DataFrame, case: str) -> DataFrame:
+    """``df`` with its statistics and ``text_kind`` by the rules ``case``; null
+    and blank texts have none."""
     with_stats = with_statistics(df.where("text rlike '\\\\S'"))
-    return with_stats.withColumn("text_kind", F.expr(learned_case(spark)))
+    return with_stats.withColumn("text_kind", F.expr(case))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that aren't prose for the most part, with their kind."""
-    return classified(spark, texts(spark, sf_dir)).where("text_kind != 'prose'").select("table_name", "rec_id", "text_kind")
+    return classified(texts(spark, sf_dir), learned_case(spark, sf_dir)).where("text_kind != 'prose'").select("table_name", "rec_id", "text_kind")
 
 
 def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
