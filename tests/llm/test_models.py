@@ -165,6 +165,8 @@ def documents(rng, n):
             words = rng.sample(general, 8)
             if topics and i % 3 == 0:
                 words[3:3] = rng.sample(TOPICS[topics[i // 3 % len(topics)]], 2)
+            elif i == 7 and d % 3 == 0:  # a passing mention
+                words[3:3] = rng.sample(rng.choice([x for t, x in TOPICS.items() if t not in topics] or [["vez"]]), 1)
             text.append(" ".join(words).capitalize() + ".")
         out.append((d, " ".join(text), "s"))
         if topics:
@@ -174,17 +176,39 @@ def documents(rng, n):
 
 def test_subjects(spark):
     rng = random.Random(9)
-    docs, labels = documents(rng, 300)
-    model = s.fit([x for x in docs[:200] if x[0] in labels], labels, sorted(TOPICS))
-    df = spark.createDataFrame([*docs[200:], (900, None, "s"), (901, "", None), (902, "¬¬ ~~", "s")], "doc_id long, text string, source string").selectExpr("*", "'clash' as subject")
+    docs, labels = documents(rng, 900)
+    model = s.fit([(d, t) for d, t, _ in docs[:200] if d in labels], labels, sorted(TOPICS))
+    s.learn(model, model.votes([t for _, t, _ in docs], [x for _, _, x in docs]))
+    df = spark.createDataFrame([*docs[200:], (990, None, "s"), (991, "", None), (992, "¬¬ ~~", "s")], "doc_id long, text string, source string").selectExpr("*", "'clash' as subject")
     got = {(x["doc_id"], x["subject"]) for x in s.assign(df, model).collect()}
     want = {(d, t) for d, names in labels.items() if d >= 200 for t in names}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
     assert s.assign(df.where("false"), model).count() == 0
     passing, _ = documents(rng, 1)
-    assert not (model.posterior(passing[0][1] + " La sentencia.", "s") > 0.5).any()
+    assert not (model.posterior([passing[0][1] + " La sentencia."], ["s"]) > 0.5).any()
+    assert model.posterior([], []).shape == (0, 2)
+    # the accuracies were learned without labels; labels only confirm them
+    v = model.votes([t for _, t, _ in docs[200:]], ["s"] * 700)
+    truth = [[n in labels.get(d, ()) for n in sorted(TOPICS)] for d, _, _ in docs[200:]]
+    right = [(a == 2) == y for row, own in zip(v.section, truth) for a, y in zip(row, own) if a]
+    assert abs(model.accuracies()["section"] - sum(right) / len(right)) < 0.1
+
+
+def test_fitted_from_frames(spark):
+    rng = random.Random(12)
+    docs, labels = documents(rng, 500)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    names = spark.createDataFrame([(t,) for t in TOPICS] + [(None,)], "subject string")
+    rows = spark.createDataFrame([(d, t) for d in labels for t in labels[d] if d < 150], "doc_id long, subject string")
+    model = s.fitted(spark, df, rows, names)
+    got = {(x["doc_id"], x["subject"]) for x in s.assign(df, model).collect()}
+    want = {(d, t) for d, own in labels.items() for t in own}
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+    empty = s.fitted(spark, df.where("false"), rows.where("false"), names)
+    assert s.assign(df, empty).count() == 0
 
 
 def test_fit_without_labels():
     model = s.fit([], {}, ["law"])
-    assert not (model.posterior("El juzgado dictó sentencia.", None) > 0.5).any()
+    s.learn(model, model.votes(["El juzgado dictó sentencia."], [None]))
+    assert not (model.posterior(["El juzgado dictó sentencia."], [None]) > 0.5).any()
