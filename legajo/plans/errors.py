@@ -2,56 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legajo.functions.text import ACCENTED, PLAIN, SPACE, ascii_fold, char_error_rate, nfc, squeeze, word_distance
+from legajo.functions.fields import CONFUSED, DIGITS
+from legajo.functions.text import SPACE, nfc, squeeze, text_distance, word_distance
 from legajo.operators.errors import micro_rates, ranked, ratio
 from legajo.plans.registry import query
 from legajo.tables import spread, table
 
 
-
 def _norm_sql(column: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(translate({column}, '{ACCENTED}', '{PLAIN}'), '[^\\x00-\\x7f]', '', 'g'), '[{SPACE}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(nfc_normalize({column}), '[{SPACE}]+', ' ', 'g'))"
+
 
+def _norm(column: str) -> Column:
+    """Composed form with white space squeezed; accents are errors where they differ."""
+    return squeeze(nfc(F.col(column)))
 
-def _norm(column: str):
-    return squeeze(ascii_fold(F.col(column)))
+
+def with_distance_sql(source: str, a: str, b: str, name: str) -> str:
+    """``source`` with the edit distance of two columns in code points: DuckDB's
+    counts bytes, so each code point of a pair becomes one ASCII character."""
+    code = "coalesce(array_to_string(list_transform(string_split({x}, ''), lambda c: chr(CAST(list_position(u_{n}, c) AS INTEGER))), ''), '')"
+    return f"SELECT *, CAST(levenshtein({code.format(x=a, n=name)}, {code.format(x=b, n=name)}) AS INTEGER) AS {name} FROM (SELECT *, list_distinct(string_split({a} || {b}, '')) AS u_{name} FROM ({source}))"
 
 
 _CASES = f"SELECT result_id, category, {_norm_sql('expected')} AS r, {_norm_sql('obtained')} AS h FROM case_results WHERE expected IS NOT NULL AND obtained IS NOT NULL"
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded reference and hypothesis of every case that has both.  The input
-    is spread over the cores before the costly distance."""
+    """Reference and hypothesis of every case that has both, normalised.  The
+    input is spread over the cores before the costly distance."""
     case = table(spark, sf_dir, "case_results").where("expected is not null and obtained is not null")
-    return spread(case.select("result_id", "category", _norm("expected").alias("r"), _norm("obtained").alias("h")))
+    return spread(case.select("result_id", "category", "expected", "obtained")).select("result_id", "category", _norm("expected").alias("r"), _norm("obtained").alias("h"))
 
 
-@query(f"SELECT result_id, CAST(levenshtein(r, h) AS INTEGER) AS character_distance, round(CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0 ELSE 1 END ELSE levenshtein(r, h) / length(r) END, 6) AS cer FROM ({_CASES})")
+@query(f"SELECT result_id, d AS character_distance, round(CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0 ELSE 1 END ELSE d / length(r) END, 6) AS cer FROM ({with_distance_sql(_CASES, 'r', 'h', 'd')})")
 def cer_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of whole texts."""
-    return cases(spark, sf_dir).select("result_id", F.levenshtein("r", "h").alias("character_distance"), F.round(char_error_rate(F.col("r"), F.col("h")), 6).alias("cer"))
+    own = cases(spark, sf_dir).withColumn("d", text_distance(F.col("r"), F.col("h")).cast("int"))
+    rate = F.when(F.length("r") == 0, F.when(F.length("h") == 0, 0.0).otherwise(1.0)).otherwise(F.try_divide("d", F.length("r")))
+    return own.select("result_id", F.col("d").alias("character_distance"), F.round(rate, 6).alias("cer"))
 
 
 _LINE_PAIRS = f"SELECT recognition_id, category, line_no, {_norm_sql('l.text')} AS r, {_norm_sql('l.prediction')} AS h FROM (SELECT recognition_id, category, l, l.line_number AS line_no FROM (SELECT recognition_id, category, unnest(lines) AS l FROM recognitions)) WHERE l.text IS NOT NULL AND l.prediction IS NOT NULL"
 _WORDS = "list_filter(string_split({x}, ' '), lambda w: w <> '')"
 _CODES = "array_to_string(list_transform({a}, lambda w: chr(CAST(32 + list_position(u, w) AS INTEGER))), '')"
 _LINE_RATES = f"""
-SELECT recognition_id, category, line_no, CAST(levenshtein(r, h) AS INTEGER) AS character_distance, CAST(length(r) AS INTEGER) AS reference_characters,
+SELECT recognition_id, category, line_no, character_distance, CAST(length(r) AS INTEGER) AS reference_characters,
   CAST(levenshtein({_CODES.format(a='rw')}, {_CODES.format(a='hw')}) AS INTEGER) AS word_distance, CAST(len(rw) AS INTEGER) AS reference_words
-FROM (SELECT *, list_distinct(rw || hw) AS u FROM (SELECT *, {_WORDS.format(x='r')} AS rw, {_WORDS.format(x='h')} AS hw FROM ({_LINE_PAIRS})))
+FROM (SELECT *, list_distinct(rw || hw) AS u FROM (SELECT *, {_WORDS.format(x='r')} AS rw, {_WORDS.format(x='h')} AS hw FROM ({with_distance_sql(_LINE_PAIRS, 'r', 'h', 'character_distance')})))
 """
 
 
 def line_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of each recognised line to its text."""
     lines = spread(table(spark, sf_dir, "recognitions").select("recognition_id", "category", "lines")).select("recognition_id", "category", F.explode("lines").alias("l")).where("l.text is not null and l.prediction is not null")
-    pairs = lines.select("recognition_id", "category", F.col("l.line_number").alias("line_no"), squeeze(ascii_fold(F.col("l.text"))).alias("r"), squeeze(ascii_fold(F.col("l.prediction"))).alias("h"))
+    pairs = lines.select("recognition_id", "category", F.col("l.line_number").alias("line_no"), _norm("l.text").alias("r"), _norm("l.prediction").alias("h"))
     words = F.size(F.filter(F.split("r", " "), lambda w: w != ""))
-    return pairs.select("recognition_id", "category", "line_no", F.levenshtein("r", "h").alias("character_distance"), F.length("r").alias("reference_characters"), word_distance(F.col("r"), F.col("h")).alias("word_distance"), words.alias("reference_words"))
+    return pairs.select("recognition_id", "category", "line_no", F.levenshtein(F.col("r"), F.col("h")).alias("character_distance"), F.length("r").alias("reference_characters"), word_distance(F.col("r"), F.col("h")).alias("word_distance"), words.alias("reference_words"))
 
 
 @query(_LINE_RATES)
@@ -224,20 +234,26 @@ def zip_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.where("expected_lines != obtained_lines")
 
 
-@query("""
-WITH l AS (SELECT recognition_id, l.line_number AS n, coalesce(l.text, '') AS t, coalesce(l.prediction, '') AS p FROM (SELECT recognition_id, unnest(lines) AS l FROM recognitions WHERE strategy = 'runtime')),
-f AS (SELECT *, regexp_replace(translate(t, 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '[^\\x00-\\x7f]', '', 'g') AS ft, regexp_replace(translate(p, 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '[^\\x00-\\x7f]', '', 'g') AS fp FROM l),
-d AS (SELECT *, levenshtein(ft, fp) AS own FROM f), s AS (SELECT *, CAST(sum(own) OVER (PARTITION BY recognition_id) AS BIGINT) AS whole FROM d)
-SELECT recognition_id, n AS line_no, whole AS before, CAST(whole - own AS BIGINT) AS after, CASE WHEN own > 0 THEN 'IMPROVES' ELSE 'UNCHANGED' END AS outcome FROM s
+_READ = f"SELECT recognition_id, l.line_number AS n, {_norm_sql('l.text')} AS t, {_norm_sql('l.prediction')} AS p, translate({_norm_sql('l.prediction')}, '{CONFUSED}', '{DIGITS}') AS o FROM (SELECT recognition_id, unnest(lines) AS l FROM recognitions WHERE strategy = 'runtime') WHERE l.text IS NOT NULL AND l.prediction IS NOT NULL"
+_READ = with_distance_sql(with_distance_sql(_READ, "t", "p", "own"), "t", "o", "other")
+
+
+@query(f"""
+SELECT recognition_id, n AS line_no, CAST(sum(own) OVER w AS BIGINT) AS before, CAST(sum(own) OVER w - own + other AS BIGINT) AS after, CAST(sum(least(own, other)) OVER w AS BIGINT) AS all_improving,
+  CASE WHEN other < own THEN 'IMPROVES' WHEN other > own THEN 'WORSENS' ELSE 'UNCHANGED' END AS outcome FROM ({_READ}) WINDOW w AS (PARTITION BY recognition_id)
 """)
 def line_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What replacing one line by the other engine's does to the document's
-    summed line distance."""
-    lines = table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", F.explode("lines").alias("l"))
-    fold = lambda c: F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN"), r"[^\x00-\x7f]", "")
-    own = lines.select("recognition_id", F.col("l.line_number").alias("line_no"), F.levenshtein(fold(F.col("l.text")), fold(F.col("l.prediction"))).cast("long").alias("own"))
-    whole = F.sum("own").over(Window.partitionBy("recognition_id"))
-    return own.select("recognition_id", "line_no", whole.alias("before"), (whole - F.col("own")).alias("after"), F.when(F.col("own") > 0, "IMPROVES").otherwise("UNCHANGED").alias("outcome"))
+    """What replacing one line by another engine's reading does to the document's
+    summed line distance, and what replacing all improving lines would.  The
+    other engine is one that reads digits where letters look like them."""
+    lines = spread(table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", "lines")).select("recognition_id", F.explode("lines").alias("l")).where("l.text is not null and l.prediction is not null")
+    read = lines.select("recognition_id", F.col("l.line_number").alias("line_no"), _norm("l.text").alias("t"), _norm("l.prediction").alias("p"))
+    t, p = F.col("t"), F.col("p")
+    own = read.select("recognition_id", "line_no", F.levenshtein(t, p).cast("long").alias("own"), F.levenshtein(t, F.translate(p, CONFUSED, DIGITS)).cast("long").alias("other"))
+    document = Window.partitionBy("recognition_id")
+    whole = F.sum("own").over(document)
+    outcome = F.when(F.col("other") < F.col("own"), "IMPROVES").when(F.col("other") > F.col("own"), "WORSENS").otherwise("UNCHANGED")
+    return own.select("recognition_id", "line_no", whole.alias("before"), (whole - F.col("own") + F.col("other")).alias("after"), F.sum(F.least("own", "other")).over(document).alias("all_improving"), outcome.alias("outcome"))
 
 
 @query(f"SELECT result_id, trim(regexp_replace(nfc_normalize(expected), '[{SPACE}]+', ' ', 'g')) AS text FROM case_results WHERE expected IS NOT NULL")

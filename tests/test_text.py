@@ -25,6 +25,24 @@ def test_rates(spark):
     assert out[0]["c"] == 1 / 6 and out[1]["w"] == 1 and out[2]["c"] == 0 and out[3]["c"] == 1 and out[4]["c"] == 2 / 5 and out[5]["c"] is None and out[6]["c"] == 0
 
 
+def test_bit_vectors_give_the_edit_distance(spark):
+    rng = random.Random(3)
+    pairs = [("".join(rng.choice("abñé𝒳") for _ in range(rng.randint(0, 90))), "".join(rng.choice("abñé𝒳") for _ in range(rng.randint(0, 90)))) for _ in range(120)] + [("", ""), ("", "xyz"), ("abc", "abc"), ("xabcx", "xabx")]
+    assert all(t.bit_distance(a, b) == brute(a, b) for a, b in pairs)
+    long = "palabra " * 12_000
+    df = spark.createDataFrame([*pairs, (None, "x"), ("x", None), (long, long.replace("bra p", "bro p", 7))], "a string, b string")
+    out = [r["d"] for r in df.select(t.text_distance(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert out == [brute(a, b) for a, b in pairs] + [None, None, 7]
+
+
+def test_many_distinct_words(spark):
+    a = " ".join(f"w{i}" for i in range(40_000))
+    df = spark.createDataFrame([(a + " fin", a + " fim")], "a string, b string")
+    words = F.array_distinct(F.concat(t.tokens(F.col("a")), t.tokens(F.col("b"))))
+    last = df.select(t.words_as_chars(F.array(F.lit("w39999"), F.lit("w55")), words).alias("c")).first()["c"]
+    assert len(last) == 2 and len(set(last)) == 2 and ord(last[0]) > 0x10000
+
+
 def test_micro_rates(spark):
     rows = [(1, 1, 10, 5, 100.0), (2, 1, 20, 10, 300.0), (0, 0, 0, 0, float("nan")), (None, None, None, None, -5.0)]
     df = spark.createDataFrame(rows, "character_distance long, word_distance long, reference_characters long, reference_words long, d double")
