@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legajo.plans.quality import _CHARS, characters
+from legajo.plans.quality import ALIGNED, aligned
 from legajo.plans.registry import query
 from legajo.tables import table
 
@@ -13,6 +13,15 @@ from legajo.tables import table
 EDGES = (0.0, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 1.0000001)
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99)
 
+#: Characters that were recognised, with whether they are right.
+_CHARS = f"SELECT *, kind = 'match' AS match FROM ({ALIGNED}) WHERE prediction <> ''"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned characters that were recognised (deletions have no confidence)."""
+    return aligned(spark, sf_dir).where("prediction != '' and confidence is not null").withColumn("match", F.col("kind") == "match")
+
+
 _BIN_VALUES = ", ".join(f"({i + 1}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:])))
 
 
@@ -27,7 +36,7 @@ def confidence_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.lit(None).cast("int")
     for i in reversed(range(len(EDGES) - 1)):
         number = F.when((c >= EDGES[i]) & (c < EDGES[i + 1]), i + 1).otherwise(number)
-    have = characters(spark, sf_dir).groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.count_if(~F.col("match")).alias("errors"))
+    have = scored(spark, sf_dir).groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.count_if(~F.col("match")).alias("errors"))
     return spark.range(1, len(EDGES)).select(F.col("id").cast("int").alias("bin")).join(have, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("errors", F.lit(0)).alias("errors"), F.round(F.try_divide("errors", "n"), 6).alias("error_rate"))
 
 
@@ -44,7 +53,7 @@ def threshold_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each threshold would flag.  One pass: conditional counts per
     threshold side by side, then unpivoted; rows aren't multiplied."""
     c, error = F.col("confidence"), ~F.col("match")
-    counts = characters(spark, sf_dir).agg(
+    counts = scored(spark, sf_dir).agg(
         F.count("*").alias("n"), F.count_if(error).alias("e"),
         *[F.count_if(c < t).alias(f"f{i}") for i, t in enumerate(THRESHOLDS)], *[F.count_if((c < t) & error).alias(f"t{i}") for i, t in enumerate(THRESHOLDS)],
     )
@@ -59,13 +68,19 @@ def threshold_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT category, round(avg(pow(confidence - CASE WHEN match THEN 1 ELSE 0 END, 2)), 6) AS brier FROM ({_CHARS}) GROUP BY category")
 def brier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return characters(spark, sf_dir).groupBy("category").agg(F.round(F.avg(F.pow(F.col("confidence") - F.col("match").cast("int"), 2)), 6).alias("brier"))
+    return scored(spark, sf_dir).groupBy("category").agg(F.round(F.avg(F.pow(F.col("confidence") - F.col("match").cast("int"), 2)), 6).alias("brier"))
 
 
-@query(f"SELECT recognition_id, count(*) AS scored, CAST(count_if(match) AS BIGINT) AS correct, round(count_if(match) / count(*), 6) AS accuracy FROM ({_CHARS}) GROUP BY ROLLUP (recognition_id)")
+@query(f"""
+SELECT recognition_id, CAST(grouping(recognition_id) AS INTEGER) AS grouping_id, CAST(count_if(prediction <> '') AS BIGINT) AS scored, CAST(count_if(kind = 'match') AS BIGINT) AS correct, CAST(count_if(kind IN ('substitution', 'insertion')) AS BIGINT) AS errors, CAST(count_if(kind = 'deletion') AS BIGINT) AS deletions,
+  round(count_if(kind = 'match') / nullif(count_if(prediction <> ''), 0), 6) AS accuracy FROM ({ALIGNED}) GROUP BY ROLLUP (recognition_id)
+""")
 def accuracy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document and (null) overall."""
-    return characters(spark, sf_dir).rollup("recognition_id").agg(F.count("*").alias("scored"), F.count_if("match").alias("correct"), F.round(F.count_if("match") / F.count("*"), 6).alias("accuracy"))
+    """Recognised, right, wrong and missing characters per document and, where
+    ``grouping_id`` is 1, overall."""
+    kind, recognised = F.col("kind"), F.count_if(F.col("prediction") != "")
+    counts = aligned(spark, sf_dir).rollup("recognition_id").agg(F.grouping("recognition_id").cast("int").alias("grouping_id"), recognised.alias("scored"), F.count_if(kind == "match").alias("correct"), F.count_if(kind.isin("substitution", "insertion")).alias("errors"), F.count_if(kind == "deletion").alias("deletions"))
+    return counts.withColumn("accuracy", F.round(F.try_divide("correct", F.nullif("scored", F.lit(0))), 6))
 
 
 @query(f"""
@@ -74,7 +89,7 @@ SELECT CAST(count_if(confidence < 0.7) AS BIGINT) AS flagged, round(count_if(con
 """)
 def policy_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, error = F.col("confidence") < 0.7, ~F.col("match")
-    return characters(spark, sf_dir).agg(
+    return scored(spark, sf_dir).agg(
         F.count_if(low).alias("flagged"), F.round(F.try_divide(F.count_if(low & error), F.count_if(low)), 6).alias("precision_"),
         F.round(F.try_divide(F.count_if(low & error), F.count_if(error)), 6).alias("error_recall"), F.round(F.try_divide(F.count_if(~low & error), F.count_if(~low)), 6).alias("review_error_rate"),
     )

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.functions.quality import RANKS, character_action, low_confidence, page_quality, rank
-from legajo.functions.text import SPACE, strip
+from legajo.functions.text import SPACE, code_points, strip
+from legajo.operators.restoration import scored_alignment
 from legajo.plans.registry import query
 from legajo.tables import spread, table
 
@@ -73,24 +74,68 @@ def page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("document_key", "block", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), F.size("p").cast("long").alias("pages"))
 
 
-_CHARS = """
-SELECT recognition_id, category, line_no, i AS char_index, substr(p, CAST(i + 1 AS BIGINT), 1) AS ch, substr(p, CAST(i + 1 AS BIGINT), 1) = substr(t, CAST(i + 1 AS BIGINT), 1) AS match,
-  ((recognition_id * 31 + line_no * 17 + i * 7) % 101) / 100.0 AS confidence
-FROM (SELECT recognition_id, category, line_no, p, t, unnest(generate_series(0, least(length(p), length(t)) - 1)) AS i FROM (
-  SELECT recognition_id, category, l.line_number AS line_no, l.prediction AS p, l.text AS t FROM (SELECT recognition_id, category, unnest(lines) AS l FROM recognitions WHERE strategy = 'runtime'))
-  WHERE length(p) > 0 AND length(t) > 0)
+_CONFIDENCE = "((recognition_id * 31 + line_no * 17 + {i} * 7) % 101) / 100.0"
+_CHARS = f"""
+SELECT recognition_id, category, line_no, i AS char_index, {_CONFIDENCE.format(i='i')} AS confidence
+FROM (SELECT recognition_id, category, line_no, unnest(generate_series(0, length(p) - 1)) AS i FROM (
+  SELECT recognition_id, category, l.line_number AS line_no, l.prediction AS p FROM (SELECT recognition_id, category, unnest(lines) AS l FROM recognitions WHERE strategy = 'runtime'))
+  WHERE length(p) > 0)
 """
 
 
-def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per predicted character with a confidence and whether it matches
-    the text at its place (the confidence is synthetic arithmetic)."""
+def _recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recognition_id, category, line_no, t (true text), p (prediction), c (the
+    prediction's characters with confidences, which are synthetic arithmetic)."""
     lines = spread(table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", "category", "lines")).select("recognition_id", "category", F.explode("lines").alias("l"))
-    pair = lines.select("recognition_id", "category", F.col("l.line_number").alias("line_no"), F.col("l.prediction").alias("p"), F.col("l.text").alias("t")).where("length(p) > 0 and length(t) > 0")
-    char = pair.select("recognition_id", "category", "line_no", "p", "t", F.explode(F.sequence(F.lit(0), F.least(F.length("p"), F.length("t")) - 1)).alias("char_index"))
-    confidence = ((F.col("recognition_id") * 31 + F.col("line_no") * 17 + F.col("char_index") * 7) % 101) / 100.0
-    at = lambda c: F.substring(F.col(c), F.col("char_index") + 1, F.lit(1))
-    return char.select("recognition_id", "category", "line_no", "char_index", at("p").alias("ch"), (at("p") == at("t")).alias("match"), confidence.alias("confidence"))
+    pair = lines.select("recognition_id", "category", F.col("l.line_number").alias("line_no"), F.col("l.text").alias("t"), F.col("l.prediction").alias("p"))
+    confidence = lambda i: ((F.col("recognition_id") * 31 + F.col("line_no") * 17 + i * 7) % 101) / 100.0
+    return pair.withColumn("c", F.transform(code_points(F.coalesce("p", F.lit(""))), lambda x, i: F.struct(x.alias("ch"), confidence(i).alias("confidence"))))
+
+
+def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per predicted character with its confidence."""
+    char = _recognised(spark, sf_dir).select("recognition_id", "category", "line_no", F.posexplode("c").alias("char_index", "x"))
+    return char.select("recognition_id", "category", "line_no", "char_index", F.col("x.ch").alias("ch"), F.col("x.confidence").alias("confidence"))
+
+
+_SQUEEZED = f"trim(regexp_replace(nfc_normalize(coalesce(l.text, '')), '[{SPACE}]+', ' ', 'g'))"
+#: The alignment in SQL: tokens of each line; for lines that differ the table of
+#: distances, row by row, and the way back through it.
+ALIGNED = f"""
+WITH RECURSIVE l AS (SELECT recognition_id, category, l.line_number AS line_no, {_SQUEEZED} AS t, coalesce(l.prediction, '') AS p FROM (SELECT recognition_id, category, unnest(lines) AS l FROM recognitions WHERE strategy = 'runtime')),
+g AS (SELECT recognition_id, line_no, generate_subscripts(c, 1) AS k, unnest(c) AS cluster FROM (SELECT *, regexp_extract_all(p, '[^\\p{{M}}]\\p{{M}}*|\\p{{M}}+') AS c FROM l)),
+o AS (SELECT *, CAST(sum(length(cluster)) OVER (PARTITION BY recognition_id, line_no ORDER BY k) - length(cluster) AS BIGINT) AS begins FROM g),
+n AS (SELECT recognition_id, line_no, k, generate_subscripts(c, 1) AS k2, unnest(c) AS ch, conf FROM (SELECT *, string_split(nfc_normalize(cluster), '') AS c, list_min(list_transform(range(begins, begins + length(cluster)), lambda i: {_CONFIDENCE.format(i='i')})) AS conf FROM o)),
+w AS (SELECT *, regexp_matches(ch, '^[{SPACE}]$') AS ws FROM n),
+s AS (SELECT *, sum(CASE WHEN ws AND coalesce(prev, false) THEN 0 ELSE 1 END) OVER (PARTITION BY recognition_id, line_no ORDER BY k, k2) AS grp FROM (SELECT *, lag(ws) OVER (PARTITION BY recognition_id, line_no ORDER BY k, k2) AS prev FROM w)),
+z AS (SELECT recognition_id, line_no, grp, bool_or(ws) AS ws, CASE WHEN bool_or(ws) THEN ' ' ELSE any_value(ch) END AS ch, min(conf) AS conf FROM s GROUP BY ALL),
+x AS (SELECT *, row_number() OVER (PARTITION BY recognition_id, line_no ORDER BY grp) AS a, row_number() OVER (PARTITION BY recognition_id, line_no ORDER BY grp DESC) AS b FROM z),
+b AS (SELECT recognition_id, line_no, list(ch ORDER BY grp) AS bc, list(conf ORDER BY grp) AS cc, string_agg(ch, '' ORDER BY grp) AS q FROM x WHERE NOT (ws AND (a = 1 OR b = 1)) GROUP BY ALL),
+pair AS (SELECT l.recognition_id, l.category, l.line_no, t, coalesce(q, '') AS q, CASE WHEN t = '' THEN [] ELSE string_split(t, '') END AS ac, coalesce(bc, []) AS bc, coalesce(cc, []) AS cc FROM l LEFT JOIN b USING (recognition_id, line_no)),
+dp AS (SELECT recognition_id, line_no, ac, bc, 0 AS i, [range(0, len(bc) + 1)] AS m FROM pair WHERE t <> q
+  UNION ALL SELECT recognition_id, line_no, ac, bc, i + 1, list_append(m, list_transform(range(1, len(s) + 1), lambda k: list_min(s[1:k]) + k)) FROM (
+    SELECT *, list_prepend(m[i + 1][1], list_transform(range(1, len(bc) + 1), lambda j: least(m[i + 1][j + 1] + 1, m[i + 1][j] + CASE WHEN ac[i + 1] = bc[j] THEN 0 ELSE 1 END) - (j + 1))) AS s FROM dp WHERE i < len(ac))),
+fin AS (SELECT recognition_id, line_no, ac, bc, m FROM dp WHERE i = len(ac)),
+bt AS (SELECT recognition_id, line_no, CAST(len(ac) AS BIGINT) AS i, CAST(len(bc) AS BIGINT) AS j, CAST(NULL AS VARCHAR) AS kind, CAST(0 AS BIGINT) AS ri, CAST(0 AS BIGINT) AS pj FROM fin
+  UNION ALL SELECT recognition_id, line_no, i - CASE WHEN k = 'insertion' THEN 0 ELSE 1 END, j - CASE WHEN k = 'deletion' THEN 0 ELSE 1 END, k, CASE WHEN k = 'insertion' THEN 0 ELSE i END, CASE WHEN k = 'deletion' THEN 0 ELSE j END FROM (
+    SELECT bt.recognition_id, bt.line_no, i, j, CASE WHEN i > 0 AND j > 0 AND ac[i] = bc[j] AND m[i + 1][j + 1] = m[i][j] THEN 'match' WHEN i > 0 AND j > 0 AND m[i + 1][j + 1] = m[i][j] + 1 THEN 'substitution' WHEN j > 0 AND m[i + 1][j + 1] = m[i + 1][j] + 1 THEN 'insertion' ELSE 'deletion' END AS k
+    FROM bt JOIN fin USING (recognition_id, line_no) WHERE i + j > 0))
+SELECT recognition_id, category, line_no, 'match' AS kind, unnest(bc) AS reference, unnest(bc) AS prediction, unnest(cc) AS confidence FROM pair WHERE t = q
+UNION ALL SELECT recognition_id, category, line_no, kind, CASE WHEN ri > 0 THEN ac[ri] ELSE '' END, CASE WHEN pj > 0 THEN bc[pj] ELSE '' END, CASE WHEN pj > 0 THEN cc[pj] END FROM bt JOIN pair USING (recognition_id, line_no) WHERE kind IS NOT NULL
+"""
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per step of the alignment of each recognised line with its text."""
+    pair = _recognised(spark, sf_dir).select("recognition_id", "category", "line_no", "t", F.array("c").alias("c"))
+    return scored_alignment(pair, ["recognition_id", "category", "line_no"], "t", "c")
+
+
+@query(f"SELECT recognition_id, category, line_no, kind, reference, prediction, round(confidence, 6) AS confidence FROM ({ALIGNED})")
+def aligned_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised characters, composed and with the least confidence of their
+    parts, aligned with the text they stand for."""
+    return aligned(spark, sf_dir).select("recognition_id", "category", "line_no", "kind", "reference", "prediction", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"SELECT recognition_id, count(*) AS characters, CAST(count_if(confidence < 0.7) AS BIGINT) AS fallback, CAST(count_if(confidence >= 0.7) AS BIGINT) AS review FROM ({_CHARS}) GROUP BY recognition_id")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from legajo.functions import quality as q
 from legajo.functions import text as t
 from legajo.operators.errors import micro_rates
-from legajo.operators.restoration import alignment, changes, collapse_blanks, restored_lines, word_changes
+from legajo.operators.restoration import alignment, edit_script, grapheme_tokens, replaced_spans, scored_alignment, changes, collapse_blanks, restored_lines, word_changes
 
 
 def brute(a, b):
@@ -87,3 +87,43 @@ def test_word_changes(spark):
     df = spark.createDataFrame([(1, "uno vcripicar dos\ntres", "uno verificar dos\ntres"), (2, None, "x"), (3, "a b c", "a x y c"), (4, "a b", "a b extra")], "k int, a string, b string")
     out = {(r["k"], r["original"], r["corrected"]) for r in word_changes(df, "k", "a", "b").collect()}
     assert out == {(1, "vcripicar", "verificar"), (3, "b", "x y")}
+
+
+def test_replaced_spans():
+    split = lambda x: x.split()
+    assert replaced_spans(split("a b c d"), split("a x y d")) == [("b", "x"), ("c", "y")]
+    assert replaced_spans(split("a b d"), split("a x y d")) == [("b", "x y")]
+    assert replaced_spans(split("a b"), split("b a")) == [] and replaced_spans([], split("a")) == [] and replaced_spans(split("a"), []) == []
+    assert list(edit_script(split("a b"), split("b a"))) == [("-", "a"), ("=", "b"), ("+", "a")]  # of equals the original goes first
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.choice("uvwx") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        script = list(edit_script(a, b))
+        assert [w for o, w in script if o in "=-"] == a and [w for o, w in script if o in "=+"] == b
+        best = {(len(a), j): 0 for j in range(len(b) + 1)} | {(i, len(b)): 0 for i in range(len(a) + 1)}
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
+        assert sum(o == "=" for o, _ in script) == best[0, 0]
+    long = [f"w{i % 50}" for i in range(4000)]
+    assert replaced_spans(long, [*long[:2000], "otro", *long[2001:]]) == [("w0", "otro")]
+
+
+def test_grapheme_tokens():
+    one = lambda x, p=0.9: [(c, p) for c in x]
+    assert grapheme_tokens([]) == [] and grapheme_tokens([[]]) == [] and grapheme_tokens([one("  ")]) == []
+    assert grapheme_tokens([[("e", 0.9), ("\u0301", 0.4)]]) == [("é", 0.4, False)]
+    assert grapheme_tokens([one("a"), one("b")]) == [("a", 0.9, False), (" ", None, True), ("b", 0.9, False)]
+    assert grapheme_tokens([[("a", 0.9), (" ", 0.3)], one("b")])[1] == (" ", 0.3, False)
+    assert grapheme_tokens([[(" ", 0.1), ("a", 0.9), ("\u00a0", 0.5), (" ", 0.6), ("b", 0.8), (" ", 0.2)]]) == [("a", 0.9, False), (" ", 0.5, False), ("b", 0.8, False)]
+
+
+def test_scored_alignment(spark):
+    chars = lambda x: [[(c, 0.5 + 0.01 * i) for i, c in enumerate(line)] for line in x]
+    rows = [(1, "canción", chars(["cancio\u0301m"])), (2, "uno dos", chars(["uno", "dos"])), (3, None, None), (4, "abc", []), (5, "abcd", chars(["xabcd"]))]
+    df = spark.createDataFrame(rows, "k int, t string, l array<array<struct<ch: string, confidence: double>>>")
+    out = {}
+    for r in scored_alignment(df, ["k"], "t", "l").orderBy("k", "step").collect():
+        out.setdefault(r["k"], []).append((r["kind"][0], r["confidence"], r["synthetic"]))
+    assert [k for k, _, _ in out[1]] == list("mmmmmms") and out[1][5][1] == 0.55 and out[2][3] == ("m", None, True) and 3 not in out
+    assert out[4] == [("d", None, False)] * 3 and [k for k, _, _ in out[5]] == list("immmm")  # one inserted character is one error
