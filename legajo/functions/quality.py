@@ -41,6 +41,12 @@ def low_confidence(confidence: Column) -> Column:
     return (confidence >= 0) & (confidence < 50)
 
 
+def needs_verification(angle: Column, kind: Column) -> Column:
+    """Whether a detected skew is so large that another reading must confirm it;
+    pages of files are never turned."""
+    return F.coalesce((kind != "pdf") & angle.isNotNull() & ~F.isnan(angle) & (F.abs(angle) >= 9.5) & (F.abs(angle) < float("inf")), F.lit(False))
+
+
 def heading_like(line: Column) -> Column:
     """Few words, mostly capitals."""
     letters, upper = F.regexp_count(line, F.lit(r"\p{L}")), F.regexp_count(line, F.lit(r"\p{Lu}"))

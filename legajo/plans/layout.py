@@ -1,7 +1,8 @@
 """Words with boxes: lines, blocks, low-confidence words and regions.
 
 The boxes are synthetic arithmetic over the page texts: a line's top is 20
-times its number, a word's left ten times the characters before it.
+times its number, a word's left ten times the characters before it, its height
+10 to 15.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from legajo.sources.tsv import parse_words
 from legajo.tables import spread, table
 
 _WORDS = f"""
-SELECT doc, 1 AS page, block, paragraph, line, word_no, text, CAST((doc * 31 + line * 17 + word_no * 7) % 101 AS DOUBLE) AS confidence, CAST("left" AS DOUBLE) AS "left", CAST(line * 20.0 + block * 10.0 AS DOUBLE) AS top, CAST(length(text) * 10.0 AS DOUBLE) AS width, CAST(12.0 AS DOUBLE) AS height FROM (
+SELECT doc, 1 AS page, block, paragraph, line, word_no, text, CAST((doc * 31 + line * 17 + word_no * 7) % 101 AS DOUBLE) AS confidence, CAST("left" AS DOUBLE) AS "left", CAST(line * 20.0 + block * 10.0 AS DOUBLE) AS top, CAST(length(text) * 10.0 AS DOUBLE) AS width, CAST(10 + (doc * 3 + line * 7 + word_no * 5) % 6 AS DOUBLE) AS height FROM (
   SELECT doc, CAST(line AS INTEGER) AS line, CAST(1 + line // 4 AS INTEGER) AS block, CAST(1 + line // 2 AS INTEGER) AS paragraph, CAST(w AS INTEGER) AS word_no, words[w] AS text,
     (line % 3) * 30.0 + 10.0 * (length(array_to_string(words[1:w - 1], ' ')) + CASE WHEN w > 1 THEN 1 ELSE 0 END) AS "left" FROM (
     SELECT doc, line, words, unnest(generate_series(1, len(words))) AS w FROM (
@@ -36,7 +37,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word.select(
         "doc", F.lit(1).alias("page"), (1 + F.floor(F.col("line") / 4)).cast("int").alias("block"), (1 + F.floor(F.col("line") / 2)).cast("int").alias("paragraph"), "line", n.alias("word_no"), "text",
         ((F.col("doc") * 31 + F.col("line") * 17 + n * 7) % 101).cast("double").alias("confidence"), ((F.col("line") % 3) * 30.0 + 10.0 * before).alias("left"),
-        (F.col("line") * 20.0 + (1 + F.floor(F.col("line") / 4)) * 10.0).alias("top"), (F.length("text") * 10.0).alias("width"), F.lit(12.0).alias("height"),
+        (F.col("line") * 20.0 + (1 + F.floor(F.col("line") / 4)) * 10.0).alias("top"), (F.length("text") * 10.0).alias("width"), (10 + (F.col("doc") * 3 + F.col("line") * 7 + n * 5) % 6).cast("double").alias("height"),
     )
 
 
@@ -76,7 +77,7 @@ _BLOCKS = f"""
 SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc, page ORDER BY reading_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS layout_block FROM (
  SELECT *, CASE WHEN pl IS NULL OR top - (pt + ph) > 1.1 * mh OR (abs("left" - pl) > 2.5 * mh AND least(width, pw) < 0.85 * greatest(width, pw)) OR special OR ps OR block <> pb OR paragraph <> pp THEN 1 ELSE 0 END AS fresh FROM (
   SELECT *, lag("left") OVER w AS pl, lag(top) OVER w AS pt, lag(width) OVER w AS pw, lag(height) OVER w AS ph, lag(special) OVER w AS ps, lag(block) OVER w AS pb, lag(paragraph) OVER w AS pp FROM (
-   SELECT *, {_HEADING} OR {_FIELD} AS special, quantile_cont(height, 0.5) OVER (PARTITION BY doc, page) AS mh FROM ({_ORDER})) WINDOW w AS (PARTITION BY doc, page ORDER BY reading_no)))
+   SELECT *, ({_HEADING} AND width > 0) OR {_FIELD} AS special, greatest(1, list_sort(list(height) OVER (PARTITION BY doc))[count(*) OVER (PARTITION BY doc) // 2 + 1]) AS mh FROM ({_ORDER})) WINDOW w AS (PARTITION BY doc, page ORDER BY reading_no)))
 """
 _BLOCK_ROWS = f"""
 SELECT doc, page, layout_block, string_agg(text, chr(10) ORDER BY reading_no) AS text, min("left") AS "left", min(top) AS top, max("left" + width) - min("left") AS width, max(top + height) - min(top) AS height,
@@ -203,38 +204,59 @@ def overlay_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc", F.array_join(F.transform("r", lambda x: x["r"]), "\n").alias("svg"))
 
 
-_INK = f"SELECT doc, line AS row_no, sum(width) AS ink FROM ({_WORDS}) GROUP BY doc, line"
-_BANDS = f"""
-WITH s AS (SELECT doc, row_no, avg(ink) OVER (PARTITION BY doc ORDER BY row_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM ({_INK})),
-k AS (SELECT doc, row_no, row_no - lag(row_no) OVER (PARTITION BY doc ORDER BY row_no) AS step FROM s WHERE smooth >= 200),
-g AS (SELECT doc, row_no, CAST(sum(CASE WHEN step IS NULL OR step > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY row_no) AS BIGINT) AS band FROM k)
-SELECT doc, band, min(row_no) AS first_row, max(row_no) AS last_row FROM g GROUP BY doc, band
+_INK = f'SELECT doc, line AS row_no, sum(width) AS ink, min("left") AS x0, max("left" + width) AS x1 FROM ({_WORDS}) GROUP BY doc, line'
+
+
+def _bands_sql(rows: str, keys: str, window: str, least: str, gap: str) -> str:
+    equal = " AND ".join(f"b.{k} = r.{k}" for k in keys.split(", "))
+    mean = lambda k: f"sum(ink) OVER (PARTITION BY {keys} ORDER BY row_no RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) / {2 * k + 1}"
+    own = ", ".join(f"b.{k}" for k in keys.split(", "))
+    return f"""
+WITH r AS ({rows}), s AS (SELECT *, CASE {window} WHEN 3 THEN {mean(1)} WHEN 5 THEN {mean(2)} ELSE {mean(3)} END AS smooth FROM r),
+a AS (SELECT *, row_no - row_number() OVER (PARTITION BY {keys} ORDER BY row_no) AS run FROM s WHERE smooth >= {least}),
+u AS (SELECT {keys}, run, min(row_no) AS y0, max(row_no) + 1 AS y1, any_value({gap}) AS g FROM a GROUP BY {keys}, run HAVING max(row_no) + 1 - min(row_no) >= 2),
+n AS (SELECT *, CASE WHEN y0 - lag(y1) OVER w <= g THEN 0 ELSE 1 END AS fresh FROM u WINDOW w AS (PARTITION BY {keys} ORDER BY y0)),
+d AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY y0) AS band FROM n), b AS (SELECT {keys}, band, min(y0) AS y0, max(y1) AS y1 FROM d GROUP BY {keys}, band)
+SELECT {own}, b.y0, b.y1, sum(r.ink) AS ink, max(r.x1) - min(r.x0) AS width FROM b JOIN r ON {equal} AND r.row_no >= b.y0 AND r.row_no < b.y1 AND r.ink > 0 GROUP BY {own}, b.y0, b.y1 HAVING sum(r.ink) >= 600 AND max(r.x1) - min(r.x0) >= 100 AND b.y1 - b.y0 >= 2
 """
 
 
-@query(_BANDS)
+def _ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink of each text line of a page, with its extent (lines stand for image rows)."""
+    return words(spark, sf_dir).groupBy("doc", F.col("line").alias("row_no")).agg(F.sum("width").alias("ink"), F.min("left").alias("x0"), F.max(F.col("left") + F.col("width")).alias("x1"))
+
+
+@query(_bands_sql(_INK, "doc", "3", "200", "1"))
 def ink_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of rows whose smoothed ink passes a threshold, small gaps bridged."""
-    ink = words(spark, sf_dir).groupBy("doc", F.col("line").alias("row_no")).agg(F.sum("width").alias("ink"))
-    order = Window.partitionBy("doc").orderBy("row_no")
-    smooth = ink.withColumn("smooth", F.avg("ink").over(order.rowsBetween(-1, 1))).where("smooth >= 200")
-    step = smooth.withColumn("step", F.col("row_no") - F.lag("row_no").over(order))
-    band = step.withColumn("band", F.sum(F.when(F.col("step").isNull() | (F.col("step") > 2), 1).otherwise(0)).over(order))
-    return band.groupBy("doc", "band").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"))
+    """Runs of rows whose smoothed ink passes a threshold, small gaps bridged,
+    slight ones left out."""
+    return op.ink_bands(_ink(spark, sf_dir), ["doc"], F.lit(3), F.lit(200), F.lit(1), 2, 600, 100, 2)
+
+
+#: Grid of the search: ink a row needs, share of the page's widest row it needs, window, gap.
+GRID = {"threshold": (100, 300), "ratio": (0.2, 0.4, 0.6), "span": (3, 5), "max_gap": (1, 2)}
+_GRID_ROWS = f"SELECT i.*, threshold, ratio, span, max_gap, max(ink) OVER (PARTITION BY doc, threshold, ratio, span, max_gap) AS widest FROM ({_INK}) i, " + ", ".join(f"(VALUES {', '.join(f'({v})' for v in vs)}) v_{k}({k})" for k, vs in GRID.items())
 
 
 @query(f"""
-WITH i AS ({_INK}), c AS (SELECT t.t AS threshold, i.doc, count_if(ink >= t.t) AS rows_over, count(*) AS n FROM i, (VALUES (100), (200), (300), (400), (500)) t(t) GROUP BY ALL)
-SELECT doc, threshold FROM (SELECT doc, threshold, row_number() OVER (PARTITION BY doc ORDER BY abs(rows_over - ceil(n / 2)), threshold) AS k FROM c) WHERE k = 1
+WITH b AS ({_bands_sql(_GRID_ROWS, 'doc, threshold, ratio, span, max_gap', 'span', 'greatest(threshold, ratio * widest)', 'max_gap')}),
+h AS (SELECT doc, threshold, CAST(ratio AS DOUBLE) AS ratio, span, max_gap, list(y1 - y0) AS h, median(y1 - y0) AS m FROM b GROUP BY ALL),
+e AS (SELECT page_id AS doc, 1 + len(regexp_extract_all(trim(text, chr(10)), chr(10) || '\s*' || chr(10))) AS expected FROM quality_inputs WHERE text IS NOT NULL),
+s AS (SELECT h.*, list_sum(list_transform(h, lambda x: abs(x - m))) AS score FROM h JOIN e USING (doc) WHERE len(h.h) = expected)
+SELECT doc, threshold, ratio, span, max_gap, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score, threshold, ratio, span, max_gap) AS k FROM s) WHERE k = 1
 """)
 def grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid search: the threshold that comes nearest to keeping half the rows.
-    All grid points are counted in one pass per page."""
-    ink = words(spark, sf_dir).groupBy("doc", "line").agg(F.sum("width").alias("ink"))
-    grid = (100, 200, 300, 400, 500)
-    own = ink.groupBy("doc").agg(F.count("*").alias("n"), *[F.count_if(F.col("ink") >= t).alias(f"c{t}") for t in grid])
-    miss = F.array(*[F.struct(F.abs(F.col(f"c{t}") - F.ceil(F.col("n") / 2)).alias("m"), F.lit(t).alias("t")) for t in grid])
-    return own.select("doc", F.array_min(miss)["t"].alias("threshold"))
+    """Grid search over four parameters: those that find as many bands as the
+    page has paragraphs, of the most even heights."""
+    grid = [F.explode(F.array(*[F.lit(v) for v in vs])).alias(k) for k, vs in GRID.items()]
+    rows = _ink(spark, sf_dir).withColumn("widest", F.max("ink").over(Window.partitionBy("doc")))
+    for g in grid:
+        rows = rows.select("*", g)
+    keys = ["doc", *GRID]
+    bands = op.ink_bands(rows, keys, F.col("span"), F.greatest(F.col("threshold"), F.col("ratio") * F.col("widest")), F.col("max_gap"), 2, 600, 100, 2)
+    page = table(spark, sf_dir, "quality_inputs").where("text is not null")
+    expected = page.select(F.col("page_id").alias("doc"), (1 + F.regexp_count(F.trim(F.col("text"), F.lit("\n")), F.lit("\n\\s*\n"))).alias("expected"))
+    return op.best_parameters(bands, "doc", list(GRID), expected)
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.functions.quality import RANKS, character_action, low_confidence, page_quality, rank
+from legajo.functions.quality import RANKS, character_action, low_confidence, needs_verification, page_quality, rank
 from legajo.functions.text import SPACE, code_points, strip
 from legajo.operators.restoration import scored_alignment
 from legajo.plans.registry import query
@@ -181,14 +181,14 @@ def candidate_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT row_id, angle, NOT (abs(angle) < 9.5) AS needs_verification, abs(angle) >= 0.5 AND category NOT IN ('photo-perspective') AS false_skew
+SELECT row_id, angle, abs(angle) >= 9.5 AND row_id % 7 <> 0 AS needs_verification, abs(angle) >= 0.5 AND category NOT IN ('photo-perspective') AS false_skew
 FROM (SELECT row_id, category, ((row_id * 37) % 401 - 200) / 10.0 AS angle FROM matrix_rows) WHERE category IS NOT NULL
 """)
 def skew_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Angles extreme enough to be verified, and skew where none is expected
-    (the angle is synthetic arithmetic)."""
+    """Angles of images (pages of files are none) extreme enough to be verified,
+    and skew where none is expected (angle and kind are synthetic arithmetic)."""
     rows = table(spark, sf_dir, "matrix_rows").where("category is not null").select("row_id", "category", (((F.col("row_id") * 37) % 401 - 200) / 10.0).alias("angle"))
-    return rows.select("row_id", "angle", (F.abs("angle") >= 9.5).alias("needs_verification"), ((F.abs("angle") >= 0.5) & (F.col("category") != "photo-perspective")).alias("false_skew"))
+    return rows.select("row_id", "angle", needs_verification(F.col("angle"), F.when(F.col("row_id") % 7 == 0, "pdf").otherwise("image")).alias("needs_verification"), ((F.abs("angle") >= 0.5) & (F.col("category") != "photo-perspective")).alias("false_skew"))
 
 
 @query("""

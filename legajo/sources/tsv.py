@@ -5,28 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = ("level", "page", "block", "paragraph", "line", "word_no", "left", "top", "width", "height", "confidence", "text")
+#: Names in a header, and what the columns are called here.
+NAMES = {"level": "level", "page_num": "page", "block_num": "block", "par_num": "paragraph", "line_num": "line", "word_num": "word_no", "left": "left", "top": "top", "width": "width", "height": "height", "conf": "confidence", "text": "text"}
+COLUMNS = tuple(NAMES.values())
 
 
 def parse_words(df: DataFrame, tsv: str, strict: bool = True) -> DataFrame:
     """Words (level 5, text not blank) of each row's TSV with the row's other
-    columns.  Tabs within the text stay; a header line is skipped.
+    columns.
 
-    Strict: a short row, a number that is none, a negative origin or an empty
-    box raises; otherwise such rows are dropped.  Null and empty texts have no
-    words.
+    A header line names the columns, in any order; without one they stand in
+    the order of ``NAMES``.  Where the text is the last column, tabs within it
+    stay.  Strict: a header that lacks a column, a short row, a number that is
+    none, a negative origin or an empty box raises; otherwise such rows are
+    dropped.  Null and empty texts have no words.
     """
     keep = [c for c in df.columns if c != tsv]
-    line = df.select(*keep, F.explode(F.split(tsv, "\r?\n")).alias("__l")).where("trim(__l) != '' and not __l like 'level%'")
-    part = line.select(*keep, F.split("__l", "\t", 12).alias("__p"))
-    number = lambda i: F.try_element_at("__p", F.lit(i + 1)).try_cast("double")
-    typed = part.select(*keep, "__p", *[number(i).alias(c) for i, c in enumerate(COLUMNS[:11])], F.try_element_at("__p", F.lit(12)).alias("text"))
-    good: Column = F.lit(True)
+    lines = F.split(tsv, "\r?\n")
+    head = F.get(F.filter(lines, lambda x: x.startswith("level\t")), F.lit(0))
+    named = F.coalesce(F.split(head, "\t"), F.array(*[F.lit(n) for n in NAMES]))
+    line = df.select(*keep, named.alias("__h"), F.explode(lines).alias("__l")).where("trim(__l) != '' and not __l like 'level\t%'")
+    missing = F.array_except(F.array(*[F.lit(n) for n in NAMES]), "__h")
+    part = line.select(*keep, "__h", missing.alias("__m"), F.split("__l", "\t", -1).alias("__p"))
+    at = lambda n: F.array_position("__h", n)
+    cell = lambda n: F.when(at(n) > 0, F.try_element_at("__p", at(n).cast("int")))
+    rest = F.array_join(F.slice("__p", F.size("__h"), F.greatest(F.size("__p") - F.size("__h") + 1, F.lit(0))), "\t")
+    text = F.when((at("text") == F.size("__h")) & (F.size("__p") >= F.size("__h")), rest).otherwise(cell("text"))
+    typed = part.select(*keep, "__m", *[cell(n).try_cast("double").alias(c) for n, c in NAMES.items() if n != "text"], text.alias("text"))
+    good: Column = F.size("__m") == 0
     for c in COLUMNS[:11]:
         good = good & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     good = good & (F.col("left") >= 0) & (F.col("top") >= 0) & (F.col("width") > 0) & (F.col("height") > 0) & F.col("text").isNotNull()
-    word = typed.where("level = 5 or level is null")
+    word = typed.where("level = 5 or level is null or size(__m) > 0")
     checked = word.withColumn("__ok", good)
     if strict:
-        checked = checked.withColumn("__ok", F.when(F.col("__ok"), True).otherwise(F.raise_error(F.lit("malformed TSV row")).cast("boolean")))
+        wrong = F.when(F.size("__m") > 0, F.concat(F.lit("malformed TSV header, without "), F.array_join("__m", ", "))).otherwise("malformed TSV row")
+        checked = checked.withColumn("__ok", F.when(F.col("__ok"), True).otherwise(F.raise_error(wrong).cast("boolean")))
     return checked.where("__ok and trim(text) != ''").select(*keep, *[F.col(c).cast("int").alias(c) for c in COLUMNS[1:6]], *COLUMNS[6:])

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from legajo import api
 from legajo.operators import adapters, imaging
-from legajo.operators.layout import block_rows, region_groups, word_lines
+from legajo.operators.layout import block_rows, ink_bands, region_groups, word_lines
 from legajo.sources import files
 from legajo.sources.tsv import parse_words
 
@@ -17,7 +17,7 @@ def test_signatures(spark):
 
 
 def test_tsv(spark):
-    good = "level\tpage_num\n5\t1\t1\t1\t1\t1\t0\t0\t10\t12\t22\tHola\ta\n5\t1\t1\t1\t1\t2\t20\t0\t10\t12\t95\t \n4\t1\t1\t1\t1\t0\t0\t0\t10\t12\t-1\t"
+    good = "5\t1\t1\t1\t1\t1\t0\t0\t10\t12\t22\tHola\ta\n5\t1\t1\t1\t1\t2\t20\t0\t10\t12\t95\t \n4\t1\t1\t1\t1\t0\t0\t0\t10\t12\t-1\t"
     df = spark.createDataFrame([(1, good), (2, ""), (3, None)], "doc int, tsv string")
     out = parse_words(df, "tsv").collect()
     assert [(r["doc"], r["text"], r["confidence"]) for r in out] == [(1, "Hola\ta", 22.0)]
@@ -27,6 +27,20 @@ def test_tsv(spark):
         parse_words(bad, "tsv").collect()
 
 
+def test_tsv_columns_by_name(spark):
+    head = "text level page_num block_num par_num line_num word_num left top width height conf".split()
+    rows = ["\t".join(head), "\t".join(["Hola", "5", "1", "1", "1", "1", "1", "0", "0", "10", "12", "22"]), "\t".join(["x", "4", "1", "1", "1", "1", "0", "0", "0", "10", "12", "-1"])]
+    moved = "level\t" + "\t".join(h for h in head if h not in ("level", "text")) + "\ttext\n" + "5\t1\t1\t1\t1\t1\t0\t0\t10\t12\t22\tHola\ta"
+    df = spark.createDataFrame([(1, moved)], "doc int, tsv string")
+    assert [r["text"] for r in parse_words(df, "tsv").collect()] == ["Hola\ta"]
+    swapped = "level\ttext\t" + "\t".join(h for h in head if h not in ("level", "text")) + "\n5\tHola\t1\t1\t1\t1\t1\t0\t0\t10\t12\t22"
+    assert [(r["text"], r["confidence"]) for r in parse_words(spark.createDataFrame([(1, swapped)], "doc int, tsv string"), "tsv").collect()] == [("Hola", 22.0)]
+    lacking = spark.createDataFrame([(1, "level\tpage_num\ttext\n5\t1\tHola")], "doc int, tsv string")
+    assert parse_words(lacking, "tsv", strict=False).count() == 0 and rows
+    with pytest.raises(Exception, match="without block_num, par_num"):
+        parse_words(lacking, "tsv").collect()
+
+
 def test_blocks(spark):
     def word(line, no, left, top, text, block=1, paragraph=1):
         return (1, 1, block, paragraph, line, no, text, 90.0, float(left), float(top), 30.0, 12.0)
@@ -42,6 +56,10 @@ def test_blocks(spark):
 def test_regions(spark):
     df = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 20.0), (1, 2, 50.0, 5.0, 10.0, 20.0), (1, 3, 0.0, 100.0, 10.0, 20.0)], "doc long, region_no long, left double, top double, width double, height double")
     assert {(r["region_no"], r["group_no"]) for r in region_groups(df).collect()} == {(1, 1), (2, 1), (3, 2)}
+    # a distance of just the tolerance joins; heights of nothing don't count for it
+    edge = [(2, 1, 0.0, 0.0, 9.0, 20.0), (2, 2, 0.0, 20.0, 9.0, 20.0), (2, 3, 0.0, 51.0, 9.0, 20.0), (3, 1, 0.0, 0.0, 9.0, 100.0), (3, 2, 0.0, 95.0, 9.0, 0.0), (3, 3, 0.0, 0.0, 9.0, 0.0), (3, 4, 0.0, 500.0, 9.0, 0.0)]
+    out = {(r["doc"], r["region_no"]): r["group_no"] for r in region_groups(spark.createDataFrame(edge, df.schema)).collect()}
+    assert [out[2, i] for i in (1, 2, 3)] == [1, 1, 2] and [out[3, i] for i in (1, 2, 3, 4)] == [2, 2, 1, 3]
 
 
 def test_recogniser_and_breaker(spark):
@@ -85,3 +103,11 @@ def test_api(spark):
     assert ("revlsión", "SUGGESTED") in {(r["original"], r["status"]) for r in got}
     boxes = spark.createDataFrame([(0.0, 0.0, 10.0, 10.0), (-1.0, 0.0, 5.0, 5.0)], "left double, top double, width double, height double")
     assert api.review_regions(boxes, 100.0, 100.0).count() == 1
+
+
+def test_ink_bands(spark):
+    ink = [0, 9, 9, 9, 0, 9, 9, 0, 0, 0, 0, 9, 9, 9, 9, 0, 0, 0, 0, 0, 1, 1, 1]
+    df = spark.createDataFrame([(1, i, float(x), 0.0, 50.0) for i, x in enumerate(ink)], "doc int, row_no int, ink double, x0 double, x1 double")
+    bands = lambda gap, low: sorted((r["y0"], r["y1"]) for r in ink_bands(df, ["doc"], F.lit(3), F.lit(6.0), F.lit(gap), 2, low, 40, 2).collect())
+    assert bands(1, 5) == [(1, 7), (11, 15)] and bands(5, 5) == [(1, 15)] and bands(1, 40) == [(1, 7)]
+    assert ink_bands(df.where("false"), ["doc"], F.lit(3), F.lit(6.0), F.lit(1), 2, 5, 40, 2).count() == 0
