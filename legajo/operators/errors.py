@@ -37,3 +37,10 @@ def inner_strict(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tupl
     """(joined rows, left rows without partner): the caller decides whether a
     missing partner is an error, nothing is dropped silently."""
     return left.join(right, list(keys)), left.join(right, list(keys), "left_anti")
+
+
+def joined_strict(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The inner join; a left row without partner raises when the result is read."""
+    marked = left.join(right.withColumn("__there", F.lit(True)), list(keys), "left")
+    missing = F.raise_error(F.concat(F.lit("no partner for "), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])).cast("boolean")
+    return marked.where(F.when(F.col("__there").isNull(), missing).otherwise(True)).drop("__there")

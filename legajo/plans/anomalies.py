@@ -126,24 +126,39 @@ def fallback_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT page_id, item_id, text, confidence, row_number() OVER (PARTITION BY page_id ORDER BY confidence, item_id) AS place, count(*) OVER (PARTITION BY page_id) AS n FROM word_context_items WHERE confidence >= 0 AND confidence < 50)
-SELECT page_id, item_id, text, CAST(place AS INTEGER) AS place, greatest(n - 80, 0) AS remaining FROM w WHERE place <= 80
+WITH w AS (SELECT w.page_id, item_id, w.text, w.confidence, page_number, CASE WHEN w.page_id % 5 > 0 THEN ((w.page_id * 37) % 401 - 200) / 100.0 END AS angle,
+  row_number() OVER (PARTITION BY w.page_id ORDER BY w.confidence, item_id) AS place, count(*) OVER (PARTITION BY w.page_id) AS n FROM word_context_items w LEFT JOIN quality_inputs q ON q.page_id = w.page_id WHERE w.confidence >= 0 AND w.confidence < 50)
+SELECT page_id, item_id, text, page_number, abs(coalesce(angle, 0)) < 0.5 AS can_locate, round(100.0 * ((item_id * 13) % 1800) / 2000, 4) AS left_percent, round(100.0 * ((item_id * 29) % 2900) / 3000, 4) AS top_percent, CAST(place AS INTEGER) AS place, greatest(n - 80, 0) AS remaining FROM w WHERE place <= 80
 """)
 def suspicious_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eighty least certain words of each page and how many more there are
-    (a display limit)."""
+    (a display limit), with their page, whether they can be shown on it (its
+    image wasn't turned) and where, in percent of its size.  Words are placed
+    before they meet their page; boxes and angles are synthetic arithmetic."""
     low = table(spark, sf_dir, "word_context_items").where("confidence >= 0 and confidence < 50")
     own = Window.partitionBy("page_id")
-    placed = low.select("page_id", "item_id", "text", F.row_number().over(own.orderBy("confidence", "item_id")).alias("place"), F.count("*").over(own).alias("n"))
-    return placed.where("place <= 80").select("page_id", "item_id", "text", "place", F.greatest(F.col("n") - 80, F.lit(0)).alias("remaining"))
+    placed = low.select("page_id", "item_id", "text", F.row_number().over(own.orderBy("confidence", "item_id")).alias("place"), F.count("*").over(own).alias("n")).where("place <= 80")
+    page = table(spark, sf_dir, "quality_inputs").select("page_id", "page_number")
+    angle = F.when(F.col("page_id") % 5 > 0, ((F.col("page_id") * 37) % 401 - 200) / 100.0)
+    percent = lambda by, range_, size: F.round(100.0 * ((F.col("item_id") * by) % range_) / size, 4)
+    return placed.join(page, "page_id", "left").select(
+        "page_id", "item_id", "text", "page_number", (F.abs(F.coalesce(angle, F.lit(0.0))) < 0.5).alias("can_locate"), percent(13, 1800, 2000).alias("left_percent"), percent(29, 2900, 3000).alias("top_percent"), "place", F.greatest(F.col("n") - 80, F.lit(0)).alias("remaining"),
+    )
 
 
 @query("""
-SELECT recognition_id, anomaly_id, original_text, suggested_alternative, status FROM (SELECT *, row_number() OVER (PARTITION BY recognition_id ORDER BY anomaly_id) AS n FROM semantic_anomalies
+SELECT 'proposal' AS kind, recognition_id AS doc, anomaly_id AS ref, original_text AS original, suggested_alternative AS suggested, status FROM (SELECT *, row_number() OVER (PARTITION BY recognition_id ORDER BY anomaly_id) AS n FROM semantic_anomalies
   WHERE status = 'SUGGESTED' OR is_protected_field OR rejection_reason LIKE 'EDIT_DISTANCE%') WHERE n <= 25
+UNION ALL SELECT 'review_only', page_id, item_id, text, NULL, 'REVIEW_ONLY' FROM word_context_items i WHERE confidence >= 0 AND confidence < 50 AND NOT EXISTS (SELECT 1 FROM semantic_anomalies a WHERE a.id = i.id)
 """)
 def proposal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suggestions to show, the first 25 of each document (a display limit)."""
-    shown = table(spark, sf_dir, "semantic_anomalies").where("status = 'SUGGESTED' or is_protected_field or rejection_reason like 'EDIT_DISTANCE%'")
+    """Suggestions to show, the first 25 of each document (a display limit), and
+    what else is only to be reviewed: words whose id is not among all the
+    candidates, shown or not."""
+    stored = table(spark, sf_dir, "semantic_anomalies")
+    shown = stored.where("status = 'SUGGESTED' or is_protected_field or rejection_reason like 'EDIT_DISTANCE%'")
     placed = shown.withColumn("n", F.row_number().over(Window.partitionBy("recognition_id").orderBy("anomaly_id"))).where("n <= 25")
-    return placed.select("recognition_id", "anomaly_id", "original_text", "suggested_alternative", "status")
+    proposals = placed.select(F.lit("proposal").alias("kind"), F.col("recognition_id").alias("doc"), F.col("anomaly_id").alias("ref"), F.col("original_text").alias("original"), F.col("suggested_alternative").alias("suggested"), "status")
+    words = table(spark, sf_dir, "word_context_items").where("confidence >= 0 and confidence < 50")
+    spare = words.join(stored.where("id is not null").select("id").distinct(), "id", "left_anti")
+    return proposals.unionByName(spare.select(F.lit("review_only").alias("kind"), F.col("page_id").alias("doc"), F.col("item_id").alias("ref"), F.col("text").alias("original"), F.lit(None).cast("string").alias("suggested"), F.lit("REVIEW_ONLY").alias("status")))

@@ -238,24 +238,42 @@ _READ = f"SELECT recognition_id, l.line_number AS n, {_norm_sql('l.text')} AS t,
 _READ = with_distance_sql(with_distance_sql(_READ, "t", "p", "own"), "t", "o", "other")
 
 
+def line_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recognition_id, line_no, own, other: distances of two readings of a line
+    from its text; the other engine is one that reads digits where letters look
+    like them."""
+    lines = spread(table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", "lines")).select("recognition_id", F.explode("lines").alias("l")).where("l.text is not null and l.prediction is not null")
+    read = lines.select("recognition_id", F.col("l.line_number").alias("line_no"), _norm("l.text").alias("t"), _norm("l.prediction").alias("p"))
+    t, p = F.col("t"), F.col("p")
+    return read.select("recognition_id", "line_no", F.levenshtein(t, p).cast("long").alias("own"), F.levenshtein(t, F.translate(p, CONFUSED, DIGITS)).cast("long").alias("other"))
+
+
 @query(f"""
 SELECT recognition_id, n AS line_no, CAST(sum(own) OVER w AS BIGINT) AS before, CAST(sum(own) OVER w - own + other AS BIGINT) AS after, CAST(sum(least(own, other)) OVER w AS BIGINT) AS all_improving,
   CASE WHEN other < own THEN 'IMPROVES' WHEN other > own THEN 'WORSENS' ELSE 'UNCHANGED' END AS outcome FROM ({_READ}) WINDOW w AS (PARTITION BY recognition_id)
 """)
 def line_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What replacing one line by another engine's reading does to the document's
-    summed line distance, and what replacing all improving lines would.  The
-    other engine is one that reads digits where letters look like them."""
-    lines = spread(table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", "lines")).select("recognition_id", F.explode("lines").alias("l")).where("l.text is not null and l.prediction is not null")
-    read = lines.select("recognition_id", F.col("l.line_number").alias("line_no"), _norm("l.text").alias("t"), _norm("l.prediction").alias("p"))
-    t, p = F.col("t"), F.col("p")
-    own = read.select("recognition_id", "line_no", F.levenshtein(t, p).cast("long").alias("own"), F.levenshtein(t, F.translate(p, CONFUSED, DIGITS)).cast("long").alias("other"))
+    summed line distance, and what replacing all improving lines would."""
+    own = line_readings(spark, sf_dir)
     document = Window.partitionBy("recognition_id")
     whole = F.sum("own").over(document)
     outcome = F.when(F.col("other") < F.col("own"), "IMPROVES").when(F.col("other") > F.col("own"), "WORSENS").otherwise("UNCHANGED")
     return own.select("recognition_id", "line_no", whole.alias("before"), (whole - F.col("own") + F.col("other")).alias("after"), F.sum(F.least("own", "other")).over(document).alias("all_improving"), outcome.alias("outcome"))
 
 
+@query(f"""
+SELECT recognition_id, count(*) AS regions, CAST(count_if(own > 0) AS BIGINT) AS source_errors, CAST(count_if(own > 0 AND other = 0) AS BIGINT) AS corrected, CAST(count_if(own = 0 AND other = 0) AS BIGINT) AS preserved, CAST(count_if(own = 0 AND other > 0) AS BIGINT) AS destroyed
+FROM ({_READ}) GROUP BY recognition_id
+""")
+def region_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second reading of every line would have corrected, preserved and
+    destroyed (the second engine of ``line_replacement``)."""
+    own = line_readings(spark, sf_dir)
+    wrong, right, now = F.col("own") > 0, F.col("own") == 0, F.col("other") == 0
+    return own.groupBy("recognition_id").agg(F.count("*").alias("regions"), F.count_if(wrong).alias("source_errors"), F.count_if(wrong & now).alias("corrected"), F.count_if(right & now).alias("preserved"), F.count_if(right & ~now).alias("destroyed"))
+
+
 @query(f"SELECT result_id, trim(regexp_replace(nfc_normalize(expected), '[{SPACE}]+', ' ', 'g')) AS text FROM case_results WHERE expected IS NOT NULL")
 def nfc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in composed form with white space squeezed."""

@@ -211,3 +211,10 @@ def field_eval_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("expected"), taken.alias("extracted"), exact.alias("exact"), F.round(taken / F.count("*"), 6).alias("coverage"),
         F.round(exact / F.count("*"), 6).alias("exact_accuracy"), F.round(F.try_divide(exact, taken), 6).alias("accuracy_among_extracted"), F.count_if("document_correct").alias("in_correct_documents"),
     )
+
+
+@query(f"SELECT recognition_id, field_type, count(*) AS candidates FROM ({_EXTRACT}) GROUP BY ALL HAVING count(*) > 1")
+def field_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that offer more than one candidate for a field; ``field_verdicts``
+    takes the first of them, a strict reader would refuse the document."""
+    return _found(spark, sf_dir).where("candidates > 1").select("recognition_id", "field_type", "candidates")

@@ -124,3 +124,31 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
     return spark.read.parquet(f"{base}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "n")
+
+
+_STATUS = """
+SELECT id, CASE WHEN bool_or(coalesce(trim(expected), '') = '') THEN 'pending' WHEN bool_or(recognised IS NULL) THEN 'invalid' ELSE 'complete' END AS status FROM (
+  SELECT c.id, c.expected, r.id AS recognised FROM case_results c LEFT JOIN (SELECT DISTINCT id FROM recognitions) r ON r.id = c.id WHERE c.id IS NOT NULL) GROUP BY id
+"""
+
+
+@query(f"SELECT CAST(count_if(status = 'complete') AS BIGINT) AS complete, CAST(count_if(status = 'pending') AS BIGINT) AS pending, CAST(count_if(status = 'invalid') AS BIGINT) AS invalid FROM ({_STATUS})")
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete, pending and invalid cases of the corpus."""
+    return corpus_validation(spark, sf_dir).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("complete", "pending", "invalid")])
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, page_count > 3 AS more, CAST(n.n AS INTEGER) AS page_number FROM documents, generate_series(1, 3) n(n) WHERE page_count > 0 AND n.n <= page_count")
+def page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of each file that are read: the first three at most."""
+    rows = src.pages_of(table(spark, sf_dir, "documents").select("doc_id", "page_count"), "page_count")
+    return rows.select(F.col("doc_id").cast("string").alias("id"), (F.col("page_count") > 3).alias("more"), "page_number")
+
+
+@query("SELECT CAST(recognition_id AS VARCHAR) AS id, line_count IS NOT NULL AS ok, line_count AS lines FROM recognitions WHERE strategy = 'runtime'")
+def worker_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a line-by-line worker written as JSON and read again."""
+    rows = table(spark, sf_dir, "recognitions").where("strategy = 'runtime'")
+    line = F.to_json(F.struct(F.lit("result").alias("type"), F.col("recognition_id").cast("string").alias("id"), F.col("line_count").isNotNull().alias("ok"), F.struct(F.col("line_count").alias("lines")).alias("result")))
+    out = src.responses(rows.select(line.alias("value")), "lines int")
+    return out.select("id", "ok", F.col("result.lines").alias("lines"))

@@ -235,3 +235,15 @@ def review_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = c.isNull() | F.isnan(c) | (c < 0) | (c > 100)
     shown = F.when(bad, "N/D").otherwise(F.format_string("%.1f%%", F.round(c, 1)))
     return table(spark, sf_dir, "word_context_items").select("item_id", shown.alias("shown"), F.when(bad, "inválida").when(c < 25, "baja").otherwise("media").alias("label"), F.coalesce(F.nullif(F.trim("line_text"), F.lit("")), F.lit("—")).alias("context"))
+
+
+@query("""
+SELECT recognition_id, detection_duration_ms IS NOT NULL AND NOT isnan(detection_duration_ms) AND NOT isinf(detection_duration_ms) AND detection_duration_ms >= 0 AND coalesce(line_count, -1) >= 0 AS detected,
+  coalesce(line_count = coalesce(len(lines), 0), false) AS as_many_recognised FROM recognitions WHERE strategy = 'runtime'
+""")
+def detector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a detector's answer can be used (a finite duration and a number of
+    lines, neither negative), and whether as many lines were recognised."""
+    d = F.col("detection_duration_ms")
+    usable = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf")) & (d >= 0) & (F.coalesce("line_count", F.lit(-1)) >= 0)
+    return table(spark, sf_dir, "recognitions").where("strategy = 'runtime'").select("recognition_id", usable.alias("detected"), F.coalesce(F.col("line_count") == F.size(F.coalesce("lines", F.array())), F.lit(False)).alias("as_many_recognised"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.functions.text import SPACE, code_points, html_escape, strip
+from legajo.functions.text import SPACE, code_points, html_escape, strip, xml_escape
 from legajo.operators import restoration as op
 from legajo.operators.normalise import normalise
 from legajo.plans import fields as field_plans
@@ -86,15 +86,25 @@ def html_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "word_context_items").select("item_id", html_escape(F.col("line_text")).alias("html"))
 
 
-@query("""
-SELECT a.anomaly_id, CASE WHEN contains(line_context, original_text) THEN replace(line_context, original_text, '<mark title="' || coalesce(suggested_alternative, '') || '">' || original_text || '</mark>') ELSE line_context END AS html
-FROM semantic_anomalies a WHERE line_context IS NOT NULL AND original_text IS NOT NULL AND original_text <> ''
+def _escaped_sql(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(f"""
+SELECT anomaly_id, CASE WHEN length(trim(original_text)) >= 2 THEN regexp_replace({_escaped_sql('line_context')}, '(^|[\\s,.:;()"])' || regexp_escape({_escaped_sql('original_text')}) || '($|[\\s,.:;()"])',
+  '\\1<mark title="' || replace({_escaped_sql("coalesce(suggested_alternative, '')")}, '\\', '\\\\') || '">' || replace({_escaped_sql('original_text')}, '\\', '\\\\') || '</mark>\\2', 'g') ELSE {_escaped_sql('line_context')} END AS html
+FROM semantic_anomalies WHERE line_context IS NOT NULL AND original_text IS NOT NULL
 """)
 def annotated_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line with its suspicious text marked."""
-    rows = table(spark, sf_dir, "semantic_anomalies").where("line_context is not null and original_text is not null and original_text != ''")
-    mark = F.concat(F.lit('<mark title="'), F.coalesce("suggested_alternative", F.lit("")), F.lit('">'), "original_text", F.lit("</mark>"))
-    return rows.select("anomaly_id", F.replace("line_context", "original_text", mark).alias("html"))
+    """A line, escaped, with its suspicious text marked."""
+    rows = table(spark, sf_dir, "semantic_anomalies").where("line_context is not null and original_text is not null")
+    mark = F.struct(F.col("original_text").alias("word"), F.col("suggested_alternative").alias("title"))
+    return rows.select("anomaly_id", op.annotate(F.col("line_context"), F.when(F.length(F.trim("original_text")) >= 2, F.array(mark)).otherwise(F.array().cast("array<struct<word:string,title:string>>"))).alias("html"))
+
+
+@query(f"SELECT item_id, replace(replace(replace(replace(replace(line_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM word_context_items")
+def xml_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "word_context_items").select("item_id", xml_escape(F.col("line_text")).alias("xml"))
 
 
 @query("SELECT category, printf('%.2f%%', 100.0 * sum(metrics.character_distance) / nullif(sum(metrics.reference_characters), 0)) AS cer FROM case_results GROUP BY category")
@@ -157,3 +167,30 @@ def synthesis_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = each.groupBy("doc").agg(F.count_if("did").alias("field_changes")).where("field_changes > 0")
     both = page.join(field, "doc", "full")
     return both.select("doc", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("noise_removed", "rule_changes", "field_changes")])
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, original, replacement, did of every field read from a structured page."""
+    found = normalise(field_plans.extracted(field_plans.page_lines(spark, sf_dir)), F.col("field_type"), F.col("raw"))
+    # the flag is aggregated, so that no filter is pushed into the staged steps
+    return found.groupBy((-F.col("recognition_id")).alias("doc"), F.col("input").alias("original"), F.col("value").alias("replacement")).agg(F.max(F.col("status") == "NORMALIZED").alias("did")).where("did")
+
+
+@query(f"""
+WITH t AS (SELECT doc, coalesce(regexp_replace(string_agg(s8, chr(10) ORDER BY line_no) FILTER (WHERE NOT noise AND NOT {noise_sql('s8')}), '^[{SPACE}]+|[{SPACE}]+$', '', 'g'), '') AS final_text FROM ({_S}) WHERE doc < 0 GROUP BY doc),
+p AS (SELECT doc, input AS original, value AS replacement, 'field' AS kind FROM ({_NORMALISED}) UNION ALL SELECT doc, before, after, CASE WHEN step = 'noise' THEN 'noise' ELSE 'rule' END FROM ({_CHANGES}) WHERE doc < 0),
+c AS (SELECT doc, count_if(kind = 'field') AS f, count_if(kind = 'rule') AS r, count_if(kind = 'noise') AS n FROM (SELECT doc, original, replacement, min(kind) AS kind FROM p GROUP BY ALL) GROUP BY doc)
+SELECT t.doc, final_text, CAST(coalesce(f, 0) AS BIGINT) AS field_changes, CAST(coalesce(r, 0) AS BIGINT) AS rule_changes, CAST(coalesce(n, 0) AS BIGINT) AS noise_removed, CAST(0 AS BIGINT) AS shields, CAST(0 AS BIGINT) AS applied FROM t LEFT JOIN c USING (doc)
+""")
+def synthesised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final text of each structured page in conventional mode, and what was done to it."""
+    return op.synthesise(lines(spark, sf_dir).where("doc < 0"), _normalised(spark, sf_dir).drop("did"))
+
+
+@query()
+def synthesised_assisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the stored suggestions: shields of protected data, and safe
+    corrections applied in order to the text as it then is (SQL has no such fold)."""
+    stored = table(spark, sf_dir, "semantic_anomalies").where("recognition_id is not null")
+    suggestions = stored.select((-F.col("recognition_id")).alias("doc"), F.col("anomaly_id").alias("ref"), F.col("original_text").alias("original"), F.col("suggested_alternative").alias("suggested"), F.col("line_context").alias("context"), "status", "decision", F.col("is_protected_field").alias("protected"), F.col("rejection_reason").alias("rejection"))
+    return op.synthesise(lines(spark, sf_dir).where("doc < 0"), _normalised(spark, sf_dir).drop("did"), suggestions)

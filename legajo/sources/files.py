@@ -49,12 +49,42 @@ def error_code(reason: Column) -> Column:
     return F.when(reason == "FILE_TOO_LARGE", 413).when(reason.isNotNull(), 400).otherwise(200)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with their bytes, size and detected type."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def read_files(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
+    """Files of a folder with their bytes, size and detected type; those over
+    ``most`` bytes are left out by their size, unread."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most)
     return files.withColumn("mime", sniff(F.col("content"))).withColumn("kind", kind_of(F.col("mime")))
 
 
+def image_size(content: Column) -> Column:
+    """Struct (width, height) from the header of a PNG file, null for others."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
+    return F.when((sniff(content) == "image/png") & (F.length(content) >= 24), F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
+def size_allowed(width: Column, height: Column) -> Column:
+    """Whether an image may be read: it has a size, of at most ``MAX_PIXELS``."""
+    return F.coalesce((width > 0) & (height > 0) & (width * height <= MAX_PIXELS), F.lit(False))
+
+
+def pages_of(df: DataFrame, pages: str, most: int = 3) -> DataFrame:
+    """A row per page to be read (``page_number`` from 1) of files with ``pages``
+    pages, at most ``most`` of each; files of no page have none."""
+    return df.where(F.col(pages) > 0).withColumn("page_number", F.explode(F.sequence(F.lit(1), F.least(F.col(pages).cast("int"), F.lit(most)))))
+
+
+def requests(df: DataFrame, id_: str, path: str) -> DataFrame:
+    """One line of JSON per row for a worker that reads requests line by line."""
+    return df.select(F.to_json(F.struct(F.col(id_).cast("string").alias("id"), F.col(path).alias("detectionPath"))).alias("value"))
+
+
+def responses(lines: DataFrame, result: str) -> DataFrame:
+    """id, ok, result (a struct of the given schema), error of a worker's lines;
+    lines that are no JSON or no answer are left out, nulls too."""
+    schema = f"type string, id string, ok boolean, result struct<{result}>, error string"
+    return lines.select(F.from_json("value", schema).alias("r")).where("r.type = 'result' and r.id is not null").select("r.id", F.coalesce("r.ok", F.lit(False)).alias("ok"), "r.result", "r.error")
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON artifacts (one document per file) under a declared schema."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -70,6 +100,11 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_text_report(df: DataFrame, line: Column, path: str) -> None:
+    """One line of text per row."""
+    df.select(line.cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
 def isolated(df: DataFrame, column: str, function, into: str = "text") -> DataFrame:
     """``into`` and ``status`` from a Python function of one value that may fail:
     an error gives the empty text and ``ERROR:<type>``, other rows go on."""

@@ -24,11 +24,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     The cluster names it in ``spark.checkpoint.dir``; a folder of our own is
-    set only where that is unset (tests on one machine).
+    set only where that is unset and all executors are on this machine (tests);
+    on a cluster without a folder this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="legajo-checkpoint-")).as_uri())
     return context._jsc.sc().getCheckpointDir().get()
 

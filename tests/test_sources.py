@@ -111,3 +111,87 @@ def test_ink_bands(spark):
     bands = lambda gap, low: sorted((r["y0"], r["y1"]) for r in ink_bands(df, ["doc"], F.lit(3), F.lit(6.0), F.lit(gap), 2, low, 40, 2).collect())
     assert bands(1, 5) == [(1, 7), (11, 15)] and bands(5, 5) == [(1, 15)] and bands(1, 40) == [(1, 7)]
     assert ink_bands(df.where("false"), ["doc"], F.lit(3), F.lit(6.0), F.lit(1), 2, 5, 40, 2).count() == 0
+
+
+def test_noise_is_the_generator_s():
+    import numpy as np
+
+    def slow(n, hit):
+        state, out = imaging.SEED, [100] * n
+
+        def draw():
+            nonlocal state
+            state = (state * imaging.FACTOR + imaging.STEP) % 2**32
+            return state / 0xFFFFFFFF
+
+        for i in range(n):
+            if draw() < hit:
+                out[i] = imaging.DARK if draw() < 0.5 else imaging.LIGHT
+        return out
+
+    for hit in (0.018, 0.6):
+        assert imaging.noisy(np.full((40, 50), 100, dtype=np.uint8), hit=hit).ravel().tolist() == slow(2000, hit)
+    assert imaging.noisy(np.zeros((0, 5), dtype=np.uint8)).shape == (0, 5)
+
+
+def test_skew(spark):
+    import numpy as np
+
+    def page(angle):
+        y, x = np.mgrid[0:300, 0:400]
+        t = np.deg2rad(angle)
+        rows = np.rint(x * np.sin(t) + y * np.cos(t)).astype(int)
+        return np.where((rows % 30 < 6) & (x > 40) & (x < 360) & (y > 40) & (y < 260), 0, 255).astype(np.uint8)
+
+    pages = {0: 0.0, 1: 3.0, 2: -4.5, 3: 0.25}
+    df = spark.createDataFrame([(i, 400, 300, bytearray(page(a).tobytes())) for i, a in pages.items()] + [(9, 0, 0, bytearray()), (8, 2, 2, bytearray(b"\xff" * 4)), (7, 2, 2, None)], "doc long, width int, height int, pixels binary")
+    out = {r["doc"]: (r["angle"], r["verdict"]) for r in imaging.skew_angles(df).collect()}
+    assert set(out) == {0, 1, 2, 3, 8} and out[8] == (0.0, "none")
+    assert all(abs(out[i][0] - a) <= 0.5 for i, a in pages.items()) and [out[i][1] for i in (0, 1, 2)] == ["none", "turn", "turn"]
+
+
+def test_files_and_reports(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    head = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    for name, data in (("a.png", head), ("b.pdf", b"%PDF-1.4"), ("big.bin", b"x" * 5000), ("empty", b"")):
+        (folder / name).write_bytes(data)
+    found = files.read_files(spark, str(folder), most=1000).withColumn("size", files.image_size(F.col("content")))
+    got = {r["path"].rsplit("/", 1)[1]: (r["mime"], r["kind"], r["size"] and tuple(r["size"])) for r in found.collect()}
+    assert got == {"a.png": ("image/png", "image", (640, 480)), "b.pdf": ("application/pdf", "pdf", None)}  # empty files are never listed
+    sizes = spark.createDataFrame([(640, 480), (0, 4), (10_000, 10_000), (None, 1)], "w long, h long").select(files.size_allowed(F.col("w"), F.col("h")).alias("ok")).collect()
+    assert [r["ok"] for r in sizes] == [True, False, False, False]
+    pages = files.pages_of(spark.createDataFrame([(1, 5), (2, 1), (3, 0), (4, None)], "doc int, n int"), "n")
+    assert sorted((r["doc"], r["page_number"]) for r in pages.collect()) == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id int, path string")
+    assert [r["value"] for r in files.requests(df, "id", "path").orderBy("value").collect()] == ['{"id":"1","detectionPath":"x"}', '{"id":"2"}']
+    lines = spark.createDataFrame([('{"type":"result","id":"1","ok":true,"result":{"n":2}}',), ("no json",), ('{"type":"ready"}',), (None,), ('{"type":"result","id":"2","error":"E"}',)], "value string")
+    assert sorted((r["id"], r["ok"], r["result"] and r["result"]["n"], r["error"]) for r in files.responses(lines, "n int").collect()) == [("1", True, 2, None), ("2", False, None, "E")]
+    files.write_text_report(df, F.col("id"), f"{tmp_path}/report")
+    assert sorted(r["text"] for r in files.read_texts(spark, f"{tmp_path}/report/part-*").collect() if r["text"]) in (["1\n", "2\n"], ["1\n2\n"])
+
+
+def test_strict_join(spark):
+    from legajo.operators.errors import joined_strict
+
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, "z"), (2, "w")], "k int, w string")
+    assert joined_strict(a, b, ["k"]).count() == 2
+    with pytest.raises(Exception, match="no partner for 2"):
+        joined_strict(a, b.where("k = 1"), ["k"]).collect()
+
+
+def test_synthesis_and_annotation(spark):
+    from legajo.operators.restoration import annotate, synthesise
+
+    lines = spark.createDataFrame([(1, 1, "Nit: 5"), (1, 2, "e y j XA A YN / N ON /"), (1, 3, ""), (1, 4, "El mensajcro llega; la carpeta espera"), (1, 5, "carpeta")], "doc long, line_no int, line string")
+    fields = spark.createDataFrame([(1, "l5", "15"), (1, "Nit: 5", "NIT: 5"), (1, "l5", "15")], "doc long, original string, replacement string")
+    row = lambda ref, a, b, context="El mensajcro llega; la carpeta espera", **k: (1, ref, a, b, context, k.get("status", "SUGGESTED"), k.get("decision", "CORRECTION"), k.get("protected"), k.get("rejection"))
+    given = [row(1, "mensajcro", "mensajero"), row(2, "carpeta", "carpetas"), row(3, "espera", "esperan", protected=True), row(4, "llega", "llegue", status="REJECTED", rejection="PROTECTED_FIELD_RESTRICTED_MANUAL_REVIEW_ONLY"), row(5, "espera", "espero", context="otra"), row(6, "llega", "llego", decision="NOISE"), row(7, "mensajero", "mensajera")]
+    df = spark.createDataFrame(given, "doc long, ref long, original string, suggested string, context string, status string, decision string, protected boolean, rejection string")
+    plain, whole = synthesise(lines, fields).first(), synthesise(lines, fields, df).first()
+    assert plain["final_text"] == "NIT: 5\nEl mensajcro llega; la carpeta espera\ncarpeta"
+    assert [plain[c] for c in ("field_changes", "rule_changes", "noise_removed", "shields", "applied")] == [2, 0, 1, 0, 0]
+    assert whole["final_text"] == "NIT: 5\nEl mensajero llega; la carpeta espera\ncarpeta" and (whole["shields"], whole["applied"]) == (2, 1)  # 'carpeta' occurs twice; 'mensajero' is not in the context
+    marks = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("title")) for w, t in (("la casa", 'x"><b>'), ("casa", "$1 \\"), ("mark", "m"), ("a", "no"), ("<i>", "i"))])
+    html = spark.createDataFrame([('La casa, la casa & casas: <i> "casa" mark a',)], "t string").select(annotate(F.col("t"), marks).alias("h")).first()["h"]
+    assert html == 'La <mark title="$1 \\">casa</mark>, <mark title="x&quot;&gt;&lt;b&gt;">la casa</mark> &amp; casas: <mark title="i">&lt;i&gt;</mark> &quot;casa&quot; <mark title="m">mark</mark> a'
