@@ -195,3 +195,13 @@ def test_synthesis_and_annotation(spark):
     marks = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("title")) for w, t in (("la casa", 'x"><b>'), ("casa", "$1 \\"), ("mark", "m"), ("a", "no"), ("<i>", "i"))])
     html = spark.createDataFrame([('La casa, la casa & casas: <i> "casa" mark a',)], "t string").select(annotate(F.col("t"), marks).alias("h")).first()["h"]
     assert html == 'La <mark title="$1 \\">casa</mark>, <mark title="x&quot;&gt;&lt;b&gt;">la casa</mark> &amp; casas: <mark title="i">&lt;i&gt;</mark> &quot;casa&quot; <mark title="m">mark</mark> a'
+
+
+def test_sampled(spark):
+    from legajo.tables import sampled
+
+    df = spark.range(20_000).withColumn("x", F.lit("y"))
+    some = sampled(df, "id", 1000)
+    ids = {r["id"] for r in some.collect()}
+    assert 850 < len(ids) < 1150 and ids == {r["id"] for r in sampled(df.repartition(7), "id", 1000).collect()}
+    assert sampled(df, "id", 50_000).count() == 20_000 and sampled(df.where("false"), "id", 5).count() == 0
