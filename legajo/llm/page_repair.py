@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from legajo.llm.char_editor import LABELS, SOUND, Counts, Editor, Packed, Perceptron, Words, _bucket, _is_number
 from legajo.llm.same_look import canonical
-from legajo.tables import table
+from legajo.tables import sampled, table
 
-#: Pairs of recognised and correct text used for training, at most, and characters of a text among them.
+#: Pairs of recognised and correct text used for training, about, and characters of a text among them.
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
 #: Words that are looked up in a hash map, the most frequent ones; all others in a
 #: packed table.  This decides the speed, never the result.
@@ -524,10 +524,8 @@ def trained(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Repairer:
 def _train_on(spark: SparkSession, sf_dir: str, sample: int) -> Repairer:
     case = table(spark, sf_dir, "case_results")
     words = count_words(case.select(F.col("expected").alias("text")), page_texts(spark, sf_dir).select("text"))
-    pairs = (
-        case.where("expected is not null and obtained rlike '\\\\S'").where(F.greatest(F.length("expected"), F.length("obtained")) <= SAMPLE_CHARS)
-        .orderBy(F.xxhash64("result_id"), "result_id").select("obtained", "expected").limit(sample).collect()
-    )
+    some = sampled(case, "result_id", sample).where("expected is not null and obtained rlike '\\\\S'").where(F.greatest(F.length("expected"), F.length("obtained")) <= SAMPLE_CHARS)
+    pairs = some.select("result_id", "obtained", "expected").orderBy(F.xxhash64("result_id"), "result_id").collect()
     return train([(r["obtained"], r["expected"]) for r in pairs], words)
 
 
