@@ -109,7 +109,7 @@ PROSE = [
 def case(spark):
     rows = k.labelled_texts(PROSE, 3000)
     stats = k.with_statistics(spark.createDataFrame(rows, "kind string, text string")).select("kind", *k.RULE_STATS).toPandas()
-    return k.case_sql(k.induce(stats[k.RULE_STATS].to_numpy(float), stats["kind"].to_numpy(), k.RULE_STATS))
+    return k.case_sql(k.best_of(stats[k.RULE_STATS].to_numpy(float), stats["kind"].to_numpy(), k.RULE_STATS, 3))
 
 
 def test_text_kinds_on_held_out_texts(spark, case):
