@@ -230,7 +230,7 @@ class Rule:
 
 def _grow(x, y, names, kind) -> Rule:
     rule, hit = Rule(kind), np.ones(len(x), dtype=bool)
-    while (hit & ~y).any() and len(rule.conditions) < 6:
+    while (hit & ~y).any() and (hit & y).any() and len(rule.conditions) < 6:
         p0, n0 = int((hit & y).sum()), int((hit & ~y).sum())
         best = (1e-9, None)
         for j, name in enumerate(names):

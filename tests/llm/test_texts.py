@@ -125,6 +125,16 @@ def test_text_kinds_on_held_out_texts(spark, case):
     assert long["n_words"] == 50_000
 
 
+def test_splits_without_a_kind():
+    import numpy as np
+
+    x, kinds = np.arange(40.0).reshape(-1, 1), np.array(["prose"] * 37 + ["list"] * 3)
+    for seed in range(40):  # some splits leave no list to grow from
+        rules = k.induce(x, kinds, ["a"], seed=seed)
+        assert all(r.kind == "list" for r in rules)
+    assert k.induce(x[:0], kinds[:0], ["a"]) == [] and k.induce(x[:37], kinds[:37], ["a"]) == []
+
+
 def test_rules_are_simple():
     rule = k.Rule("list", [("a", ">=", 1.0), ("b", "<=", 5.0), ("a", ">=", 2.0), ("b", "<=", 7.0)]).simplified()
     assert rule.conditions == [("a", ">=", 2.0), ("b", "<=", 5.0)] and rule.sql() == "a >= 2D AND b <= 5D"
