@@ -241,7 +241,7 @@ _GRID_ROWS = f"SELECT i.*, threshold, ratio, span, max_gap, max(ink) OVER (PARTI
 @query(f"""
 WITH b AS ({_bands_sql(_GRID_ROWS, 'doc, threshold, ratio, span, max_gap', 'span', 'greatest(threshold, ratio * widest)', 'max_gap')}),
 h AS (SELECT doc, threshold, CAST(ratio AS DOUBLE) AS ratio, span, max_gap, list(y1 - y0) AS h, median(y1 - y0) AS m FROM b GROUP BY ALL),
-e AS (SELECT page_id AS doc, 1 + len(regexp_extract_all(trim(text, chr(10)), chr(10) || '\s*' || chr(10))) AS expected FROM quality_inputs WHERE text IS NOT NULL),
+e AS (SELECT page_id AS doc, 1 + len(regexp_extract_all(trim(text, chr(10)), chr(10) || '\\s*' || chr(10))) AS expected FROM quality_inputs WHERE text IS NOT NULL),
 s AS (SELECT h.*, list_sum(list_transform(h, lambda x: abs(x - m))) AS score FROM h JOIN e USING (doc) WHERE len(h.h) = expected)
 SELECT doc, threshold, ratio, span, max_gap, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score, threshold, ratio, span, max_gap) AS k FROM s) WHERE k = 1
 """)
