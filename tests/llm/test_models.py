@@ -208,6 +208,29 @@ def test_fitted_from_frames(spark):
     assert s.assign(df, empty).count() == 0
 
 
+def test_fitted_on_every_document(spark):
+    rng = random.Random(3)
+    docs, labels = documents(rng, 6400)
+    docs = [(d, ". ".join(t.split(". ")[:4]), x) for d, t, x in docs]
+    general = "el informe de la oficina no está en la carpeta con la respuesta del director".split()
+    for d in range(6400, 6403):  # the only documents of their subject and source are long ones
+        docs.append((d, " ".join(" ".join([*rng.sample(general, 8), *(["impuesto", "recaudo"] if i % 3 == 0 else [])]) + "." for i in range(200)), "t"))
+        labels[d] = {"taxes"}
+    assert sum(d in labels for d, _, _ in docs) > 4000 and min(len(t) for _, t, _ in docs[6400:]) > 8000
+    names = sorted([*TOPICS, "taxes"])
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((docs, "doc_id long, text string, source string"), ([(d, t) for d in labels for t in labels[d]] + [(None, "law")], "doc_id int, subject string"), ([(t,) for t in names], "subject string"))]
+    model = s.fitted(spark, frames[0].repartition(5), *frames[1:])
+    whole = s.fit([(d, t) for d, t, _ in docs if d in labels], labels, names)
+    s.learn(whole, whole.votes([t for _, t, _ in docs], [x for _, _, x in docs]))
+    assert model.lexicon["es"]["impuesto"] == names.index("taxes") and model.lexicon == whole.lexicon
+    assert set(model.source) == {"s", "t"}
+    assert all((getattr(model, k) == getattr(whole, k)).all() for k in ("prior", "band", "section", "address"))
+    assert all((model.source[x] == whole.source[x]).all() for x in "st")
+    assert {(x["doc_id"], x["subject"]) for x in s.assign(frames[0].where("doc_id >= 6400"), model).collect()} == {(d, "taxes") for d in range(6400, 6403)}
+    none = s.fitted(spark, frames[0].limit(50), frames[1], frames[2].where("false"))
+    assert s.assign(frames[0].limit(50), none).count() == 0
+
+
 def test_fit_without_labels():
     model = s.fit([], {}, ["law"])
     s.learn(model, model.votes(["El juzgado dictó sentencia."], [None]))
