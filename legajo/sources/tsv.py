@@ -10,6 +10,12 @@ NAMES = {"level": "level", "page_num": "page", "block_num": "block", "par_num":
 COLUMNS = tuple(NAMES.values())
 
 
+def _held(df: DataFrame, keep: list[str], prefix: str = "__", **columns: Column) -> DataFrame:
+    """``keep`` and the named columns, computed once: they come out of a generator,
+    so no later filter, cell or row takes their expressions in and repeats them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(prefix + n) for n, c in columns.items()]))))
+
+
 def parse_words(df: DataFrame, tsv: str, strict: bool = True) -> DataFrame:
     """Words (level 5, text not blank) of each row's TSV with the row's other
     columns.
@@ -21,17 +27,18 @@ def parse_words(df: DataFrame, tsv: str, strict: bool = True) -> DataFrame:
     dropped.  Null and empty texts have no words.
     """
     keep = [c for c in df.columns if c != tsv]
-    lines = F.split(tsv, "\r?\n")
-    head = F.get(F.filter(lines, lambda x: x.startswith("level\t")), F.lit(0))
-    named = F.coalesce(F.split(head, "\t"), F.array(*[F.lit(n) for n in NAMES]))
-    line = df.select(*keep, named.alias("__h"), F.explode(lines).alias("__l")).where("trim(__l) != '' and not __l like 'level\t%'")
-    missing = F.array_except(F.array(*[F.lit(n) for n in NAMES]), "__h")
-    part = line.select(*keep, "__h", missing.alias("__m"), F.split("__l", "\t", -1).alias("__p"))
-    at = lambda n: F.array_position("__h", n)
-    cell = lambda n: F.when(at(n) > 0, F.try_element_at("__p", at(n).cast("int")))
-    rest = F.array_join(F.slice("__p", F.size("__h"), F.greatest(F.size("__p") - F.size("__h") + 1, F.lit(0))), "\t")
-    text = F.when((at("text") == F.size("__h")) & (F.size("__p") >= F.size("__h")), rest).otherwise(cell("text"))
-    typed = part.select(*keep, "__m", *[cell(n).try_cast("double").alias(c) for n, c in NAMES.items() if n != "text"], text.alias("text"))
+    page = _held(df, keep, lines=F.split(tsv, "\r?\n"))
+    head = F.get(F.filter("__lines", lambda x: x.startswith("level\t")), F.lit(0))
+    page = _held(page, [*keep, "__lines"], h=F.coalesce(F.split(head, "\t"), F.array(*[F.lit(n) for n in NAMES])))
+    places = F.struct(*[F.nullif(F.array_position("__h", n).cast("int"), F.lit(0)).alias(n) for n in NAMES])
+    page = _held(page, [*keep, "__lines"], at=places, n=F.size("__h"), m=F.array_except(F.array(*[F.lit(n) for n in NAMES]), "__h"))
+    line = page.select(*keep, "__at", "__n", "__m", F.explode("__lines").alias("__l")).where("trim(__l) != '' and not __l like 'level\t%'")
+    part = _held(line, [*keep, "__at", "__n", "__m"], p=F.split("__l", "\t", -1))
+    at = lambda n: F.col(f"__at.{n}")
+    cell = lambda n: F.try_element_at("__p", at(n))
+    rest = F.array_join(F.slice("__p", F.col("__n"), F.size("__p") - F.col("__n") + 1), "\t")
+    text = F.when((at("text") == F.col("__n")) & (F.size("__p") > F.col("__n")), rest).otherwise(cell("text"))
+    typed = _held(part, [*keep, "__m"], "", **{c: cell(n).try_cast("double") for n, c in NAMES.items() if n != "text"}, text=text)
     good: Column = F.size("__m") == 0
     for c in COLUMNS[:11]:
         good = good & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))

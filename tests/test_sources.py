@@ -41,6 +41,17 @@ def test_tsv_columns_by_name(spark):
         parse_words(lacking, "tsv").collect()
 
 
+def test_tsv_cost_of_a_line(spark):
+    """A page's header is sought and each line is cut once, whatever reads the cells."""
+    head = "level page_num block_num par_num line_num word_num left top width height conf text".split()
+    rows = [f"5\t1\t1\t1\t{i}\t1\t0\t{20 * i}\t10\t12\t{i % 101}\tw{i}" for i in range(1, 301)]
+    df = spark.createDataFrame([(1, "\n".join(["\t".join(head), *rows])), (2, "\r\n".join(rows))], "doc int, tsv string")
+    out = parse_words(df, "tsv")
+    assert sorted((r["doc"], r["line"], r["text"], r["top"], r["confidence"]) for r in out.collect()) == [(d, i, f"w{i}", 20.0 * i, float(i % 101)) for d in (1, 2) for i in range(1, 301)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") == 1 and plan.count("split(") == 3 and plan.count("try_cast(") == 11
+
+
 def test_blocks(spark):
     def word(line, no, left, top, text, block=1, paragraph=1):
         return (1, 1, block, paragraph, line, no, text, 90.0, float(left), float(top), 30.0, 12.0)
