@@ -7,7 +7,7 @@ times its number, a word's left ten times the characters before it, its height
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legajo.functions.quality import field_like, heading_like, low_confidence, noise_line
@@ -27,18 +27,30 @@ SELECT doc, 1 AS page, block, paragraph, line, word_no, text, CAST((doc * 31 + l
 """
 
 
+def _split_words(line: Column) -> Column:
+    return F.filter(F.split(F.trim(F.regexp_replace(line, f"[{SPACE}]+", " ")), " "), lambda x: x != "")
+
+
+def _boxed(doc: Column, line: Column, own: Column, w: Column, text: Column) -> dict[str, Column]:
+    """The columns of word ``w`` (from 0) of the words ``own`` of a line."""
+    before = F.length(F.array_join(F.slice(own, F.lit(1), w), " ")) + F.when(w > 0, 1).otherwise(0)
+    n, block = w + 1, (1 + F.floor(line / 4)).cast("int")
+    return {
+        "doc": doc, "page": F.lit(1), "block": block, "paragraph": (1 + F.floor(line / 2)).cast("int"), "line": line, "word_no": n, "text": text,
+        "confidence": ((doc * 31 + line * 17 + n * 7) % 101).cast("double"), "left": (line % 3) * 30.0 + 10.0 * before,
+        "top": line * 20.0 + (1 + F.floor(line / 4)) * 10.0, "width": F.length(text) * 10.0, "height": (10 + (doc * 3 + line * 7 + n * 5) % 6).cast("double"),
+    }
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "quality_inputs").where("text is not null").select("page_id", "text"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = spread(table(spark, sf_dir, "quality_inputs").where("text is not null").select("page_id", "text"))
-    line = page.select(F.col("page_id").alias("doc"), F.posexplode(F.split("text", "\r?\n")).alias("p", "t"))
-    parts = line.select("doc", (F.col("p") + 1).alias("line"), F.filter(F.split(F.trim(F.regexp_replace("t", f"[{SPACE}]+", " ")), " "), lambda x: x != "").alias("words"))
+    line = _texts(spark, sf_dir).select(F.col("page_id").alias("doc"), F.posexplode(F.split("text", "\r?\n")).alias("p", "t"))
+    parts = line.select("doc", (F.col("p") + 1).alias("line"), _split_words(F.col("t")).alias("words"))
     word = parts.select("doc", "line", "words", F.posexplode("words").alias("w", "text"))
-    before = F.length(F.array_join(F.slice("words", F.lit(1), F.col("w")), " ")) + F.when(F.col("w") > 0, 1).otherwise(0)
-    n = F.col("w") + 1
-    return word.select(
-        "doc", F.lit(1).alias("page"), (1 + F.floor(F.col("line") / 4)).cast("int").alias("block"), (1 + F.floor(F.col("line") / 2)).cast("int").alias("paragraph"), "line", n.alias("word_no"), "text",
-        ((F.col("doc") * 31 + F.col("line") * 17 + n * 7) % 101).cast("double").alias("confidence"), ((F.col("line") % 3) * 30.0 + 10.0 * before).alias("left"),
-        (F.col("line") * 20.0 + (1 + F.floor(F.col("line") / 4)) * 10.0).alias("top"), (F.length("text") * 10.0).alias("width"), (10 + (F.col("doc") * 3 + F.col("line") * 7 + n * 5) % 6).cast("double").alias("height"),
-    )
+    return word.select(*[c.alias(k) for k, c in _boxed(*[F.col(c) for c in ("doc", "line", "words", "w", "text")]).items()])
 
 
 _LINES = f"""
@@ -186,11 +198,16 @@ def review_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tsv_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as recogniser TSV and read again: the scan gives back every
     word with its box."""
-    w = words(spark, sf_dir)
-    row = F.concat_ws("\t", F.lit("5"), *[F.col(c).cast("string") for c in ("page", "block", "paragraph", "line", "word_no", "left", "top", "width", "height", "confidence", "text")])
-    page = w.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line", "word_no", row.alias("r")))).alias("r"))
+    lines = F.transform(F.split("text", "\r?\n"), lambda t, p: F.struct((p + 1).alias("line"), _split_words(t).alias("words")))
+    page = _texts(spark, sf_dir).select(F.col("page_id").alias("doc"), lines.alias("lines"))
+
+    def row(x: Column, w: Column, of: Column) -> Column:
+        own = _boxed(F.col("doc"), of["line"], of["words"], w, x)
+        return F.concat_ws("\t", F.lit("5"), *[own[c].cast("string") for c in ("page", "block", "paragraph", "line", "word_no", "left", "top", "width", "height", "confidence", "text")])
+
+    rows = F.flatten(F.transform("lines", lambda of: F.transform(of["words"], lambda x, w: row(x, w, of))))
     header = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
-    tsv = page.select("doc", F.concat(F.lit(header + "\n"), F.array_join(F.transform("r", lambda x: x["r"]), "\n")).alias("tsv"))
+    tsv = page.select("doc", F.concat(F.lit(header + "\n"), F.array_join(rows, "\n")).alias("tsv"))
     return parse_words(tsv, "tsv").select("doc", "page", "line", "word_no", "text", "confidence", "left", "top", "width", "height")
 
 

@@ -52,6 +52,16 @@ def test_tsv_cost_of_a_line(spark):
     assert plan.count("filter(") == 1 and plan.count("split(") == 3 and plan.count("try_cast(") == 11
 
 
+def test_tsv_stays_with_its_page(spark, tmp_path):
+    """A page's TSV is written where the page was read: no words are moved or grouped."""
+    from legajo.plans.layout import tsv_words
+
+    spark.createDataFrame([(1, "Hola  mundo\r\n\n x"), (2, " \n"), (3, None)], "page_id long, text string").write.parquet(f"{tmp_path}/quality_inputs.parquet")
+    out = tsv_words(spark, str(tmp_path))
+    assert sorted((r["doc"], r["line"], r["word_no"], r["text"], r["left"]) for r in out.collect()) == [(1, 1, 1, "Hola", 30.0), (1, 1, 2, "mundo", 80.0), (1, 3, 1, "x", 0.0)]
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_blocks(spark):
     def word(line, no, left, top, text, block=1, paragraph=1):
         return (1, 1, block, paragraph, line, no, text, 90.0, float(left), float(top), 30.0, 12.0)
